@@ -168,16 +168,21 @@ def omitted_markers(markers: DataFrame, units: DataFrame, keys: list[str]) -> Da
 def anchored_references(entries: DataFrame, span: str, is_navigation) -> DataFrame:
     """(doc_id, ref_no, anchor, reference, body): references with the text before them.
 
-    ``span`` is a pattern with three groups: text before, reference, body. A
-    blank anchor carries the last one forward. Navigation spans are not
-    returned, but they still move the position and may set the anchor.
+    ``span`` matches one reference element, with the target as group 1 and its
+    words as group 2. A blank anchor carries the last one forward. Navigation
+    spans are not returned, but they still move the position and may set the
+    anchor.
     """
-    group = lambda n: F.regexp_extract_all("text", F.lit(span), F.lit(n))
-    spans = entries.select(
-        "doc_id",
-        F.posexplode(F.arrays_zip(group(1).alias("before"), group(2).alias("reference"), group(3).alias("body")))
-        .alias("ref_no", "r"),
+    found = entries.select(
+        "doc_id", F.split("text", span).alias("pieces"),
+        F.regexp_extract_all("text", F.lit(span), F.lit(1)).alias("targets"),
+        F.regexp_extract_all("text", F.lit(span), F.lit(2)).alias("bodies"),
+    )
+    zipped = F.arrays_zip(
+        F.slice("pieces", 1, F.size("targets")).alias("before"), F.col("targets").alias("reference"),
+        F.col("bodies").alias("body"),
     )
+    spans = found.select("doc_id", F.posexplode(zipped).alias("ref_no", "r"))
     own = F.regexp_replace(plain_text(F.col("r.before")), r"[. ]+$", "")
     rows = spans.select(
         "doc_id", F.col("ref_no").cast("long").alias("ref_no"), F.when(own != "", own).alias("own"),

@@ -93,14 +93,15 @@ def q_strip_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", plain_text(F.col("html")).alias("text"))
 
 
-LINK = r'(?is)(.*?)<a href="([^"]*)"[^>]*>(.*?)</a>'
+LINK = r'(?is)<a href="([^"]*)"[^>]*>(.*?)</a>'
+LED_LINK = r'(?is)(.*?)<a href="([^"]*)"[^>]*>(.*?)</a>'
 
 
 @query("anchored_links", f"""
 WITH spans AS (
-  SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{LINK}', 1)) AS before_text,
-         unnest(regexp_extract_all(html, '{LINK}', 2)) AS reference, unnest(regexp_extract_all(html, '{LINK}', 3)) AS body,
-         generate_subscripts(regexp_extract_all(html, '{LINK}', 2), 1) - 1 AS ref_no FROM pages),
+  SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{LED_LINK}', 1)) AS before_text,
+         unnest(regexp_extract_all(html, '{LED_LINK}', 2)) AS reference, unnest(regexp_extract_all(html, '{LED_LINK}', 3)) AS body,
+         generate_subscripts(regexp_extract_all(html, '{LED_LINK}', 2), 1) - 1 AS ref_no FROM pages),
 named AS (SELECT *, nullif(regexp_replace({sql_plain('before_text')}, '[. ]+$', ''), '') AS own FROM spans)
 SELECT doc_id, ref_no, anchor, reference, body FROM (
   SELECT doc_id, ref_no, reference, {sql_plain('body')} AS body,
