@@ -169,9 +169,12 @@ def contained_phrases(phrases: DataFrame, texts: DataFrame, width: int = 8) -> D
     )
     asked = asked.withColumn("run", F.least(F.size("phrase_words"), F.lit(width)))
     asked = asked.withColumn("opening", F.xxhash64(F.slice("phrase_words", 1, F.col("run"))))
-    runs = F.array_sort(asked.select("run").distinct().agg(F.collect_set("run")).scalar())
+    # at most ``width`` different lengths, so this is a handful of integers
+    runs = sorted(row[0] for row in asked.select("run").distinct().collect()) or [width]
     rows = texts.select("text_id", words(F.col("text")).alias("tokens"))
-    keyed = rows.select("text_id", "tokens", F.explode(runs).alias("run")).where(F.size("tokens") >= F.col("run"))
+    keyed = rows.select("text_id", "tokens", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run")).where(
+        F.size("tokens") >= F.col("run")
+    )
     keyed = keyed.select(
         "text_id", "run",
         F.explode(

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quillspan.functions.keys import CLASSIC, KeyLayout
 from quillspan.operators import fusion
 from quillspan.operators.keyword import bm25_lists, score_terms
-from quillspan.operators.vector import OVERFETCH, filter_after_cap, flatten_blocks, vector_topk, with_collection
-from quillspan.operators.vector import in_mode
+from quillspan.operators.vector import (
+    OVERFETCH, filter_after_cap, flatten_blocks, in_mode, query_batch, vector_topk, with_collection,
+)
 
 POOL = 100
 TOPIC_HITS = 5
@@ -53,10 +54,11 @@ class Hits:
 
 def find_hits(index: SearchIndex, queries: DataFrame, query_terms: DataFrame, pool: int = POOL) -> Hits:
     """``queries``: query_id, vec. ``query_terms``: query_id, term_no, term."""
+    batch = query_batch(queries)
     return Hits(
-        units=vector_topk(queries, index.unit_vectors, pool * OVERFETCH),
-        blocks=vector_topk(queries, index.block_vectors, pool * OVERFETCH),
-        topics=vector_topk(queries, index.topic_vectors, TOPIC_HITS),
+        units=vector_topk(batch, index.unit_vectors, pool * OVERFETCH),
+        blocks=vector_topk(batch, index.block_vectors, pool * OVERFETCH),
+        topics=vector_topk(batch, index.topic_vectors, TOPIC_HITS),
         terms=score_terms(index.units, query_terms),
         query_terms=query_terms,
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -122,30 +123,49 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column], limit: in
     return ranked.withColumn(name, (F.col("_rank") - 1).cast("long")).drop("_rank")
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int,
+@dataclass(frozen=True)
+class QueryBatch:
+    """Query vectors measured once; ``matrix`` is held only when its size was checked."""
+
+    queries: DataFrame
+    n_queries: int
+    dim: int
+    ids: np.ndarray | None
+    matrix: np.ndarray | None
+
+    @property
+    def fits(self) -> bool:
+        return self.matrix is not None
+
+
+def query_batch(queries: DataFrame, max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> QueryBatch:
+    """Measure ``queries`` (query_id, vec) and fetch the vectors when they are few enough."""
+    queries = queries.select(F.col("query_id").cast("long"), "vec")
+    n_queries, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).head()
+    if n_queries * dim > max_broadcast_cells:
+        return QueryBatch(queries, n_queries, dim, None, None)
+    fetched = queries.toArrow()
+    return QueryBatch(queries, n_queries, dim, fetched.column("query_id").to_numpy(), _matrix(fetched.column("vec")))
+
+
+def vector_topk(queries: DataFrame | QueryBatch, corpus: DataFrame, k: int,
                 max_broadcast_cells: int = MAX_BROADCAST_CELLS,
                 corpus_part_rows: int = 200_000) -> DataFrame:
     """(query_id, key, score, pos): the exact ``k`` best dot products per query.
 
-    ``queries``: query_id, vec. ``corpus``: key, vec. Ties go to the lower key.
-    A query batch of checked size is broadcast and the corpus scanned in place
-    without a shuffle; a larger one runs on a (query chunk × corpus part) grid.
+    ``queries``: query_id, vec, or a batch measured before. ``corpus``: key,
+    vec. Ties go to the lower key. A query batch of checked size is broadcast
+    and the corpus scanned in place without a shuffle; a larger one runs on a
+    (query chunk × corpus part) grid.
     """
-    queries = queries.select(F.col("query_id").cast("long"), "vec")
+    batch = queries if isinstance(queries, QueryBatch) else query_batch(queries, max_broadcast_cells)
     corpus = corpus.select(F.col("key").cast("long").alias("key"), "vec")
-    head = queries.limit(1).select(F.size("vec")).head()
-    dim = max(head[0], 1) if head else 1
-    max_queries = max(max_broadcast_cells // dim, 1)
-    n_queries = queries.count()
-    if n_queries <= max_queries:
-        table = queries.toArrow()
-        ids = table.column("query_id").to_numpy()
-        matrix = _matrix(table.column("vec")) if n_queries else np.empty((0, dim))
-        partial = _scan_topk(corpus, ids, matrix, k)
+    if batch.fits:
+        partial = _scan_topk(corpus, batch.ids, batch.matrix, k)
     else:
-        chunks = -(-n_queries // max_queries)
+        chunks = -(-batch.n_queries * batch.dim // max_broadcast_cells)
         parts = max(-(-corpus.count() // corpus_part_rows), 1)
-        partial = _grid_topk(corpus, queries, k, chunks, parts)
+        partial = _grid_topk(corpus, batch.queries, k, chunks, parts)
     return rank_within(partial, ["query_id"], [F.desc("score"), F.asc("key")], k)
 
 

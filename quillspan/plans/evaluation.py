@@ -13,6 +13,7 @@ from quillspan.operators import fusion, keyword, search
 from quillspan.plans import inputs as I
 from quillspan.plans import retrieval as P
 from quillspan.plans.registry import query
+from quillspan.session import cut_lineage
 from quillspan.sources.runlog import explode_gold
 from quillspan.sources.tables import table
 
@@ -99,10 +100,7 @@ def q_gold_rank(spark, sf):
 def _recall_sql(scope: str = "query_id", source: str = "granks", every: str = "queries") -> str:
     return f"""
 rec AS (
-  SELECT {scope}, k, n, h FROM (
-    SELECT {scope}, count(*) AS n, count(*) FILTER ("rank" < 10) AS h10, count(*) FILTER ("rank" < 25) AS h25,
-           count(*) FILTER ("rank" < 50) AS h50 FROM {source} GROUP BY ALL)
-  UNPIVOT (h FOR k IN (h10 AS 10, h25 AS 25, h50 AS 50))),
+  SELECT {scope}, k, count(*) AS n, count(*) FILTER ("rank" < k) AS h FROM {source}, (VALUES (10), (25), (50)) v(k) GROUP BY {scope}, k),
 recall AS (
   SELECT {scope}, k, round_even(coalesce(h / n, 0), 6) AS recall, round_even(h / n, 6) AS recall_or_null
   FROM (SELECT q.*, unnest([10, 25, 50]) AS k FROM {every} q) LEFT JOIN rec USING ({scope}, k))
@@ -198,6 +196,7 @@ def q_fullset_profile(spark, sf):
     per = found.join(sized, "unit_id").groupBy("query_id").agg(
         F.count_distinct("rank").alias("passages"), F.count(F.lit(1)).alias("units"), F.sum("tokens").alias("tokens"))
     long = per.selectExpr("stack(3, 'passages', passages, 'units', units, 'tokens', tokens) AS (what, v)")
+    long = cut_lineage(long)  # three rows per question, read several times below
     edges = long.groupBy("what").agg(F.min("v").alias("min"), F.max("v").alias("max"))
     return edges.join(E.exact_median(long, ["what"], "v", "median"), "what").select("what", "min", "median", "max")
 
@@ -247,7 +246,7 @@ mranks AS (
   SELECT mode, m.query_id, m.passage_id, min(f."rank") AS "rank" FROM must m
   CROSS JOIN (SELECT DISTINCT mode FROM modes) LEFT JOIN mfinal f USING (mode, query_id, unit_id) GROUP BY 1, 2, 3),
 mrec AS (
-  SELECT mode, query_id, round_even(coalesce(r, 0), 6) AS recall FROM (SELECT DISTINCT mode FROM modes), queries LEFT JOIN (
+  SELECT mode, query_id, round_even(coalesce(r, 0), 6) AS recall FROM (SELECT DISTINCT mode FROM modes) CROSS JOIN queries LEFT JOIN (
     SELECT mode, query_id, count(*) FILTER ("rank" < 25) / count(*) AS r FROM mranks GROUP BY 1, 2) USING (mode, query_id)),
 grid AS (
   SELECT query_id, max(recall) FILTER (mode = 'raw') AS raw, max(recall) FILTER (mode = 'rewrite') AS "rewrite",
@@ -304,7 +303,7 @@ SELECT round_even((SELECT m FROM o WHERE i = floor({RESAMPLES} * 0.025) + 1), 6)
 def q_bootstrap_ci(spark, sf):
     """Interval of the recall difference between raw terms and a short hand-picked list."""
     diffs = mode_grid(spark, sf).select("query_id", (F.col("raw") - F.col("hand")).alias("diff"))
-    return E.bootstrap_ci(diffs, RESAMPLES)
+    return E.bootstrap_ci(cut_lineage(diffs), RESAMPLES)
 
 
 # --- gold drafting -------------------------------------------------------------------
