@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspan.plans import registry
-from quillspan.plans import evaluation, ingest, presentation, references, retrieval, verification  # noqa: F401
+from quillspan.plans import evaluation, history, ingest, presentation, references, retrieval, verification  # noqa: F401
 
 
 def queries():

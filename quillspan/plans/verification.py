@@ -25,9 +25,10 @@ _SUFFIX = (
 _ANSWER = f"CASE WHEN turn % 3 = 1 THEN concat('## First\n', text, {_SUFFIX}, '\n## Second\nMore on [P', oth, '].') ELSE concat(text, {_SUFFIX}) END"
 
 
-def answers(spark, sf):
+def answers(spark, sf, conversations=None):
     """Assistant turns with planted tokens and one written reference each."""
-    turns = table(spark, sf, "conversations").where("role = 'assistant'")
+    every = table(spark, sf, "conversations") if conversations is None else conversations
+    turns = every.where("role = 'assistant'")
     turns = turns.withColumn("tok", F.expr(_TOK)).withColumn("oth", F.expr(_OTHER))
     placed = turns.withColumn("n_nationkey", ((F.col("conv_id") * 7 + F.col("tok") * 3) % 25).cast("int"))
     nations = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
