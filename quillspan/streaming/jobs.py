@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,7 @@ def _decide(state: tuple) -> tuple[str, int | None, int]:
     return "fallback", None, 1 if second is None else 2
 
 
-def _resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _resolve(timer: bool, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keep the two earliest attempts of a question; report whenever the decision may have moved."""
     held = state.get if state.exists else (0, None, None, None, None)
     abandoned = state.hasTimedOut
@@ -87,17 +88,21 @@ def _resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         state.remove()
     else:
         state.update(now)
-        state.setTimeoutDuration(ABANDON_MINUTES * 60_000)
+        if timer:
+            state.setTimeoutDuration(ABANDON_MINUTES * 60_000)
 
 
-def resolve_stream(attempts: DataFrame) -> DataFrame:
+def resolve_stream(attempts: DataFrame, timer: bool = False) -> DataFrame:
     """Outcome revisions of every question from a stream of (conv_id, turn, verdict).
 
-    State per question is two attempts, whatever arrives. Questions that go
-    quiet are closed by a timer. ``latest_outcomes`` reads the log.
+    State per question is two attempts, whatever arrives. With ``timer``,
+    questions that go quiet are closed after a while; such a query runs until it
+    is stopped, so it is for continuous triggers only. ``latest_outcomes`` reads
+    the log.
     """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
     return attempts.select("conv_id", "turn", "verdict").groupBy("conv_id").applyInPandasWithState(
-        _resolve, OUTCOME_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
+        partial(_resolve, timer), OUTCOME_SCHEMA, _STATE_SCHEMA, "append", timeout
     )
 
 
