@@ -346,16 +346,19 @@ def bootstrap_ci(differences: DataFrame, resamples: int, low: float = 0.025, hig
     """
     numbered = sequential_ids(differences.select("query_id", "diff"), "query_id", "no", start=0)
     spark = differences.sparkSession
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = spark.range(resamples).withColumnRenamed("id", "r").join(n, F.lit(True)).select(
+    n = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
+    draws = spark.range(resamples).select(F.col("id").alias("r"), n.alias("n")).select(
         "r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("d")
     ).select("r", ((F.col("r") * 7919 + F.col("d") * 104729 + F.col("r") * F.col("d")) % F.col("n")).alias("no"))
     means = draws.join(numbered, "no").groupBy("r").agg(F.round(F.avg("diff"), 9).alias("m"))
     count = F.col("n")
     at = lambda q: F.least(F.floor(count * q), count - 1) + 1
     bounds = order_statistics(means.withColumn("g", F.lit(1)), ["g"], "m", {"low": at(low), "high": at(high)})
-    overall = differences.agg(F.bround(F.avg("diff"), 6).alias("mean"), F.count(F.lit(1)).alias("n_questions"))
-    return bounds.select(F.bround("low", 6).alias("low"), F.bround("high", 6).alias("high")).join(overall, F.lit(True))
+    overall = differences.agg(
+        F.lit(1).alias("g"), F.bround(F.avg("diff"), 6).alias("mean"), F.count(F.lit(1)).alias("n_questions")
+    )
+    ends = bounds.select("g", F.bround("low", 6).alias("low"), F.bround("high", 6).alias("high"))
+    return ends.join(overall, "g").drop("g")
 
 
 def parity_diff(left: DataFrame, right: DataFrame, case: str, rank: str, tolerance: float = 1e-5) -> DataFrame:

@@ -60,8 +60,10 @@ def search(entries: DataFrame, searches: DataFrame, limit: int = SEARCH_LIMIT) -
     postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     matched = postings.join(terms, "term").groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("hits"))
     found = matched.where(F.col("hits") == F.col("n_terms")).select("query_id", "id")
-    newest = entries.select("id").orderBy(F.desc("id")).limit(limit)
-    listed = wanted.where(F.size("terms") == 0).select("query_id").join(newest, F.lit(True))
+    newest = entries.select("id").orderBy(F.desc("id")).limit(limit).agg(F.collect_list("id")).scalar()
+    listed = wanted.where(F.size("terms") == 0).select("query_id", newest.alias("ids")).select(
+        "query_id", F.explode("ids").alias("id")
+    )
     return rank_within(found.unionByName(listed), ["query_id"], [F.desc("id")], limit)
 
 

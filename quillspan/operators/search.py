@@ -121,10 +121,10 @@ def ablation(index: SearchIndex, hits: Hits, mode: str, pool: int = POOL) -> Dat
     scores = fusion.fuse(lists, scope)
     topics = hits.topics.select("query_id", F.col("key").alias("topic_id"))
     boost = fusion.topic_boost(topics, index.topic_units, index.works, mode, index.layout)
-    expanding = switches.where(F.col("origin") == "topic").select("config")
-    boosted = fusion.add_boost(scores, boost.join(expanding, F.lit(True)), "topic", scope)
-    linked = switches.where(F.col("origin") == "edge").select("config")
+    using = lambda path: [name for name, paths in fusion.CONFIGURATIONS.items() if path in paths]
+    expanding = F.explode(F.array(*[F.lit(c) for c in using("topic")])).alias("config")
+    boosted = fusion.add_boost(scores, boost.select("*", expanding), "topic", scope)
     edges = fusion.edge_boost(
-        boosted.join(linked, "config", "left_semi"), index.edges, index.works, mode, scope, index.layout
+        boosted.where(F.col("config").isin(using("edge"))), index.edges, index.works, mode, scope, index.layout
     )
     return fusion.final_ranking(fusion.add_boost(boosted, edges, "edge", scope), scope)

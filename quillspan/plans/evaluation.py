@@ -128,8 +128,7 @@ def q_config_pivot(spark, sf):
     ranked = search.ablation(I.search_index(spark, sf), P._hits(spark, sf), "primary")
     scope = ["config", "query_id"]
     found = fusion.islands(ranked, scope)
-    configs = spark.createDataFrame([(c,) for c in fusion.CONFIGURATIONS], "config string")
-    every = _queries(spark, sf).join(configs, F.lit(True))
+    every = _queries(spark, sf).select("*", F.explode(F.array(*[F.lit(c) for c in fusion.CONFIGURATIONS])).alias("config"))
     recall = E.recall_at(E.gold_ranks(must_units(spark, sf), found, scope), every, scope)
     pivoted = recall.groupBy("config").pivot("k", [10, 25, 50]).agg(F.bround(F.avg("recall"), 6))
     return pivoted.select("config", *[F.col(str(k)).alias(f"at_{k}") for k in (10, 25, 50)])
@@ -266,7 +265,7 @@ def mode_grid(spark, sf) -> DataFrame:
     fused = fusion.fuse(
         terms.join(lists, "term").withColumns({"origin": F.lit("keyword"), "weight": F.lit(1.0), "listed": F.lit(True)}), scope)
     ranked = fusion.final_ranking(fused, scope).select(*scope, F.col("pos").alias("rank"), F.array("unit_id").alias("unit_ids"))
-    every = _queries(spark, sf).join(spark.createDataFrame([(m,) for m in MODES], "mode string"), F.lit(True))
+    every = _queries(spark, sf).select("*", F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"))
     recall = E.recall_at(E.gold_ranks(must_units(spark, sf), ranked, scope), every, scope, (25,))
     return recall.groupBy("query_id").pivot("mode", list(MODES)).agg(F.max("recall"))
 
