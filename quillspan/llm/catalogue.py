@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.llm import decontaminate, simhash_dedup
+from quillspan.llm import decontaminate, divergence, simhash_dedup, suffix_dedup, toxicity, warc
 from quillspan.plans.registry import Builder
 
-MODULES = (decontaminate, simhash_dedup)
+MODULES = (decontaminate, divergence, simhash_dedup, suffix_dedup, toxicity, warc)
 
 
 def queries() -> dict[str, Builder]:
