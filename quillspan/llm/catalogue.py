@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillspan.llm import decontaminate, divergence, simhash_dedup, suffix_dedup, toxicity, warc
+from quillspan.llm import (
+    decontaminate, divergence, licences, line_dedup, mixing, paragraph_dedup, simhash_dedup, suffix_dedup, toxicity, warc,
+)
 from quillspan.plans.registry import Builder
 
-MODULES = (decontaminate, divergence, simhash_dedup, suffix_dedup, toxicity, warc)
+MODULES = (
+    paragraph_dedup, toxicity, suffix_dedup, decontaminate, line_dedup, mixing, warc, simhash_dedup, divergence, licences,
+)
 
 
 def queries() -> dict[str, Builder]:
