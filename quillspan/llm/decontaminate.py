@@ -114,27 +114,31 @@ def covered(spans: Column) -> Column:
     return step["n"]
 
 
+def _with_spans(docs: DataFrame, items: DataFrame, size: int, how: str) -> DataFrame:
+    bad = scan(docs, items, size=size).where(F.size("spans") > 0).select(
+        F.col("id").alias("_id"), F.col("key").alias("_of"), F.col("spans").alias("_spans"))
+    keyed = docs.withColumn("_key", text_key())
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_of"]), how)
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Documents without any hit, columns unchanged."""
-    bad = scan(docs, items, size=size).where(F.size("spans") > 0).select("id", "key")
-    keyed = docs.withColumn("_key", text_key())
-    kept = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["id"]) & (keyed["_key"] == bad["key"]), "left_anti")
-    return kept.select(*docs.columns)
+    return _with_spans(docs, items, size, "left_anti").select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Documents with the words of every hit (and the gaps between those words) taken out of the text."""
-    bad = scan(docs, items, size=size).where(F.size("spans") > 0).select("id", "key", "spans")
-    keyed = docs.withColumn("_key", text_key())
-    met = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["id"]) & (keyed["_key"] == bad["key"]), "left")
-    met = once(met, _piece=F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+|" + _GAP + ")"), 1))
-    is_word = F.transform("_piece", lambda x: x.rlike(r"^[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
+    met = _with_spans(docs, items, size, "left")
+    # Before lower-casing, A-Z are letters too.
+    letter, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    met = once(met, _piece=F.regexp_extract_all("text", F.lit(f"({letter}+|{gap}+)"), F.lit(1)))
+    is_word = F.transform("_piece", lambda x: x.rlike(f"^{letter}"))
     met = once(met, _first=F.when(F.size("_piece") > 0, F.when(F.get(is_word, F.lit(0)), 1).otherwise(0)).otherwise(1))
     # Pieces alternate, so a piece's word number follows from its place; a gap belongs to the word before it.
     number = lambda i: F.floor((i + F.col("_first") + 1) / 2)
     kept = F.filter("_piece", lambda x, i: ~F.exists(
-        "spans", lambda s: (number(i) >= s["at"]) & (number(i) < s["at"] + s["n"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+        "_spans", lambda s: (number(i) >= s["at"]) & (number(i) < s["at"] + s["n"])))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     return met.withColumn("text", text).select(*docs.columns)
 
 

@@ -38,10 +38,10 @@ NOTICES = {
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "Released under the GPL, version 2 or later.", "Licensed under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
+        "GNU General Public License, version 3.", "Released under the GPL, version 2 or later.", "Licensed under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "Licensed under the LGPL v3.",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "GNU Lesser General Public License, version 3.", "Licensed under the LGPL v3.",
         "SPDX-License-Identifier: LGPL-2.1-only"),
     "bsd": (
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",

@@ -96,33 +96,39 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in batch.column(0).to_pylist():
             buffer += piece
             buffer += end
-            if len(buffer) < need:
-                continue
-            head_end = buffer.find(end)
-            head = bytes(buffer[: head_end + 4])
-            fields = _fields(head)
-            need = head_end + 8 + int(fields["content-length"])
-            if len(buffer) < need:
-                continue
-            if len(buffer) != need or not head.startswith(b"WARC/"):
-                raise ValueError("a record's declared length does not meet its end")
-            block = bytes(buffer[head_end + 4 : need - 4])
-            buffer, need = bytearray(), 0
-            at = block.find(end) + 4
-            payload = block[at:] if fields["warc-type"] == "response" else None
-            digest = fields["warc-payload-digest"].removeprefix("sha1:")
-            if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
-                raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
-            rows.append((_name(fields["warc-record-id"]), fields["warc-type"], _name(fields.get("warc-refers-to")), digest,
-                         None if payload is None else len(payload),
-                         None if payload is None else hashlib.sha256(payload).hexdigest(), head + block[:at], payload))
-            held += len(payload or b"")
+            while len(buffer) >= need:
+                if buffer.startswith(end):  # a file's last piece had no separator
+                    del buffer[:4]
+                head_end = buffer.find(end)
+                if head_end < 0:
+                    break
+                head = bytes(buffer[: head_end + 4])
+                fields = _fields(head)
+                need = head_end + 8 + int(fields["content-length"])
+                if len(buffer) < need:
+                    break
+                if buffer[need - 4 : need] != end or not head.startswith(b"WARC/"):
+                    raise ValueError("a record's declared length does not meet its end")
+                block = bytes(buffer[head_end + 4 : need - 4])
+                del buffer[:need]
+                need = 0
+                at = block.find(end) + 4
+                payload = block[at:] if fields["warc-type"] == "response" else None
+                digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
+                rows.append((_name(fields["warc-record-id"]), fields["warc-type"], _name(fields.get("warc-refers-to")), digest,
+                             None if payload is None else len(payload),
+                             None if payload is None else hashlib.sha256(payload).hexdigest(), head + block[:at], payload))
+                held += len(payload or b"")
+                if not buffer:
+                    break
             if held > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                 rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-    if buffer:
+    if bytes(buffer) not in (b"", end):
         raise ValueError("an archive ends inside a record")
 
 
