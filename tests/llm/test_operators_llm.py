@@ -234,20 +234,22 @@ def edits(a, b):
 
 
 def line_print(spark, norms):
-    df = spark.createDataFrame([(n,) for n in norms], "norm string").withColumn("w", F.split("norm", " "))
-    got = common.once(df, fp=line_dedup.simhash(F.col("w"), F.size("w"))).select("norm", "fp").collect()
-    return {r.norm: r.fp & (1 << 64) - 1 for r in got}
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(norms)], "doc_id long, text string")
+    got = line_dedup.lines(df, "doc_id", "text", 1).collect()
+    return {norms[r.id]: r.fp & (1 << 64) - 1 for r in got}
 
 
 def test_line_prints_are_majorities(spark):
-    for n in (1, 5, 63, 64, 200, 20_000):
-        words = [f"w{i % 97}" for i in range(n)]
-        hashes = [r.h & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in words[:97]], "w string")
-                  .select(F.xxhash64("w").alias("h")).collect()]
-        of = Counter(words)
-        bits = [sum(c for w, c in of.items() if hashes[int(w[1:])] >> b & 1) for b in range(64)]
-        want = sum(1 << b for b in range(64) if 2 * bits[b] > n)
-        assert line_print(spark, [" ".join(words)]) == {" ".join(words): want}
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(97)]
+    hashes = {r.w: r.h & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in names], "w string")
+              .select("w", F.xxhash64("w").alias("h")).collect()}
+    texts = {n: " ".join(names[i * i % 97] for i in range(n)) for n in (1, 5, 64, 200, 16_383, 16_384, 20_000)}
+    want = {}
+    for n, text in texts.items():
+        of = Counter(text.split())
+        bits = [sum(c for w, c in of.items() if hashes[w] >> b & 1) for b in range(64)]
+        want[text] = sum(1 << b for b in range(64) if 2 * bits[b] > n)
+    assert line_print(spark, list(want)) == want
 
 
 def test_line_dedup_equals_all_pairs(spark, docs, rows, none):
@@ -315,8 +317,8 @@ def test_toxicity_neighbours_are_exact_and_scores_part_the_labels(spark, none):
     labels = spark.createDataFrame(marks + [(2, None), (None, 1), (9999, 1), (0, 1)], "doc_id long, toxic int")
     index = toxicity.fit(docs, labels, per_class=200)
     dense = np.zeros((len(index.ids), len(index.idf)))
-    for t, (at, w, *_) in index.lists.items():
-        dense[at, t] = w
+    for n, (terms, rows) in enumerate(index.blocks):
+        dense[n * toxicity.BLOCK : n * toxicity.BLOCK + len(rows), terms] = rows
     for text in ("rotten vilestemer", "nasty nasty " + good[3], "dreadful", "vilestemings"):
         counts = toxicity.Known(index.vocabulary).counts(text)
         terms, weights = toxicity.weigh(counts, index.idf)
