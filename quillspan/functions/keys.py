@@ -19,6 +19,17 @@ class KeyLayout:
     def work_radix(self) -> int:
         return self.chapter_radix * self.ordinal_radix
 
+    @property
+    def work_limit(self) -> int:
+        """Works from this number on would overflow the key."""
+        return (2**63 - 1) // self.work_radix
+
+    def checked(self, work: Column, chapter: Column, ordinal: Column) -> Column:
+        """``pack`` that fails on parts that would collide or overflow."""
+        fits = self.fits(chapter, ordinal) & (work >= 0) & (work < self.work_limit)
+        return F.when(fits, self.pack(work, chapter, ordinal)).otherwise(
+            F.raise_error(F.lit("a work, chapter or ordinal does not fit its packed key")).cast("long"))
+
     def pack(self, work: Column, chapter: Column, ordinal: Column) -> Column:
         return (
             work.cast("long") * self.work_radix

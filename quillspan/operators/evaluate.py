@@ -31,13 +31,13 @@ SHOULD_MAX = 12
 # --- retrieval quality -------------------------------------------------------------
 
 def gold_ranks(gold: DataFrame, ranked: DataFrame, scope: list[str], query: str = "query_id") -> DataFrame:
-    """(gold columns, scope, rank): first passage sharing a unit with each gold passage, else NULL.
+    """(gold columns, scope, rank): the first passage, counted from 1, that shares a unit with each gold passage, else NULL.
 
     ``gold``: query, passage_id, unit_id. ``ranked``: scope (query included),
     rank, unit_ids. Both sides meet unit by unit in a hash join.
     """
     units = ranked.select(*scope, "rank", F.explode("unit_ids").alias("unit_id"))
-    firsts = gold.join(units, [query, "unit_id"]).groupBy(*scope, "passage_id").agg(F.min("rank").alias("rank"))
+    firsts = gold.join(units, [query, "unit_id"]).groupBy(*scope, "passage_id").agg((F.min("rank") + 1).alias("rank"))
     wanted = gold.select(query, "passage_id").distinct()
     others = [c for c in scope if c != query]
     if others:
@@ -51,7 +51,7 @@ def recall_at(ranks: DataFrame, queries: DataFrame, scope: list[str], cuts: tupl
     Without gold the one reads 0.0 and the other NULL; both conventions are used.
     """
     hits = ranks.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rank") < k).alias(f"at{k}") for k in cuts]
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rank") <= k).alias(f"at{k}") for k in cuts]
     )
     every = queries.select(*scope).join(hits, scope, "left")
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), (F.col(f"at{k}") / F.col("n")).alias("share")) for k in cuts])
@@ -91,12 +91,16 @@ def citation_coverage(cited: DataFrame, sent_units: DataFrame, must_units: DataF
     )
 
 
-def displacement(primary: DataFrame, both: DataFrame, scope: list[str], top: int = 25) -> DataFrame:
-    """(scope, displaced): passages of the primary top that the unfiltered top no longer holds."""
-    kept = both.where(F.col("rank") < top).select(*scope, "first_unit", "last")
-    lost = primary.where(F.col("rank") < top).join(kept, [*scope, "first_unit", "last"], "left_anti")
-    counted = lost.groupBy(*scope).agg(F.count(F.lit(1)).alias("displaced"))
-    return primary.select(*scope).distinct().join(counted, scope, "left").fillna(0, ["displaced"])
+def displacement(passages: DataFrame, scope: list[str], top: int = 25) -> DataFrame:
+    """(scope, displaced): passages of the primary top that the unfiltered top no longer holds.
+
+    ``passages``: mode (``primary`` and ``both``), scope, rank, first_unit, last, so that both modes are one plan.
+    """
+    primary = F.col("mode") == "primary"
+    held = passages.groupBy(*scope, "first_unit", "last").agg(
+        F.min(F.when(primary, F.col("rank"))).alias("own"), F.min(F.when(~primary, F.col("rank"))).alias("other"))
+    lost = (F.col("own") < top) & (F.coalesce("other", F.lit(top)) >= top)
+    return held.groupBy(*scope).agg(F.count_if(lost).alias("displaced"), F.count("own").alias("n")).where("n > 0").drop("n")
 
 
 # --- gold drafting -----------------------------------------------------------------
@@ -337,20 +341,26 @@ def mode_choice(values: DataFrame, modes: tuple[str, ...] = ("raw", "rewrite", "
     )
 
 
-def bootstrap_ci(differences: DataFrame, resamples: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_ci(differences: DataFrame, resamples: int, low: float = 0.025, high: float = 0.975,
+                 seed: str = "resample") -> DataFrame:
     """One row: mean difference and percentile interval over questions.
 
-    ``differences``: query_id, diff. Draw ``d`` of resample ``r`` takes question
-    ``(r * 7919 + d * 104729 + r * d) mod n``, so any engine repeats the draws.
-    Draws are spread over the cluster and averaged before they are ordered.
+    ``differences``: query_id, diff. Draws ``4c`` to ``4c + 3`` of resample ``r`` are the four 8-digit groups of
+    ``md5(seed|r|c)`` modulo the number of questions, so any engine repeats them. They are spread over the cluster
+    chunk by chunk and averaged before they are ordered.
     """
     numbered = sequential_ids(differences.select("query_id", "diff"), "query_id", "no", start=0)
     spark = differences.sparkSession
-    n = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = spark.range(resamples).select(F.col("id").alias("r"), n.alias("n")).select(
-        "r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("d")
-    ).select("r", ((F.col("r") * 7919 + F.col("d") * 104729 + F.col("r") * F.col("d")) % F.col("n")).alias("no"))
-    means = draws.join(numbered, "no").groupBy("r").agg(F.round(F.avg("diff"), 9).alias("m"))
+    n = numbered.count()
+    chunks = -(-max(n, 1) // 4)
+    part = spark.range(resamples * chunks).select(
+        F.call_function("div", F.col("id"), F.lit(chunks)).alias("r"), (F.col("id") % chunks).alias("c"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), F.col("c").cast("string")))
+    draws = part.select("r", "c", digest.alias("h"), F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("j")).select(
+        "r", (F.col("c") * 4 + F.col("j")).alias("d"),
+        F.conv(F.substring("h", F.col("j") * 8 + 1, F.lit(8)), 16, 10).cast("long").alias("x"))
+    drawn = draws.where(F.col("d") < n).select("r", (F.col("x") % F.lit(max(n, 1))).alias("no"))
+    means = drawn.join(numbered, "no").groupBy("r").agg(F.round(F.avg("diff"), 9).alias("m"))
     count = F.col("n")
     at = lambda q: F.least(F.floor(count * q), count - 1) + 1
     bounds = order_statistics(means.withColumn("g", F.lit(1)), ["g"], "m", {"low": at(low), "high": at(high)})

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, KeyLayout
-from quillspan.operators.vector import in_mode, rank_within, with_collection
+from quillspan.operators.vector import for_modes, in_mode, rank_within, with_collection
 
 # Fusion constants and expansion caps.
 RRF_K = 60
@@ -34,8 +34,9 @@ CONFIGURATIONS = {
     "D": ("keyword",),
     "E": ("vector-unit", "vector-block", "keyword"),
     "F": ("vector-unit", "vector-block", "keyword", "topic", "edge"),
-    "G": ("vector-unit", "vector-block", "keyword", "topic", "edge"),
 }
+# Fixed value: configurations that rerank the head of another one's passages.
+RERANKED = {"G": "F"}
 
 
 def stable(score: Column) -> Column:
@@ -56,22 +57,25 @@ def fuse(lists: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def topic_boost(topic_hits: DataFrame, topic_units: DataFrame, works: DataFrame, mode: str,
+def topic_boost(topic_hits: DataFrame, topic_units: DataFrame, works: DataFrame, modes: str | tuple[str, ...],
                 layout: KeyLayout = CLASSIC) -> DataFrame:
-    """(query_id, unit_id, boost): the first members of every matched topic.
+    """(query_id, unit_id, boost): the first members of every matched topic; with several modes a ``mode`` column too.
 
-    The member cap comes first and the collection filter after it. The cap is
-    taken per topic once, not per query.
+    The member cap comes first and the collection filter after it. The cap is taken per topic once, not per query, and
+    only for topics that some query has met.
     """
-    capped = rank_within(topic_units.select("topic_id", "unit_id"), ["topic_id"], [F.asc("unit_id")], TOPIC_CAP)
-    members = with_collection(capped.select("topic_id", "unit_id"), "unit_id", works, layout).where(
-        in_mode(F.col("collection"), mode)
-    )
-    counted = topic_hits.select("query_id", "topic_id").join(members, "topic_id").groupBy("query_id", "unit_id").agg(
+    met = topic_hits.select("topic_id").distinct()
+    known = topic_units.select("topic_id", "unit_id").join(met, "topic_id", "left_semi")
+    capped = rank_within(known, ["topic_id"], [F.asc("unit_id")], TOPIC_CAP)
+    several = isinstance(modes, tuple)
+    members = for_modes(
+        with_collection(capped.select("topic_id", "unit_id"), "unit_id", works, layout), modes if several else (modes,))
+    scope = ["mode", "query_id"] if several else ["query_id"]
+    counted = topic_hits.select("query_id", "topic_id").join(members, "topic_id").groupBy(*scope, "unit_id").agg(
         F.count(F.lit(1)).alias("n")
     )
     step = TOPIC_WEIGHT / (RRF_K + 1)
-    return counted.select("query_id", "unit_id", (F.least("n", F.lit(TOPIC_MAX)) * step).alias("boost"))
+    return counted.select(*scope, "unit_id", (F.least("n", F.lit(TOPIC_MAX)) * step).alias("boost"))
 
 
 def leading_edges(edges: DataFrame, per_source: int = EDGE_SCAN_CAP) -> DataFrame:
@@ -87,21 +91,23 @@ def leading_edges(edges: DataFrame, per_source: int = EDGE_SCAN_CAP) -> DataFram
     )
 
 
-def edge_boost(scores: DataFrame, edges: DataFrame, works: DataFrame, mode: str,
+def edge_boost(scores: DataFrame, edges: DataFrame, works: DataFrame, mode: str | None,
                scope: list[str], layout: KeyLayout = CLASSIC) -> DataFrame:
     """(scope, unit_id, boost): neighbours of the best units so far.
 
     Anchors are the best ``EDGE_ANCHORS`` by (score desc, unit asc). Their edges
     are read in (from, to, anchor) order up to a cap, filtered by collection,
     counted per target (parallel edges count), and the most frequent targets
-    kept.
+    kept. Only edges of anchors are ranked. Without ``mode`` the scope's ``mode`` column counts.
     """
-    anchors = rank_within(scores, scope, [F.desc("score"), F.asc("unit_id")], EDGE_ANCHORS)
-    reached = anchors.select(*scope, F.col("unit_id").alias("from_id")).join(leading_edges(edges), "from_id")
+    anchors = rank_within(scores, scope, [F.desc("score"), F.asc("unit_id")], EDGE_ANCHORS).select(
+        *scope, F.col("unit_id").alias("from_id"))
+    near = edges.join(anchors.select("from_id").distinct(), "from_id", "left_semi")
+    reached = anchors.join(leading_edges(near), "from_id")
     scanned = rank_within(reached, scope, [F.asc("from_id"), F.asc("edge_no")], EDGE_SCAN_CAP)
     counted = (
         with_collection(scanned.select(*scope, F.col("to_id").alias("unit_id")), "unit_id", works, layout)
-        .where(in_mode(F.col("collection"), mode))
+        .where(in_mode(F.col("collection"), F.col("mode") if mode is None else mode))
         .groupBy(*scope, "unit_id").agg(F.count(F.lit(1)).alias("n"))
     )
     kept = rank_within(counted, scope, [F.desc("n"), F.asc("unit_id")], EDGE_CAP)
@@ -129,29 +135,24 @@ def final_ranking(scores: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def append_secondary(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def append_secondary(ranked: DataFrame) -> DataFrame:
     """The primary ranking unchanged, then the best secondary units below its tail.
 
-    Both inputs: query_id, pos, unit_id, score, origins. ``cut`` marks rows of
-    the generation cut: the primary top plus every appended row.
+    ``ranked``: mode (``primary`` and ``secondary-only``), query_id, pos, unit_id, score, origins, so that both come out
+    of one plan. ``cut`` marks rows of the generation cut: the primary top plus every appended row.
     """
-    tail = primary.groupBy("query_id").agg(
-        F.min("score").alias("tail_score"), F.count(F.lit(1)).alias("tail_pos")
-    )
-    extra = secondary.where(F.col("pos") < EXTRA_N).join(tail, "query_id", "left").select(
-        "query_id",
-        (F.coalesce("tail_pos", F.lit(0)) + F.col("pos")).alias("pos"),
-        "unit_id",
-        F.bround(F.coalesce("tail_score", F.lit(0.0)) - (F.col("pos") + 1) * 1e-6, EXTRA_DIGITS).alias("score"),
-        "origins",
-        F.lit("secondary").alias("collection"),
-        F.lit(True).alias("cut"),
-    )
-    head = primary.select(
-        "query_id", "pos", "unit_id", "score", "origins", F.lit("primary").alias("collection"),
-        (F.col("pos") < TOP_N).alias("cut"),
+    per_query = W.partitionBy("query_id")
+    primary = F.col("mode") == "primary"
+    placed = ranked.where(primary | (F.col("pos") < EXTRA_N)).select(
+        "*", F.min(F.when(primary, F.col("score"))).over(per_query).alias("tail_score"),
+        F.count_if(primary).over(per_query).alias("tail_pos"))
+    below = F.bround(F.coalesce("tail_score", F.lit(0.0)) - (F.col("pos") + 1) * 1e-6, EXTRA_DIGITS)
+    return placed.select(
+        "query_id", F.when(primary, F.col("pos")).otherwise(F.col("tail_pos") + F.col("pos")).alias("pos"), "unit_id",
+        F.when(primary, F.col("score")).otherwise(below).alias("score"), "origins",
+        F.when(primary, "primary").otherwise("secondary").alias("collection"),
+        (~primary | (F.col("pos") < TOP_N)).alias("cut"),
     )
-    return head.unionByName(extra)
 
 
 def islands(ranked: DataFrame, scope: list[str], gap: int = 1, layout: KeyLayout = CLASSIC) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,17 +12,21 @@ from quillspan.functions.keys import CLASSIC, KeyLayout
 from quillspan.functions.refs import reference
 from quillspan.functions.text import words
 from quillspan.operators.vector import rank_within
+from quillspan.session import cut_lineage, remove_folder
+
+Stemmer = Callable[[DataFrame], DataFrame]
 
+BUCKETS = 16
 SEARCH_LIMIT = 100
 VERSION = 2
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def answer_rows(answers: DataFrame) -> DataFrame:
-    """History rows of assembled answers: ids as JSON, the fallback where there is no synopsis.
+    """History rows of assembled answers: ids and timings as JSON, the fallback where there is no synopsis.
 
-    ``answers`` are nested answers with asked_at, question, mode, model_id,
-    index_version and flagged beside them.
+    ``answers`` are nested answers with asked_at, question, mode, model_id, index_version, flagged, timings (a map of
+    seconds by stage) and verdict beside them.
     """
     sent = F.transform(
         F.array_sort(
@@ -35,6 +41,7 @@ def answer_rows(answers: DataFrame) -> DataFrame:
         F.col("query_id").alias("id"), "asked_at", "question", "mode",
         F.coalesce("synopsis", "fallback_text", F.lit("")).alias("answer"), F.to_json(sent).alias("passage_ids"),
         F.to_json("cited_unit_ids").alias("cited_ids"), "model_id", "index_version", "flagged", "fallback_used",
+        F.to_json("timings").alias("timings"), "verdict",
     )
 
 
@@ -47,45 +54,83 @@ def page(entries: DataFrame, limit: int, offset: int = 0, key: str = "id") -> Da
     return entries.orderBy(F.desc(key)).offset(offset).limit(limit)
 
 
-def search(entries: DataFrame, searches: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def _text_of(entries: DataFrame):
+    return F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("answer", F.lit("")))
+
+
+def entry_postings(entries: DataFrame, stem: Stemmer | None = None) -> DataFrame:
+    """(id, term, tf) over question and answer; with ``stem`` the distinct words are stemmed once and joined back."""
+    rows = entries.select("id", F.explode(words(_text_of(entries))).alias("term"))
+    if stem is not None:
+        rows = rows.join(stem(rows.select("term").distinct()), "term").select("id", F.col("stem").alias("term"))
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def search(postings: DataFrame, ids: DataFrame, searches: DataFrame, limit: int = SEARCH_LIMIT,
+           stem: Stemmer | None = None) -> DataFrame:
     """(query_id, id, pos): entries that hold every word of a search string, newest first.
 
-    ``entries``: id, question, answer. ``searches``: query_id, text. A string
-    without words lists the newest entries.
+    ``postings``: the stored index (id, term). ``ids``: id of every entry. ``searches``: query_id, text. A search
+    starts from the entries of its rarest word and looks the other words up there, so a common word never multiplies. A
+    string without words lists the newest entries.
     """
     wanted = searches.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms"))
-    terms = wanted.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    both = F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("answer", F.lit("")))
-    postings = entries.select("id", F.explode(F.array_distinct(words(both))).alias("term"))
-    postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    matched = postings.join(terms, "term").groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("hits"))
-    found = matched.where(F.col("hits") == F.col("n_terms")).select("query_id", "id")
-    newest = entries.select("id").orderBy(F.desc("id")).limit(limit).agg(F.collect_list("id")).scalar()
+    terms = wanted.select("query_id", F.explode("terms").alias("term"))
+    if stem is not None:
+        stems = stem(terms.select("term").distinct())
+        terms = terms.join(stems, "term").select("query_id", F.col("stem").alias("term")).distinct()
+    held = postings.select("id", "term")
+    counts = held.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = terms.join(counts, "term", "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("lead"))
+    begun = rare.join(held.withColumnRenamed("term", "lead"), "lead")
+    others = begun.select("query_id", "id", "lead").join(terms, "query_id").where(F.col("term") != F.col("lead"))
+    met = others.join(held, ["id", "term"], "left_semi").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    found = begun.join(met, ["query_id", "id"], "left").where(
+        F.coalesce("n", F.lit(0)) == F.col("n_terms") - 1).select("query_id", "id")
+    newest = ids.select("id").orderBy(F.desc("id")).limit(limit).agg(F.collect_list("id")).scalar()
     listed = wanted.where(F.size("terms") == 0).select("query_id", newest.alias("ids")).select(
         "query_id", F.explode("ids").alias("id")
     )
     return rank_within(found.unionByName(listed), ["query_id"], [F.desc("id")], limit)
 
 
-def entry_postings(entries: DataFrame) -> DataFrame:
-    """(id, term, tf) over question and answer."""
-    both = F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("answer", F.lit("")))
-    return entries.select("id", F.explode(words(both)).alias("term")).groupBy("id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-
-
-def maintain_postings(postings: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+def maintain_postings(postings: DataFrame, changed: DataFrame, deleted: DataFrame, stem: Stemmer | None = None) -> DataFrame:
     """The index after updates and deletes: old rows of touched ids leave, new rows of changed ids enter.
 
     Only the changed entries are tokenised. ``changed``: id, question, answer. ``deleted``: id.
     """
     touched = changed.select("id").unionByName(deleted.select("id")).distinct()
     return postings.join(touched, "id", "left_anti").unionByName(
-        entry_postings(changed.join(deleted.select("id"), "id", "left_anti"))
+        entry_postings(changed.join(deleted.select("id"), "id", "left_anti"), stem)
     )
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.hash("id"), F.lit(buckets)))
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store the index by buckets of ids, so that a change rewrites the buckets it touches and no others."""
+    _bucketed(postings, buckets).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy(
+        "bucket").parquet(path)
+
+
+def update_postings(path: str, changed: DataFrame, deleted: DataFrame, buckets: int = BUCKETS, stem: Stemmer | None = None) -> None:
+    """Apply changes to a stored index in place. The new buckets are kept in the shared folder before any is replaced."""
+    spark = changed.sparkSession
+    stored = spark.read.parquet(path)
+    touched = _bucketed(changed.select("id").unionByName(deleted.select("id")), buckets).select("bucket").distinct()
+    numbers = [r["bucket"] for r in touched.collect()]  # at most ``buckets`` numbers
+    held = stored.where(F.col("bucket").isin(numbers)).select("id", "term", "tf")
+    fresh = cut_lineage(_bucketed(maintain_postings(held, changed, deleted, stem), buckets))
+    fresh.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    emptied = set(numbers) - {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
+    for number in emptied:
+        remove_folder(spark, f"{path}/bucket={number}")
+
+
 def latest_settings(changes: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Last written value per key."""
     return changes.groupBy(key).agg(F.max_by(value, order).alias(value))
@@ -146,14 +191,6 @@ def stored_passages(entries: DataFrame, works: DataFrame, units: DataFrame, inde
     )
 
 
-def stale_note(stored: Column, current: str) -> Column:
-    """What a reader is told about an answer written against another index."""
-    return F.when(
-        stored != current,
-        F.concat(F.lit("written against index "), stored, F.lit(f", installed is {current}")),
-    )
-
-
 def with_markers_resolved(text: Column, refs: Column, resolvable: Column) -> Column:
     """``[P#]`` markers replaced by `` (reference)``; unknown numbers stay, unresolvable entries lose theirs."""
     pattern = r"\s*\[P(\d+)\]"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -260,8 +260,23 @@ def block_of_units(units: DataFrame, blocks: DataFrame, equi: list[str]) -> Data
     return units.join(bounded, equi).where(F.col("unit_id").between(F.col("start_id"), F.col("end_id")))
 
 
+def _rendered(df: DataFrame, name: str, kind: str) -> Column:
+    """A column as text that any engine renders alike: fractions as whole hundredths or millionths, times as microseconds."""
+    value = F.col(name)
+    if kind in ("double", "float") or kind.startswith("decimal"):
+        value = F.round(value.cast("double") * 100).cast("long")
+    elif kind.startswith("timestamp"):
+        value = F.unix_micros(value.cast("timestamp"))
+    elif kind in ("array<float>", "array<double>"):
+        value = F.array_join(F.transform(value, lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), ",", "~")
+    return F.coalesce(value.cast("string"), F.lit("~"))
+
+
 def content_fingerprint(df: DataFrame) -> DataFrame:
-    """(n_rows, fingerprint): the same for the same rows in any order or partitioning."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).cast("string").alias("fingerprint"))
+    """(n_rows, fingerprint): the same for the same rows in any order or partitioning.
 
+    The sum of the first twelve hexadecimal digits of each row's MD5, columns rendered alike by any engine.
+    """
+    row = F.concat_ws("|", *[_rendered(df, c, k) for c, k in df.dtypes])
+    number = F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("fingerprint"))

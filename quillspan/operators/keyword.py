@@ -1,18 +1,20 @@
 """Keyword index and BM25 ranking.
 
-Each search term is its own ranked list. A list depends on the term alone, so
-it is ranked once per distinct term and then joined to every query that asks
-for the term: the cost follows the vocabulary of the batch, not the product of
-queries and postings.
+The index is built once and searched many times: one row per (word, unit) with its positions, one row per word with its
+document frequency, and one row of corpus statistics. A search reads the postings of its words and never a text.
+
+Each search term is its own ranked list. A list depends on the term alone, so it is ranked once per distinct term and
+then joined to every query that asks for the term: the cost follows the vocabulary of the batch, not the product of
+queries and postings. Terms are tokenised like the texts; a term of several words is a phrase.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import words
@@ -23,6 +25,19 @@ K1 = 1.2
 B = 0.75
 MIN_IDF = 1e-6
 TIE_DIGITS = 12
+#: Folders the stored postings are spread over by word, so that a search opens those of its words only.
+BUCKETS = 16
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """``postings``: bucket, term, unit_id, tf, unit_len, first_pos, positions · ``frequencies``: term, df ·
+    ``statistics``: n_units, mean_len (one row) · ``buckets``: over how many folders the postings are spread."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    statistics: DataFrame
+    buckets: int = BUCKETS
 
 
 def tokenized(units: DataFrame, text: str = "text") -> DataFrame:
@@ -30,23 +45,22 @@ def tokenized(units: DataFrame, text: str = "text") -> DataFrame:
     return units.withColumn("tokens", words(F.col(text))).withColumn("unit_len", F.size("tokens").cast("long"))
 
 
+def _bucket(term, buckets: int):
+    return F.pmod(F.hash(term), F.lit(buckets))
+
+
 def postings(units: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(term, unit_id, tf, unit_len, first_pos): the inverted index.
+    """(term, unit_id, unit_len, tf, first_pos, positions): the inverted index.
 
-    With ``stem`` the vocabulary is stemmed once and joined back, so the stemmer
-    sees each distinct word one time.
+    With ``stem`` the vocabulary is stemmed once and joined back, so the stemmer sees each distinct word one time.
     """
     rows = tokenized(units).select("unit_id", "unit_len", F.posexplode("tokens").alias("token_pos", "term"))
-    counted = rows.groupBy("term", "unit_id", "unit_len").agg(
-        F.count(F.lit(1)).alias("tf"), F.min("token_pos").cast("long").alias("first_pos")
-    )
-    if stem is None:
-        return counted
-    vocabulary = stem(counted.select("term").distinct())
-    return (
-        counted.join(vocabulary, "term")
-        .groupBy(F.col("stem").alias("term"), "unit_id", "unit_len")
-        .agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
+    if stem is not None:
+        rows = rows.join(stem(rows.select("term").distinct()), "term").select(
+            "unit_id", "unit_len", "token_pos", F.col("stem").alias("term"))
+    return rows.groupBy("term", "unit_id", "unit_len").agg(
+        F.count(F.lit(1)).alias("tf"), F.min("token_pos").cast("long").alias("first_pos"),
+        F.sort_array(F.collect_list("token_pos")).alias("positions"),
     )
 
 
@@ -71,6 +85,29 @@ def corpus_statistics(units: DataFrame) -> DataFrame:
     return sized.select("n_units", (F.col("n_tokens") / F.col("n_units")).alias("mean_len"))
 
 
+def build_index(units: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> KeywordIndex:
+    """The index of ``units`` (unit_id, text) as plans; ``write_index`` keeps it."""
+    rows = postings(units, stem).withColumn("bucket", _bucket("term", buckets))
+    return KeywordIndex(rows, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_statistics(units), buckets)
+
+
+def write_index(index: KeywordIndex, path: str) -> None:
+    """Store the index: postings by bucket, ordered by word inside a file, so that readers skip row groups."""
+    (index.postings.repartition("bucket", "term").sortWithinPartitions("bucket", "term")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    spark = index.postings.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    index.statistics.withColumn("buckets", F.lit(index.buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def open_index(spark: SparkSession, path: str) -> KeywordIndex:
+    statistics = spark.read.parquet(f"{path}/statistics")
+    return KeywordIndex(
+        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), statistics.drop("buckets"),
+        statistics.first()["buckets"])
+
+
 def term_weight(tf, unit_len, mean_len, k1: float = K1, b: float = B):
     """The saturating term-frequency part of BM25."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * unit_len / mean_len))
@@ -80,118 +117,92 @@ def inverse_frequency(n_units, df):
     return F.greatest(F.log((n_units - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF))
 
 
-def phrase_hits(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, unit_id, unit_len, tf): units holding a term's words in a row.
-
-    A one-word term is a plain match. Longer terms are found by their first
-    word and then checked against the token array around it, so no pair of
-    positions is ever joined.
-    """
+def _asked(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(term, width, at, word): the words of each distinct term in order."""
     wanted = terms.select("term").distinct().withColumn("term_words", words(F.col("term")))
-    wanted = wanted.where(F.size("term_words") > 0).select(
-        "term", "term_words", F.element_at("term_words", 1).alias("head"), F.size("term_words").alias("width")
-    )
-    rows = tokenized(units).select("unit_id", "unit_len", "tokens")
-    hits = rows.select("unit_id", "unit_len", F.posexplode("tokens").alias("at", "head"), "tokens")
-    # the slice long enough for the widest term is cut before the join
-    widest = wanted.agg(F.coalesce(F.max("width"), F.lit(1))).scalar()
-    hits = hits.select("unit_id", "unit_len", "head", F.slice("tokens", F.col("at") + 1, widest).alias("window"))
-    matched = hits.join(wanted, "head").where(
-        F.slice("window", 1, F.col("width")) == F.col("term_words")
-    )
-    return matched.groupBy("term", "unit_id", "unit_len").agg(F.count(F.lit(1)).alias("tf"))
+    rows = wanted.select("term", F.size("term_words").alias("width"), F.posexplode("term_words").alias("at", "word"))
+    if stem is None:
+        return rows
+    stems = stem(rows.select(F.col("word").alias("term")).distinct()).select(F.col("term").alias("word"), "stem")
+    return rows.join(stems, "word").select("term", "width", "at", F.col("stem").alias("word"))
+
 
+def _lookup(index: KeywordIndex, asked: DataFrame, *columns: str) -> DataFrame:
+    """Postings of the asked words; the bucket takes part, so folders without them are skipped."""
+    keyed = asked.withColumnRenamed("word", "_word").withColumn("_bucket", _bucket("_word", index.buckets))
+    found = index.postings
+    return keyed.join(found, (found["bucket"] == keyed["_bucket"]) & (found["term"] == keyed["_word"])).select(
+        *[keyed[c] for c in asked.columns if c != "word"], *[found[c] for c in columns])
 
-def score_terms(units: DataFrame, terms: DataFrame, phrases: bool = False) -> DataFrame:
-    """(term, unit_id, tf, df, weight, score) for every match of the wanted terms.
+
+def matches(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, unit_id, unit_len, tf): units that hold a term, its words in a row.
+
+    A phrase starts from the postings of its rarest word. Its other words are looked up in the units found so, which
+    keeps a common word from meeting all its units.
+    """
+    asked = _asked(index, terms, stem)
+    single = _lookup(index, asked.where("width = 1").select("term", "word"), "unit_id", "unit_len", "tf")
+    phrase = asked.where("width > 1").join(
+        index.frequencies.select(F.col("term").alias("word"), "df"), "word", "left").select(
+        "term", "width", "at", "word", F.coalesce("df", F.lit(0)).alias("df"))
+    lead = phrase.groupBy("term", "width").agg(F.min_by(F.struct("at", "word"), F.struct("df", "at")).alias("l"))
+    begun = _lookup(index, lead.select("term", "width", "l.at", "l.word"), "unit_id", "unit_len", "positions")
+    starts = F.filter(F.transform("positions", lambda p: p - F.col("at")), lambda p: p >= 0).alias("starts")
+    begun = begun.select("term", "width", "at", "unit_id", "unit_len", starts)
+    rest = phrase.select("term", "at", "word").join(lead.select("term", F.col("l.at").alias("lead_at")), "term").where("at <> lead_at")
+    tried = begun.select("term", "width", "unit_id", "unit_len").join(rest.select("term", "at", "word"), "term")
+    keyed = tried.withColumnRenamed("word", "_word").withColumn("_bucket", _bucket("_word", index.buckets))
+    found = index.postings.select(
+        F.col("bucket").alias("_bucket"), F.col("term").alias("_word"), "unit_id", "positions")
+    others = keyed.join(found, ["_bucket", "_word", "unit_id"]).select("term", "width", "unit_id", "unit_len", starts)
+    every = begun.select("term", "width", "unit_id", "unit_len", "starts").unionByName(others)
+    placed = every.select("term", "width", "unit_id", "unit_len", F.explode("starts").alias("start"))
+    whole = placed.groupBy("term", "width", "unit_id", "unit_len", "start").agg(F.count(F.lit(1)).alias("n")).where("n = width")
+    several = whole.groupBy("term", "unit_id", "unit_len").agg(F.count(F.lit(1)).alias("tf"))
+    return single.unionByName(several)
+
+
+def score_terms(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, unit_id, tf, df, weight, idf) for every match of the wanted terms.
 
     Document frequency and mean length run over the whole corpus.
     """
-    wanted = terms.select("term").distinct()
-    if phrases:
-        matches = phrase_hits(units, wanted)
-    else:
-        rows = tokenized(units).select("unit_id", "unit_len", F.explode("tokens").alias("term"))
-        matches = (
-            rows.join(wanted, "term", "left_semi")
-            .groupBy("term", "unit_id", "unit_len")
-            .agg(F.count(F.lit(1)).alias("tf"))
-        )
-    frequency = matches.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_statistics(units)
-    mean_len = stats.select("mean_len").scalar()
-    n_units = stats.select("n_units").scalar()
-    return matches.join(frequency, "term").select(
+    found = matches(index, terms, stem)
+    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    mean_len = index.statistics.select("mean_len").scalar()
+    n_units = index.statistics.select("n_units").scalar()
+    return found.join(frequency, "term").select(
         "term", "unit_id", "tf", "df",
         F.round(term_weight(F.col("tf"), F.col("unit_len"), mean_len), TIE_DIGITS).alias("weight"),
         inverse_frequency(n_units, F.col("df")).alias("idf"),
     )
 
 
-def bm25_lists(units: DataFrame, terms: DataFrame, limit: int, phrases: bool = False,
-               scored: DataFrame | None = None) -> DataFrame:
-    """(term, unit_id, score, pos): the ``limit`` best units of every distinct term."""
-    scored = score_terms(units, terms, phrases) if scored is None else scored
-    ranked = rank_within(scored, ["term"], [F.desc("weight"), F.asc("unit_id")], limit)
+def bm25_lists(scored: DataFrame, limit: int, scope: list[str] | None = None) -> DataFrame:
+    """(scope, term, unit_id, score, pos): the ``limit`` best units of every distinct term among ``scored`` matches."""
+    ranked = rank_within(scored, [*(scope or []), "term"], [F.desc("weight"), F.asc("unit_id")], limit)
     return ranked.withColumn("score", F.col("idf") * F.col("weight"))
 
 
-def bm25_topk(units: DataFrame, query_terms: DataFrame, limit: int, phrases: bool = False) -> DataFrame:
+def bm25_topk(index: KeywordIndex, query_terms: DataFrame, limit: int,
+              stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, term_no, term, unit_id, score, pos) for a batch of query terms.
 
     A term that matches nothing, or holds no word at all, yields an empty list.
     """
-    lists = bm25_lists(units, query_terms, limit, phrases)
+    lists = bm25_lists(score_terms(index, query_terms, stem), limit)
     return query_terms.select("query_id", "term_no", "term").join(lists, "term")
 
 
-def term_hits(units: DataFrame, terms: DataFrame, group: str) -> DataFrame:
-    """Distinct units and groups (works) that hold each term."""
-    rows = tokenized(units).select("unit_id", group, F.explode(F.array_distinct("tokens")).alias("term"))
-    return (
-        rows.join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", group)
-        .agg(F.count(F.lit(1)).alias("n_units"))
-        .groupBy("term")
-        .agg(F.sum("n_units").alias("n_units"), F.count(F.lit(1)).alias("n_groups"))
-    )
+def term_hits(index: KeywordIndex, terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """(term, n_units, n_groups): distinct units and groups (works) that hold each term. ``groups``: unit_id, group."""
+    found = matches(index, terms).select("term", "unit_id").join(groups.select("unit_id", "group"), "unit_id")
+    return found.groupBy("term", "group").agg(F.count(F.lit(1)).alias("n_units")).groupBy("term").agg(
+        F.sum("n_units").alias("n_units"), F.count(F.lit(1)).alias("n_groups"))
 
 
-def contained_phrases(phrases: DataFrame, texts: DataFrame, width: int = 8) -> DataFrame:
-    """(phrase_id, text_id): texts that hold a phrase as a run of whole words.
-
-    ``phrases``: phrase_id, text. ``texts``: text_id, text. Candidates meet on
-    the phrase's opening run of up to ``width`` words (one hash per position of
-    the text), so no phrase is compared with a text that lacks its opening.
-    """
-    asked = phrases.select("phrase_id", words(F.col("text")).alias("phrase_words")).where(
-        F.size("phrase_words") > 0
-    )
-    asked = asked.withColumn("run", F.least(F.size("phrase_words"), F.lit(width)))
-    asked = asked.withColumn("opening", F.xxhash64(F.slice("phrase_words", 1, F.col("run"))))
-    # at most ``width`` different lengths, so this is a handful of integers
-    runs = sorted(row[0] for row in asked.select("run").distinct().collect()) or [width]
-    rows = texts.select("text_id", words(F.col("text")).alias("tokens"))
-    keyed = rows.select("text_id", "tokens", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run")).where(
-        F.size("tokens") >= F.col("run")
-    )
-    keyed = keyed.select(
-        "text_id", "run",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("tokens") - F.col("run") + 1),
-                lambda i: F.xxhash64(F.slice("tokens", i, F.col("run"))),
-            )
-        ).alias("opening"),
-    )
-    candidates = (
-        keyed.join(asked.select("phrase_id", "run", "opening"), ["run", "opening"])
-        .select("phrase_id", "text_id").distinct()
-    )
-    padded = lambda tokens: F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return (
-        candidates.join(asked.select("phrase_id", padded(F.col("phrase_words")).alias("needle")), "phrase_id")
-        .join(rows.select("text_id", padded(F.col("tokens")).alias("hay")), "text_id")
-        .where(F.col("hay").contains(F.col("needle")))
-        .select("phrase_id", "text_id")
-    )
+def contained_phrases(phrases: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(phrase_id, unit_id): units that hold a phrase as a run of whole words. ``phrases``: phrase_id, text."""
+    named = phrases.select("phrase_id", F.col("text").alias("term"))
+    return named.join(matches(index, named).select("term", "unit_id"), "term").select("phrase_id", "unit_id").distinct()

@@ -25,3 +25,36 @@ def count_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     counts = df.agg(*[F.count_if(~rules[n]).alias(f"r{i}") for i, n in enumerate(names)])
     pairs = ", ".join(f"'{n}', r{i}" for i, n in enumerate(names))
     return counts.selectExpr(f"stack({len(names)}, {pairs}) AS (rule, violations)")
+
+
+def outside_parent(parts: DataFrame, wholes: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """(rule, violations): parts that do not lie inside the whole of their keys, or have none.
+
+    ``parts`` and ``wholes``: keys, start_id, end_id. The keys keep the interval check a hash join.
+    """
+    bounds = wholes.select(*keys, F.col("start_id").alias("_low"), F.col("end_id").alias("_high"))
+    inside = (F.col("start_id") >= F.col("_low")) & (F.col("end_id") <= F.col("_high"))
+    return _counted(parts.join(bounds, keys, "left").where(~F.coalesce(inside, F.lit(False))), rule)
+
+
+def outside_all(units: DataFrame, wholes: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """(rule, violations): units that no whole of their keys holds. ``wholes``: keys, start_id, end_id."""
+    bounds = wholes.select(*keys, "start_id", "end_id")
+    held = units.join(bounds, keys).where(F.col("unit_id").between(F.col("start_id"), F.col("end_id"))).select("unit_id").distinct()
+    return _counted(units.join(held, "unit_id", "left_anti"), rule)
+
+
+def not_from_zero(parts: DataFrame, keys: list[str], rule: str) -> DataFrame:
+    """(rule, violations): wholes whose part numbers are not 0, 1, 2 … without a gap."""
+    spans = parts.groupBy(*keys).agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count_distinct("part").alias("n"))
+    return _counted(spans.where((F.col("low") != 0) | (F.col("high") != F.col("n") - 1)), rule)
+
+
+def _counted(rows: DataFrame, rule: str) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+
+def content_works(works: DataFrame, dropped: list[str], collections: list[str], eras: list[str]) -> DataFrame:
+    """Works without the non-content ones (by code), with ``known``: whether collection and era are listed values."""
+    known = F.col("collection").isin(collections) & F.col("era").isin(eras)
+    return works.where(~F.col("code").isin(dropped)).withColumn("known", F.coalesce(known, F.lit(False)))

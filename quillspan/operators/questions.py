@@ -2,48 +2,42 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import collapse_spaces
 
-MAX_TERMS = 10_000
 
+def query_modes(questions: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, mode, terms, query_text): what the raw, rewritten and fused form of every question searches and embeds.
 
-def query_modes(questions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mode, terms): the raw, rewritten and fused term list of every question.
-
-    ``questions``: keys, own, rewrites. Without rewrites the rewrite mode falls
-    back to the question's own terms.
+    ``questions``: keys, ``text``, own, rewrites. The rewritten form embeds the question with its rewrites and, without
+    any, falls back to the raw form. The fused form searches the own terms and the rewrites, repeats included: a term
+    that is in both is a second list.
     """
     own, rewrites = F.col("own"), F.coalesce("rewrites", F.array().cast("array<string>"))
+    with_rewrites = F.concat(F.col(text), F.lit(" "), F.array_join(rewrites, " "))
+    given = F.size(rewrites) > 0
     modes = {
-        "raw": own,
-        "rewrite": F.when(F.size(rewrites) > 0, rewrites).otherwise(own),
-        "fused": F.concat(own, F.filter(rewrites, lambda r: ~F.array_contains(own, r))),
+        "raw": (own, F.col(text)),
+        "rewrite": (F.when(given, rewrites).otherwise(own), F.when(given, with_rewrites).otherwise(F.col(text))),
+        "fused": (F.concat(own, rewrites), with_rewrites),
     }
-    listed = F.array(*[F.struct(F.lit(m).alias("mode"), t.alias("terms")) for m, t in modes.items()])
+    listed = F.array(*[F.struct(F.lit(m).alias("mode"), t.alias("terms"), q.alias("query_text")) for m, (t, q) in modes.items()])
     return questions.select(*keys, F.inline(listed))
 
 
 def flag_phrases(questions: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """Add ``flagged`` and ``term``, the first listed term the normalised text contains.
 
-    The list is a literal of checked size, so flagging stays a projection and
-    works on streams unchanged.
+    The list is one array literal of any length, so flagging stays a projection and works on streams unchanged.
     """
     if not terms:
         raise ValueError("the phrase list holds no terms; a list that matches nothing is refused")
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"{len(terms)} phrases are too many for an in-plan list (limit {MAX_TERMS})")
     normal = F.trim(collapse_spaces(F.lower(text)))
-    first = reduce(
-        lambda later, term: F.when(F.col("_normal").contains(term), F.lit(term)).otherwise(later),
-        reversed(terms), F.lit(None).cast("string"),
-    )
-    return (
-        questions.withColumn("_normal", normal).withColumn("term", first)
-        .withColumn("flagged", F.col("term").isNotNull()).drop("_normal")
-    )
+    listed = F.from_json(F.lit(json.dumps(list(terms))), "array<string>")
+    found = questions.withColumn("_normal", normal).withColumn(
+        "term", F.get(F.filter(listed, lambda t: F.col("_normal").contains(t)), F.lit(0)))
+    return found.withColumn("flagged", F.col("term").isNotNull()).drop("_normal")

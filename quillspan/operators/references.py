@@ -39,7 +39,7 @@ def name_key(written: Column) -> Column:
 def name_variants(code: Column, name: Column, abbrev: Column, aliases: Column | None = None) -> Column:
     """Every way a work is written, most formal first."""
     tail = F.trim(F.regexp_replace(name, r"^.*\bCalled\b\s*", ""))
-    bare = lambda v: F.when(F.lower(v).startswith("the "), F.substring(v, 5, 10_000))
+    bare = lambda v: F.when(F.lower(v).startswith("the "), F.substring(v, F.lit(5), F.length(v)))
     number = F.regexp_extract(code, r"^([123])", 1)
     base = F.regexp_replace(tail, r"^[123]\s*", "")
     spelled = F.when(number == "1", F.array(F.lit("first "), F.lit("i "))).when(
@@ -81,7 +81,7 @@ def lookup_keys(key: Column) -> Column:
     rewritten = [
         F.when(
             key.startswith(word) & (F.length(key) > len(word)),
-            F.concat(F.lit(digit), F.substring(key, len(word) + 1, 10_000)),
+            F.concat(F.lit(digit), F.substring(key, F.lit(len(word) + 1), F.length(key))),
         )
         for word, digit in by_length
     ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, KeyLayout
 from quillspan.operators import fusion
-from quillspan.operators.keyword import bm25_lists, score_terms
+from quillspan.operators.keyword import KeywordIndex, bm25_lists, score_terms
 from quillspan.operators.vector import (
-    OVERFETCH, filter_after_cap, flatten_blocks, in_mode, query_batch, vector_topk, with_collection,
+    OVERFETCH, filter_after_cap, flatten_blocks, for_modes, query_batch, vector_topk, with_collection,
 )
 
 POOL = 100
@@ -26,7 +27,7 @@ class SearchIndex:
 
     ``unit_vectors``: key, vec · ``block_vectors``: key (the block's first unit), vec ·
     ``block_members``: block_id, unit_id · ``topic_vectors``: key (topic id), vec ·
-    ``topic_units``: topic_id, unit_id · ``units``: unit_id, text ·
+    ``topic_units``: topic_id, unit_id · ``keywords``: the stored keyword index ·
     ``edges``: from_id, to_id, anchor · ``works``: work_id, collection
     """
 
@@ -35,7 +36,7 @@ class SearchIndex:
     block_members: DataFrame
     topic_vectors: DataFrame
     topic_units: DataFrame
-    units: DataFrame
+    keywords: KeywordIndex
     edges: DataFrame
     works: DataFrame
     layout: KeyLayout = CLASSIC
@@ -59,54 +60,56 @@ def find_hits(index: SearchIndex, queries: DataFrame, query_terms: DataFrame, po
         units=vector_topk(batch, index.unit_vectors, pool * OVERFETCH),
         blocks=vector_topk(batch, index.block_vectors, pool * OVERFETCH),
         topics=vector_topk(batch, index.topic_vectors, TOPIC_HITS),
-        terms=score_terms(index.units, query_terms),
+        terms=score_terms(index.keywords, query_terms),
         query_terms=query_terms,
     )
 
 
-def ranked_lists(index: SearchIndex, hits: Hits, mode: str, pool: int = POOL) -> DataFrame:
-    """(query_id, origin, unit_id, pos, weight, listed) of all three ranked paths."""
-    units = filter_after_cap(hits.units, index.works, mode, pool, index.layout).select(
-        "query_id", F.lit("vector-unit").alias("origin"), F.col("key").alias("unit_id"), "pos",
+def ranked_lists(index: SearchIndex, hits: Hits, modes: str | tuple[str, ...], pool: int = POOL) -> DataFrame:
+    """(query_id, origin, unit_id, pos, weight, listed) of all three ranked paths; several modes add ``mode``."""
+    wanted = modes if isinstance(modes, tuple) else (modes,)
+    units = filter_after_cap(hits.units, index.works, wanted, pool, index.layout).select(
+        "mode", "query_id", F.lit("vector-unit").alias("origin"), F.col("key").alias("unit_id"), "pos",
         F.lit(True).alias("listed"),
     )
-    blocks = filter_after_cap(hits.blocks, index.works, mode, pool, index.layout)
+    blocks = filter_after_cap(hits.blocks, index.works, wanted, pool, index.layout)
     flat = flatten_blocks(blocks.withColumnRenamed("key", "block_id"), index.block_members, pool).select(
-        "query_id", F.lit("vector-block").alias("origin"), "unit_id", "pos", "listed"
+        "mode", "query_id", F.lit("vector-block").alias("origin"), "unit_id", "pos", "listed"
     )
     # the keyword filter sits inside the ranking, before its limit
-    readable = with_collection(hits.terms, "unit_id", index.works, index.layout).where(
-        in_mode(F.col("collection"), mode)
-    )
-    term_lists = bm25_lists(index.units, hits.query_terms, pool, scored=readable)
+    readable = for_modes(with_collection(hits.terms, "unit_id", index.works, index.layout), wanted)
+    term_lists = bm25_lists(readable, pool, ["mode"])
     keyword = hits.query_terms.select("query_id", "term").join(term_lists, "term").select(
-        "query_id", F.lit("keyword").alias("origin"), "unit_id", "pos", F.lit(True).alias("listed")
+        "mode", "query_id", F.lit("keyword").alias("origin"), "unit_id", "pos", F.lit(True).alias("listed")
     )
-    every = reduce(DataFrame.unionByName, [units, flat, keyword])
-    return every.withColumn("weight", F.lit(1.0))
+    every = reduce(DataFrame.unionByName, [units, flat, keyword]).withColumn("weight", F.lit(1.0))
+    return every if isinstance(modes, tuple) else every.drop("mode")
 
 
-def search(index: SearchIndex, hits: Hits, mode: str, pool: int = POOL,
+def search(index: SearchIndex, hits: Hits, modes: str | tuple[str, ...], pool: int = POOL,
            paths: tuple[str, ...] = ALL_PATHS) -> DataFrame:
-    """(query_id, pos, unit_id, score, origins): the full ranking of one mode."""
-    lists = ranked_lists(index, hits, mode, pool).where(F.col("origin").isin(*paths))
-    scope = ["query_id"]
+    """(query_id, pos, unit_id, score, origins): the full ranking.
+
+    Several modes are one plan: the mode is a column, and every path is ranked once.
+    """
+    wanted = modes if isinstance(modes, tuple) else (modes,)
+    lists = ranked_lists(index, hits, wanted, pool).where(F.col("origin").isin(*paths))
+    scope = ["mode", "query_id"]
     scores = fusion.fuse(lists, scope)
     if "topic" in paths:
         topics = hits.topics.select("query_id", F.col("key").alias("topic_id"))
-        boost = fusion.topic_boost(topics, index.topic_units, index.works, mode, index.layout)
+        boost = fusion.topic_boost(topics, index.topic_units, index.works, wanted, index.layout)
         scores = fusion.add_boost(scores, boost, "topic", scope)
     if "edge" in paths:
-        boost = fusion.edge_boost(scores, index.edges, index.works, mode, scope, index.layout)
+        boost = fusion.edge_boost(scores, index.edges, index.works, None, scope, index.layout)
         scores = fusion.add_boost(scores, boost, "edge", scope)
-    return fusion.final_ranking(scores, scope)
+    ranked = fusion.final_ranking(scores, scope)
+    return ranked if isinstance(modes, tuple) else ranked.drop("mode")
 
 
 def additive_search(index: SearchIndex, hits: Hits, pool: int = POOL) -> DataFrame:
     """Both collections without displacing a single primary result."""
-    return fusion.append_secondary(
-        search(index, hits, "primary", pool), search(index, hits, "secondary-only", pool)
-    )
+    return fusion.append_secondary(search(index, hits, ("primary", "secondary-only"), pool))
 
 
 def ablation(index: SearchIndex, hits: Hits, mode: str, pool: int = POOL) -> DataFrame:
@@ -128,3 +131,17 @@ def ablation(index: SearchIndex, hits: Hits, mode: str, pool: int = POOL) -> Dat
         boosted.where(F.col("config").isin(using("edge"))), index.edges, index.works, mode, scope, index.layout
     )
     return fusion.final_ranking(fusion.add_boost(boosted, edges, "edge", scope), scope)
+
+
+def ablation_passages(index: SearchIndex, hits: Hits, mode: str, rerank: Callable[[DataFrame], DataFrame],
+                      pool: int = POOL) -> DataFrame:
+    """(config, query_id, rank, passage columns): passages of every configuration, reranked ones included.
+
+    ``rerank`` scores the head of a configuration: passages to (config, query_id, rank, new_score).
+    """
+    scope = ["config", "query_id"]
+    found = fusion.islands(ablation(index, hits, mode, pool), scope, layout=index.layout)
+    again = [found.where(F.col("config") == base).withColumn("config", F.lit(name)) for name, base in fusion.RERANKED.items()]
+    heads = [fusion.rerank_head(p, rerank(p.where(F.col("rank") < fusion.RERANK_HEAD)), scope) for p in again]
+    moved = [h.withColumn("rank", F.col("new_rank")).drop("new_rank").select(*found.columns) for h in heads]
+    return reduce(DataFrame.unionByName, [found, *moved])

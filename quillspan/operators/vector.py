@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,31 +17,49 @@ from quillspan.functions.keys import CLASSIC, KeyLayout
 SCORE_DIGITS = 9
 OVERFETCH = 4
 FLATTEN_FACTOR = 4
-# A query matrix of this many double cells (256 MB) may be broadcast; a larger
-# batch is joined to the corpus block by block instead.
-MAX_BROADCAST_CELLS = 32_000_000
+# Bounds of one pass over the corpus: cells of the broadcast query matrix (128 MB of doubles), cells of the best-so-far
+# table (two 8-byte numbers each), and cells of a block of scores inside a task (32 MB).
+MATRIX_CELLS = 16_000_000
+BEST_CELLS = 8_000_000
+BLOCK_CELLS = 4_000_000
 
 
 class TopK:
-    """Best ``k`` (score, key) pairs per query, merged one corpus block at a time."""
+    """Best ``k`` (score, key) pairs per query, merged one block of scores at a time; ties go to the lower key."""
 
     def __init__(self, n_queries: int, k: int) -> None:
         self.k = k
-        self.scores = np.empty((n_queries, 0))
-        self.keys = np.empty((n_queries, 0), dtype=np.int64)
+        self.scores = np.full((n_queries, k), -np.inf)
+        self.keys = np.full((n_queries, k), np.iinfo(np.int64).max)
 
-    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+    def add(self, at: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        """Merge the scores (queries × keys) of the queries from number ``at`` on."""
         scores = np.round(scores, SCORE_DIGITS)
-        if scores.shape[1] > 4 * self.k:
-            # keep everything at or above the k-th best, ties included
-            floor = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            keep = np.flatnonzero((scores >= floor[:, None]).any(axis=0))
-            scores, keys = scores[:, keep], keys[keep]
-        all_scores = np.concatenate([self.scores, scores], axis=1)
-        all_keys = np.concatenate([self.keys, np.broadcast_to(keys, scores.shape)], axis=1)
-        order = np.lexsort((all_keys, -all_scores), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(all_scores, order, axis=1)
-        self.keys = np.take_along_axis(all_keys, order, axis=1)
+        keys = np.broadcast_to(keys, scores.shape)
+        if scores.shape[1] > 2 * self.k:
+            scores, keys = self._leading(scores, keys)
+        rows = slice(at, at + len(scores))
+        scores = np.concatenate([self.scores[rows], scores], axis=1)
+        keys = np.concatenate([self.keys[rows], keys], axis=1)
+        order = np.lexsort((keys, -scores), axis=1)[:, : self.k]
+        self.scores[rows] = np.take_along_axis(scores, order, axis=1)
+        self.keys[rows] = np.take_along_axis(keys, order, axis=1)
+
+    def _leading(self, scores: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Twice ``k`` columns of each row, the best ``k`` among them whatever the ties."""
+        width = 2 * self.k
+        best = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+        kept = np.take_along_axis(scores, best, axis=1)
+        floor = -np.partition(-kept, self.k - 1, axis=1)[:, self.k - 1]
+        for row in np.flatnonzero(kept.min(axis=1) >= floor):  # ties reach beyond what was kept
+            best[row] = np.lexsort((keys[row], -scores[row]))[:width]
+        return np.take_along_axis(scores, best, axis=1), np.take_along_axis(keys, best, axis=1)
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        held = np.isfinite(self.scores)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(self.keys[held]), pa.array(self.scores[held])],
+            names=["query_id", "key", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -52,67 +70,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _scan_topk(corpus: DataFrame, query_ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
+def scan_block(best: TopK, queries: np.ndarray, corpus: np.ndarray, keys: np.ndarray, block_cells: int) -> int:
+    """Score a piece of the corpus in blocks of at most ``block_cells`` cells; returns the largest block's cells."""
+    wide = max(1, min(len(corpus), block_cells))
+    tall, largest = max(1, block_cells // wide), 0
+    for left in range(0, len(corpus), wide):
+        piece = corpus[left : left + wide].T
+        for top in range(0, len(queries), tall):
+            scores = queries[top : top + tall] @ piece
+            largest = max(largest, scores.size)
+            best.add(top, scores, keys[left : left + wide])
+    return largest
+
+
+def _scan_topk(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, block_cells: int) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         best = TopK(len(ids), k)
         for batch in batches:
             if batch.num_rows:
-                best.add(queries @ _matrix(batch.column("vec")).T, batch.column("key").to_numpy())
-        width = best.scores.shape[1]
-        if width:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, width)),
-                    pa.array(best.keys.ravel()),
-                    pa.array(best.scores.ravel()),
-                ],
-                names=["query_id", "key", "score"],
-            )
+                scan_block(best, queries, _matrix(batch.column("vec")), batch.column("key").to_numpy(), block_cells)
+        yield best.rows(ids)
 
     return corpus.select("key", "vec").mapInArrow(scan, "query_id long, key long, score double")
 
 
-def _grid_topk(corpus: DataFrame, queries: DataFrame, k: int, chunks: int, parts: int) -> DataFrame:
-    """Block by block: every (query chunk, corpus part) pair is one bounded task."""
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype(
-                {"query_id": "int64", "key": "int64", "score": "float64"}
-            )
-        best = TopK(len(left), k)
-        matrix = np.stack(left["vec"].to_numpy()).astype(np.float64)
-        for at in range(0, len(right), 16_384):
-            piece = right.iloc[at : at + 16_384]
-            corpus_block = np.stack(piece["vec"].to_numpy()).astype(np.float64)
-            best.add(matrix @ corpus_block.T, piece["key"].to_numpy())
-        width = best.scores.shape[1]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(left["query_id"].to_numpy(), width),
-                "key": best.keys.ravel(),
-                "score": best.scores.ravel(),
-            }
-        )
-
-    left = queries.select(
-        "query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    right = corpus.select(
-        "key", "vec", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-    )
-    return (
-        left.groupBy("chunk", "part")
-        .cogroup(right.groupBy("chunk", "part"))
-        .applyInPandas(block, "query_id long, key long, score double")
-    )
-
-
 def rank_within(df: DataFrame, groups: list[str], order: list[Column], limit: int | None = None,
                 name: str = "pos") -> DataFrame:
     """0-based position within a group; a limit runs map-side before the shuffle."""
@@ -125,57 +109,68 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column], limit: in
 
 @dataclass(frozen=True)
 class QueryBatch:
-    """Query vectors measured once; ``matrix`` is held only when its size was checked."""
+    """Query vectors, measured once; ``fetched`` is held only when one pass takes them all."""
 
     queries: DataFrame
     n_queries: int
     dim: int
-    ids: np.ndarray | None
-    matrix: np.ndarray | None
+    fetched: tuple[np.ndarray, np.ndarray] | None = None
 
-    @property
-    def fits(self) -> bool:
-        return self.matrix is not None
 
+def _fetch(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = queries.toArrow()
+    return table.column("query_id").to_numpy(), _matrix(table.column("vec"))
 
-def query_batch(queries: DataFrame, max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> QueryBatch:
-    """Measure ``queries`` (query_id, vec) and fetch the vectors when they are few enough."""
+
+def query_batch(queries: DataFrame, matrix_cells: int = MATRIX_CELLS) -> QueryBatch:
+    """Measure ``queries`` (query_id, vec) and fetch them if they fit one pass."""
     queries = queries.select(F.col("query_id").cast("long"), "vec")
     n_queries, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).head()
-    if n_queries * dim > max_broadcast_cells:
-        return QueryBatch(queries, n_queries, dim, None, None)
-    fetched = queries.toArrow()
-    return QueryBatch(queries, n_queries, dim, fetched.column("query_id").to_numpy(), _matrix(fetched.column("vec")))
+    return QueryBatch(queries, n_queries, dim, _fetch(queries) if n_queries * dim <= matrix_cells else None)
 
 
-def vector_topk(queries: DataFrame | QueryBatch, corpus: DataFrame, k: int,
-                max_broadcast_cells: int = MAX_BROADCAST_CELLS,
-                corpus_part_rows: int = 200_000) -> DataFrame:
+def vector_topk(queries: DataFrame | QueryBatch, corpus: DataFrame, k: int, matrix_cells: int = MATRIX_CELLS,
+                best_cells: int = BEST_CELLS, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(query_id, key, score, pos): the exact ``k`` best dot products per query.
 
-    ``queries``: query_id, vec, or a batch measured before. ``corpus``: key,
-    vec. Ties go to the lower key. A query batch of checked size is broadcast
-    and the corpus scanned in place without a shuffle; a larger one runs on a
-    (query chunk × corpus part) grid.
+    ``queries``: query_id, vec, or a batch measured before. ``corpus``: key, vec. Ties go to the lower key. The corpus
+    is scanned where it lies, without a shuffle. The queries go out in passes whose matrix and whose best-so-far table
+    are bounded, and a task scores blocks of bounded size, so no task grows with the batch.
     """
-    batch = queries if isinstance(queries, QueryBatch) else query_batch(queries, max_broadcast_cells)
+    batch = queries if isinstance(queries, QueryBatch) else query_batch(queries, matrix_cells)
     corpus = corpus.select(F.col("key").cast("long").alias("key"), "vec")
-    if batch.fits:
-        partial = _scan_topk(corpus, batch.ids, batch.matrix, k)
+    passes = max(1, -(-batch.n_queries * batch.dim // matrix_cells), -(-batch.n_queries * k // best_cells))
+    if passes == 1 and batch.fetched is not None:
+        found = _scan_topk(corpus, *batch.fetched, k, block_cells)
     else:
-        chunks = -(-batch.n_queries * batch.dim // max_broadcast_cells)
-        parts = max(-(-corpus.count() // corpus_part_rows), 1)
-        partial = _grid_topk(corpus, batch.queries, k, chunks, parts)
-    return rank_within(partial, ["query_id"], [F.desc("score"), F.asc("key")], k)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        # Hashing spreads unevenly, so a part is cut again to what one pass takes.
+        rows = max(1, min(matrix_cells // max(1, batch.dim), best_cells // k))
+        scans = []
+        for number in range(passes):
+            ids, matrix = _fetch(batch.queries.where(part == number))
+            for at in range(0, len(ids), rows):
+                scans.append(_scan_topk(corpus, ids[at : at + rows], matrix[at : at + rows], k, block_cells))
+        found = reduce(DataFrame.unionByName, scans) if scans else _scan_topk(
+            corpus, np.empty(0, np.int64), np.empty((0, 0)), k, block_cells)
+    return rank_within(found, ["query_id"], [F.desc("score"), F.asc("key")], k)
+
+
+MODES = ("primary", "secondary-only", "both")
+
 
+def in_mode(collection: Column, mode: str | Column) -> Column:
+    """Which collection a mode reads: ``primary``, ``secondary-only`` or ``both``. A mode may be a column."""
+    if isinstance(mode, Column):
+        return ((mode == "both") | ((mode == "primary") & (collection == "primary"))
+                | ((mode == "secondary-only") & (collection == "secondary")))
+    return {"primary": collection == "primary", "secondary-only": collection == "secondary", "both": F.lit(True)}[mode]
 
-def in_mode(collection: Column, mode: str) -> Column:
-    """Which collection a mode reads: ``primary``, ``secondary-only`` or ``both``."""
-    return {
-        "primary": collection == "primary",
-        "secondary-only": collection == "secondary",
-        "both": F.lit(True),
-    }[mode]
+
+def for_modes(df: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """Rows (with a ``collection``) once for every mode that reads them, as column ``mode``."""
+    listed = df.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    return listed.where(in_mode(F.col("collection"), F.col("mode")))
 
 
 def with_collection(df: DataFrame, key: str, works: DataFrame, layout: KeyLayout) -> DataFrame:
@@ -187,11 +182,17 @@ def with_collection(df: DataFrame, key: str, works: DataFrame, layout: KeyLayout
     )
 
 
-def filter_after_cap(ranked: DataFrame, works: DataFrame, mode: str, limit: int,
+def filter_after_cap(ranked: DataFrame, works: DataFrame, modes: str | tuple[str, ...], limit: int,
                      layout: KeyLayout = CLASSIC) -> DataFrame:
-    """Keep ``limit`` rows of a mode *after* the over-fetch cap, so a list may come up short."""
-    kept = with_collection(ranked.drop("pos"), "key", works, layout).where(in_mode(F.col("collection"), mode))
-    return rank_within(kept, ["query_id"], [F.desc("score"), F.asc("key")], limit)
+    """Keep ``limit`` rows of a mode *after* the over-fetch cap, so a list may come up short.
+
+    Several modes come out as rows with a ``mode`` column.
+    """
+    several = isinstance(modes, tuple)
+    kept = for_modes(with_collection(ranked.drop("pos"), "key", works, layout), modes if several else (modes,))
+    scope = ["mode", "query_id"]
+    out = rank_within(kept, scope, [F.desc("score"), F.asc("key")], limit)
+    return out if several else out.drop("mode")
 
 
 def flatten_blocks(block_hits: DataFrame, members: DataFrame, pool: int) -> DataFrame:
@@ -201,11 +202,12 @@ def flatten_blocks(block_hits: DataFrame, members: DataFrame, pool: int) -> Data
     ``listed`` is false beyond ``4 * pool`` units: those count as found but
     take no part in the ranked list.
     """
+    scope = [c for c in ("mode", "query_id") if c in block_hits.columns]
     found = (
-        block_hits.select("query_id", "block_id", F.col("pos").alias("block_pos"))
+        block_hits.select(*scope, "block_id", F.col("pos").alias("block_pos"))
         .join(members.select("block_id", "unit_id"), "block_id")
-        .groupBy("query_id", "unit_id")
+        .groupBy(*scope, "unit_id")
         .agg(F.min("block_pos").alias("block_pos"))
     )
-    ranked = rank_within(found, ["query_id"], [F.asc("block_pos"), F.asc("unit_id")])
+    ranked = rank_within(found, scope, [F.asc("block_pos"), F.asc("unit_id")])
     return ranked.withColumn("listed", F.col("pos") < FLATTEN_FACTOR * pool)

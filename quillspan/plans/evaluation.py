@@ -22,10 +22,9 @@ from quillspan.sources.tables import table
 def must_units(spark, sf) -> DataFrame:
     """(query_id, passage_id, unit_id): a planted document and the one after it in its chapter."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("phrase_id"), "text")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    found = keyword.contained_phrases(items, docs)
-    start = I.shelf_key(F.col("text_id"))
-    pair = F.when(F.col("text_id") % 20 < 19, F.array(start, start + 1)).otherwise(F.array(start))
+    found = keyword.contained_phrases(items, I.keyword_index(spark, sf))
+    start = F.col("unit_id")
+    pair = F.when(CLASSIC.ordinal(start) < 20, F.array(start, start + 1)).otherwise(F.array(start))
     spread = found.select(F.col("phrase_id").alias("query_id"), start.alias("passage_id"), F.explode(pair).alias("unit_id"))
     return spread.join(I.shelf_units(spark, sf).select("unit_id"), "unit_id", "left_semi")
 
@@ -83,7 +82,7 @@ def q_gold_explode(spark, sf):
 QUERIES_SQL = "queries AS (SELECT item_id AS query_id FROM benchmark)"
 RANKS_SQL = """
 granks AS (
-  SELECT m.query_id, m.passage_id, min("rank") AS "rank" FROM must m
+  SELECT m.query_id, m.passage_id, min("rank") + 1 AS "rank" FROM must m
   LEFT JOIN (SELECT query_id, "rank", unnest(unit_ids) AS unit_id FROM passages) p USING (query_id, unit_id) GROUP BY 1, 2)
 """
 
@@ -100,7 +99,7 @@ def q_gold_rank(spark, sf):
 def _recall_sql(scope: str = "query_id", source: str = "granks", every: str = "queries") -> str:
     return f"""
 rec AS (
-  SELECT {scope}, k, count(*) AS n, count(*) FILTER ("rank" < k) AS h FROM {source}, (VALUES (10), (25), (50)) v(k) GROUP BY {scope}, k),
+  SELECT {scope}, k, count(*) AS n, count(*) FILTER ("rank" <= k) AS h FROM {source}, (VALUES (10), (25), (50)) v(k) GROUP BY {scope}, k),
 recall AS (
   SELECT {scope}, k, round_even(coalesce(h / n, 0), 6) AS recall, round_even(h / n, 6) AS recall_or_null
   FROM (SELECT q.*, unnest([10, 25, 50]) AS k FROM {every} q) LEFT JOIN rec USING ({scope}, k))
@@ -114,21 +113,22 @@ def q_recall_at_k(spark, sf):
     return E.recall_at(ranks, _queries(spark, sf), ["query_id"])
 
 
-@query("config_pivot", I.with_sql(*P.ABLATION_SQL, P.islands_sql("final", "config, query_id"), GOLD_SQL, QUERIES_SQL, """
+@query("config_pivot", I.with_sql(*P.ABLATION_PASSAGES_SQL, GOLD_SQL, QUERIES_SQL, """
+configs AS (SELECT DISTINCT config FROM switches UNION ALL SELECT 'G'),
 granks AS (
-  SELECT config, m.query_id, m.passage_id, min(p."rank") AS "rank"
-  FROM must m CROSS JOIN (SELECT DISTINCT config FROM switches)
-  LEFT JOIN (SELECT config, query_id, "rank", unnest(unit_ids) AS unit_id FROM passages) p USING (config, query_id, unit_id)
+  SELECT config, m.query_id, m.passage_id, min(p."rank") + 1 AS "rank"
+  FROM must m CROSS JOIN configs
+  LEFT JOIN (SELECT config, query_id, "rank", unnest(unit_ids) AS unit_id FROM apassages) p USING (config, query_id, unit_id)
   GROUP BY 1, 2, 3),
-every AS (SELECT * FROM (SELECT DISTINCT config FROM switches), queries)""", _recall_sql("config, query_id", "granks", "every")) + """
+every AS (SELECT * FROM configs, queries)""", _recall_sql("config, query_id", "granks", "every")) + """
 SELECT config, round_even(avg(recall) FILTER (k = 10), 6) AS at_10, round_even(avg(recall) FILTER (k = 25), 6) AS at_25,
        round_even(avg(recall) FILTER (k = 50), 6) AS at_50 FROM recall GROUP BY 1""")
 def q_config_pivot(spark, sf):
     """Mean recall per configuration, one column per cut."""
-    ranked = search.ablation(I.search_index(spark, sf), P._hits(spark, sf), "primary")
     scope = ["config", "query_id"]
-    found = fusion.islands(ranked, scope)
-    every = _queries(spark, sf).select("*", F.explode(F.array(*[F.lit(c) for c in fusion.CONFIGURATIONS])).alias("config"))
+    found = P.ablation_passages(spark, sf)
+    names = [*fusion.CONFIGURATIONS, *fusion.RERANKED]
+    every = _queries(spark, sf).select("*", F.explode(F.array(*[F.lit(c) for c in names])).alias("config"))
     recall = E.recall_at(E.gold_ranks(must_units(spark, sf), found, scope), every, scope)
     pivoted = recall.groupBy("config").pivot("k", [10, 25, 50]).agg(F.bround(F.avg("recall"), 6))
     return pivoted.select("config", *[F.col(str(k)).alias(f"at_{k}") for k in (10, 25, 50)])
@@ -207,67 +207,77 @@ SELECT query_id, count(*) FILTER (b.query_id IS NULL AND a."rank" < 25) AS displ
 FROM pa a LEFT JOIN (SELECT query_id, first_unit, "last" FROM pb WHERE "rank" < 25) b USING (query_id, first_unit, "last")
 GROUP BY 1""")
 def q_displacement(spark, sf):
-    index, hits = I.search_index(spark, sf), P._hits(spark, sf)
-    scope = ["query_id"]
-    primary = fusion.islands(search.search(index, hits, "primary"), scope)
-    both = fusion.islands(search.search(index, hits, "both"), scope)
-    return E.displacement(primary, both, scope)
+    ranked = search.search(I.search_index(spark, sf), P._hits(spark, sf), ("primary", "both"))
+    return E.displacement(fusion.islands(ranked, ["mode", "query_id"]), ["query_id"])
 
 
 # --- query modes ---------------------------------------------------------------------
 
+MODES = ("raw", "rewrite", "fused", "hand")
+
+
 def _mode_terms(spark, sf) -> DataFrame:
-    """Raw terms, rewritten terms (every second content word) and both, per benchmark item."""
-    from quillspan.functions.text import question_terms
+    """(query_id, form, mode, terms) per benchmark item; the rewrites are word pairs from all over the item."""
+    from quillspan.functions.text import question_terms, words
     from quillspan.operators.questions import query_modes
 
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), question_terms(F.col("text")).alias("own"))
-    rewrites = F.filter("own", lambda _, i: i % 2 == 1)
-    return query_modes(items.withColumn("rewrites", rewrites), ["query_id"])
+    items = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text", words(F.col("text")).alias("w"), question_terms(F.col("text")).alias("own"))
+    # every fifth word with its neighbour
+    pairs = F.filter(F.transform("w", lambda x, i: F.when((i % 5 == 0) & (i + 1 < F.size("w")), F.concat_ws(" ", x, F.get("w", i + 1)))),
+                     lambda p: p.isNotNull())
+    modes = query_modes(items.withColumn("rewrites", pairs), ["query_id"]).drop("query_text")
+    hand = items.select("query_id", F.lit("hand").alias("mode"), F.filter("own", lambda x: F.length(x) >= 6).alias("terms"))
+    number = F.array_position(F.array(*[F.lit(m) for m in MODES]), F.col("mode")) - 1
+    return modes.unionByName(hand).withColumn("form", F.col("query_id") * len(MODES) + number)
 
 
-MODE_SQL = f"""
-own AS (SELECT item_id AS query_id, {I.sql_question_terms('text')} AS own FROM benchmark),
+MODE_SQL = (f"""
 modes AS (
-  SELECT query_id, 'raw' AS mode, own AS terms FROM own
-  UNION ALL SELECT query_id, 'rewrite', CASE WHEN len(own) > 1 THEN list_filter(own, lambda x, i: i % 2 = 0) ELSE own END FROM own
-  UNION ALL SELECT query_id, 'fused', own FROM own
-  UNION ALL SELECT query_id, 'hand', list_slice(own, 1, 6) FROM own),
-mterms AS (SELECT DISTINCT query_id, mode, unnest(terms) AS term FROM modes),
-mlists AS (
-  SELECT query_id, mode, unit_id, pos FROM mterms JOIN (
-    SELECT term, unit_id, row_number() OVER (PARTITION BY term ORDER BY weight DESC, unit_id) - 1 AS pos FROM scored) USING (term)
-  WHERE pos < 100),
-mfinal AS (
-  SELECT mode, query_id, unit_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY s DESC, unit_id) - 1 AS "rank" FROM (
-    SELECT mode, query_id, unit_id, round(sum(1.0::DOUBLE / (60 + pos + 1)), 12) AS s FROM mlists GROUP BY 1, 2, 3)),
+  SELECT query_id, m.mode, query_id * 4 + m.i AS form, m.terms FROM (
+    SELECT item_id AS query_id, own, CASE WHEN len(pairs) > 0 THEN pairs ELSE own END AS rewritten, own || pairs AS fused,
+           list_filter(own, lambda x: length(x) >= 6) AS hand FROM (
+      SELECT item_id, {I.sql_question_terms('text')} AS own, list_filter(list_transform(w, lambda x, i:
+               CASE WHEN (i - 1) % 5 = 0 AND i < len(w) THEN x || ' ' || w[i + 1] END), lambda p: p IS NOT NULL) AS pairs
+      FROM (SELECT *, {I.sql_words('text')} AS w FROM benchmark))) q,
+    LATERAL (VALUES ('raw', 0, own), ('rewrite', 1, rewritten), ('fused', 2, fused), ('hand', 3, hand)) m(mode, i, terms))""", """
+qvec AS (
+  SELECT form AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM modes
+  JOIN embeddings ON vec_id = modes.query_id + CASE WHEN mode IN ('rewrite', 'fused') THEN 1 ELSE 0 END)""", """
+qterms AS (SELECT form AS query_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS term_no FROM modes)""",
+    I.WORKS_SQL, I.UNITS_SQL, I.VECTORS_SQL, I.EDGES_SQL, *P.HITS_SQL, P.lists_sql("primary"), P.boosted_sql("primary"),
+    P.islands_sql(), GOLD_SQL, """
 mranks AS (
-  SELECT mode, m.query_id, m.passage_id, min(f."rank") AS "rank" FROM must m
-  CROSS JOIN (SELECT DISTINCT mode FROM modes) LEFT JOIN mfinal f USING (mode, query_id, unit_id) GROUP BY 1, 2, 3),
+  SELECT form, o.mode, m.query_id, m.passage_id, min(p."rank") + 1 AS "rank" FROM must m JOIN modes o USING (query_id)
+  LEFT JOIN (SELECT query_id AS form, "rank", unnest(unit_ids) AS unit_id FROM passages) p USING (form, unit_id) GROUP BY ALL),
 mrec AS (
-  SELECT mode, query_id, round_even(coalesce(r, 0), 6) AS recall FROM (SELECT DISTINCT mode FROM modes) CROSS JOIN queries LEFT JOIN (
-    SELECT mode, query_id, count(*) FILTER ("rank" < 25) / count(*) AS r FROM mranks GROUP BY 1, 2) USING (mode, query_id)),
+  SELECT mode, query_id, round_even(coalesce(r, 0), 6) AS recall FROM modes LEFT JOIN (
+    SELECT form, count(*) FILTER ("rank" <= 25) / count(*) AS r FROM mranks GROUP BY 1) USING (form)),
 grid AS (
   SELECT query_id, max(recall) FILTER (mode = 'raw') AS raw, max(recall) FILTER (mode = 'rewrite') AS "rewrite",
-         max(recall) FILTER (mode = 'fused') AS fused, max(recall) FILTER (mode = 'hand') AS hand FROM mrec GROUP BY 1)
-"""
-MODES = ("raw", "rewrite", "fused", "hand")
-_MODE_CTES = (I.UNITS_SQL, P.BM25_SQL, GOLD_SQL, QUERIES_SQL, MODE_SQL)
+         max(recall) FILTER (mode = 'fused') AS fused, max(recall) FILTER (mode = 'hand') AS hand FROM mrec GROUP BY 1)""")
+_MODE_CTES = MODE_SQL
 
 
 def mode_grid(spark, sf) -> DataFrame:
-    """(query_id, raw, rewrite, fused, hand): recall of the keyword path in every mode, one job."""
+    """(query_id, raw, rewrite, fused, hand): recall of the full search in every form, one job.
+
+    Each form of a question is a question of its own to the search. The vector of a rewritten text is stood in for by
+    the one stored under the next id.
+    """
     modes = _mode_terms(spark, sf)
-    hand = modes.where("mode = 'raw'").select("query_id", F.lit("hand").alias("mode"), F.slice("terms", 1, 6).alias("terms"))
-    terms = modes.unionByName(hand).select("query_id", "mode", F.explode("terms").alias("term")).distinct()
-    lists = keyword.bm25_lists(I.shelf_units(spark, sf), terms, search.POOL)
-    scope = ["mode", "query_id"]
-    fused = fusion.fuse(
-        terms.join(lists, "term").withColumns({"origin": F.lit("keyword"), "weight": F.lit(1.0), "listed": F.lit(True)}), scope)
-    ranked = fusion.final_ranking(fused, scope).select(*scope, F.col("pos").alias("rank"), F.array("unit_id").alias("unit_ids"))
-    every = _queries(spark, sf).select("*", F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"))
-    recall = E.recall_at(E.gold_ranks(must_units(spark, sf), ranked, scope), every, scope, (25,))
-    return recall.groupBy("query_id").pivot("mode", list(MODES)).agg(F.max("recall"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"))
+    shifted = F.col("query_id") + F.when(F.col("mode").isin("rewrite", "fused"), 1).otherwise(0)
+    asked = modes.withColumn("vec_id", shifted).join(vectors, "vec_id").select(F.col("form").alias("query_id"), "vec")
+    terms = modes.select(F.col("form").alias("query_id"), F.posexplode("terms").alias("term_no", "term"))
+    index = I.search_index(spark, sf)
+    ranked = search.search(index, search.find_hits(index, asked, terms), "primary")
+    found = fusion.islands(ranked, ["query_id"])
+    forms = modes.select("query_id", "form", "mode")
+    gold = must_units(spark, sf).join(forms, "query_id").select(F.col("form").alias("query_id"), "passage_id", "unit_id")
+    recall = E.recall_at(E.gold_ranks(gold, found, ["query_id"]), forms.select(F.col("form").alias("query_id")), ["query_id"], (25,))
+    named = recall.withColumnRenamed("query_id", "form").join(forms, "form")
+    return named.groupBy("query_id").pivot("mode", list(MODES)).agg(F.max("recall"))
 
 
 @query("mode_recall", I.with_sql(*_MODE_CTES) + "SELECT * FROM grid")
@@ -286,14 +296,15 @@ def q_mode_choice(spark, sf):
     return E.mode_choice(mode_grid(spark, sf))
 
 
-RESAMPLES = 2_000
+RESAMPLES = 20_000
 
 
 @query("bootstrap_ci", I.with_sql(*_MODE_CTES, f"""
 d AS (SELECT query_id, raw - hand AS diff, row_number() OVER (ORDER BY query_id) - 1 AS no FROM grid),
 n AS (SELECT count(*) AS n FROM d),
 draws AS (
-  SELECT r, (r * 7919 + k * 104729 + r * k) % n AS no FROM range(0, {RESAMPLES}) t(r), n, LATERAL (SELECT unnest(range(0, n)) AS k)),
+  SELECT r, CAST('0x' || substr(md5('resample|' || r || '|' || (k // 4)), 1 + 8 * (k % 4), 8) AS BIGINT) % n AS no
+  FROM range(0, {RESAMPLES}) t(r), n, LATERAL (SELECT unnest(range(0, n)) AS k)),
 means AS (SELECT r, round(avg(diff), 9) AS m FROM draws JOIN d USING (no) GROUP BY 1),
 o AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM means)""") + f"""
 SELECT round_even((SELECT m FROM o WHERE i = floor({RESAMPLES} * 0.025) + 1), 6) AS low,
@@ -327,8 +338,8 @@ def draft_scores(spark, sf) -> DataFrame:
     points = E.topic_evidence(asked, _topic_links(spark, sf), index.topic_units)
     terms = I.shelf_question_terms(spark, sf)
     units = primary.join(works, "work_id", "left_semi").select("unit_id")
-    scored = keyword.score_terms(index.units, terms).join(units, "unit_id", "left_semi")
-    lists = keyword.bm25_lists(index.units, terms, E.KEYWORD_LIMIT, scored=scored)
+    scored = keyword.score_terms(index.keywords, terms).join(units, "unit_id", "left_semi")
+    lists = keyword.bm25_lists(scored, E.KEYWORD_LIMIT)
     hits = terms.join(lists, "term").select("query_id", "unit_id", "pos")
     return E.gold_scores(points, hits, index.edges, readable)
 
@@ -501,7 +512,7 @@ o AS (SELECT run, row_number() OVER (ORDER BY size, run) AS i FROM p WHERE passe
 SELECT p.*, CASE i WHEN 1 THEN 'fallback' WHEN 2 THEN 'default' ELSE 'none' END AS role FROM p LEFT JOIN o USING (run)""")
 def q_gates(spark, sf):
     """Thresholds close to the rates of these runs, so that some pass and some fail."""
-    summaries = E.run_summary(run_rows(spark, sf)).withColumn("size", F.substring("run", 2, 9).cast("long"))
+    summaries = E.run_summary(run_rows(spark, sf)).withColumn("size", F.substring("run", F.lit(2), F.length("run")).cast("long"))
     return E.gates(summaries, {
         "violations": F.col("violation_rate") <= 0.205, "fallback": F.col("fallback_rate") < 0.11,
         "structure": F.col("structure_rate") >= 0.85, "median": F.col("median_seconds") <= 180,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators import history as H
@@ -11,7 +12,7 @@ from quillspan.plans import inputs as I
 from quillspan.plans import registry
 from quillspan.plans import verification as V
 from quillspan.plans.registry import query
-from quillspan.session import checkpoint_dir
+from quillspan.session import checkpoint_dir, cut_lineage, remove_folder
 from quillspan.sources.tables import table
 from quillspan.streaming import jobs
 
@@ -86,38 +87,68 @@ def q_history_page(spark, sf):
     return H.page(entries(spark, sf).select("id", "question", "mode"), 50, 20)
 
 
+TURNS = 1 << 20  # turns a conversation may have
+
+
 def _turns(spark, sf):
     turns = table(spark, sf, "conversations")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("question"),
-                        F.col("text").alias("answer"))
+    fits = F.col("turn").between(0, TURNS - 1)
+    key = F.when(fits, F.col("conv_id") * TURNS + F.col("turn")).otherwise(F.raise_error(F.lit("a turn number does not fit its key")))
+    return turns.select(key.cast("long").alias("id"), F.col("role").alias("question"), F.col("text").alias("answer"))
+
+
+def history_index(spark, sf):
+    """The stored postings of all turns, written once per application and folder."""
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _INDEXES:
+        path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+        H.write_postings(H.entry_postings(_turns(spark, sf)), path)
+        _INDEXES[name] = path
+    return spark.read.parquet(_INDEXES[name])
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 @query("history_search", f"""
-WITH e AS (SELECT conv_id * 1000 + turn AS id, list_distinct({I.sql_words("role || ' ' || text")}) AS w FROM conversations),
-s AS (SELECT item_id AS query_id, CASE WHEN item_id % 10 = 9 THEN [] ELSE list_distinct({I.sql_words('text')}[1:2]) END AS t FROM benchmark)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) - 1 AS pos FROM s JOIN e ON list_has_all(w, t)
-QUALIFY pos < 100""")
+WITH e AS (SELECT conv_id * {TURNS} + turn AS id, list_distinct({I.sql_words("role || ' ' || text")}) AS w FROM conversations),
+p AS (SELECT id, unnest(w) AS word FROM e),
+b AS (SELECT item_id, {I.sql_words('text')} AS w FROM benchmark),
+s AS (
+  SELECT item_id || '-' || i AS query_id, list_distinct([w[i + 1], w[i + 2]]) AS t FROM b, LATERAL (SELECT unnest(range(0, len(w) - 1)) AS i)
+  UNION ALL SELECT item_id || '-', [] FROM b WHERE item_id % 10 = 9),
+q AS (SELECT query_id, len(t) AS n, unnest(t) AS word FROM s),
+f AS (
+  SELECT query_id, id FROM q JOIN p USING (word) GROUP BY query_id, id, n HAVING count(*) = n
+  UNION ALL SELECT query_id, id FROM s, e WHERE len(t) = 0)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) - 1 AS pos FROM f QUALIFY pos < 100""")
 def q_history_search(spark, sf):
-    """The first two words of every benchmark item; every tenth search is empty."""
+    """Every two neighbouring words of every benchmark item; a tenth of the items adds an empty search."""
     from quillspan.functions.text import words
 
-    searches = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.when(F.col("item_id") % 10 == 9, " -- ").otherwise(F.array_join(F.slice(words(F.col("text")), 1, 2), '" ')).alias("text"))
-    return H.search(_turns(spark, sf), searches)
+    items = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("w"))
+    item = F.col("item_id").cast("string")
+    pairs = items.where(F.size("w") > 1).select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i")).select(
+        F.concat_ws("-", item, F.col("i").cast("string")).alias("query_id"),
+        F.concat_ws('" ', F.get("w", F.col("i")), F.get("w", F.col("i") + 1)).alias("text"))
+    empty = items.where("item_id % 10 = 9").select(F.concat(item, F.lit("-")).alias("query_id"), F.lit(" -- ").alias("text"))
+    return H.search(history_index(spark, sf), _turns(spark, sf), pairs.unionByName(empty))
 
 
 @query("index_maintenance", f"""
 WITH e AS (
-  SELECT conv_id * 1000 + turn AS id, role || ' ' || CASE WHEN role = 'user' AND turn > 0 THEN 'revised ' || text ELSE text END AS t
+  SELECT conv_id * {TURNS} + turn AS id, role || ' ' || CASE WHEN role = 'user' AND turn > 0 THEN 'revised ' || text ELSE text END AS t
   FROM conversations WHERE role <> 'system')
 SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({I.sql_words('t')}) AS term FROM e) GROUP BY 1, 2""")
 def q_index_maintenance(spark, sf):
     """System turns are deleted and later user turns revised."""
     turns = _turns(spark, sf)
-    changed = turns.where("question = 'user' AND id % 1000 > 0").withColumn("answer", F.concat(F.lit("revised "), "answer"))
+    changed = turns.where(f"question = 'user' AND id % {TURNS} > 0").withColumn("answer", F.concat(F.lit("revised "), "answer"))
     deleted = turns.where("question = 'system'").select("id")
-    return H.maintain_postings(H.entry_postings(turns), changed, deleted)
+    path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    H.write_postings(H.entry_postings(turns), path)
+    H.update_postings(path, changed, deleted)
+    return spark.read.parquet(path).select("id", "term", "tf")
 
 
 @query("history_render", I.with_sql(*STORED_SQL) + """
@@ -173,21 +204,33 @@ def q_export_passages(spark, sf):
 
 # --- streaming twins --------------------------------------------------------------------
 
+FILES = 4  # input files of a stream, one micro-batch each
+
+
 def _run_folder(spark) -> str:
     return f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
-def _conversation_stream(spark, sf):
-    schema = table(spark, sf, "conversations").schema
-    return jobs.stream_table(spark, sf, "conversations.parquet", schema)
+def _kept(spark, result: DataFrame, folder: str) -> DataFrame:
+    """The result in the checkpoint folder, its run's files removed."""
+    made = cut_lineage(result)
+    remove_folder(spark, folder)
+    return made
+
+
+def _conversation_stream(spark, sf, folder: str):
+    """All turns in several files that arrive one after the other."""
+    turns = table(spark, sf, "conversations")
+    turns.repartitionByRange(FILES, "conv_id", "turn").write.parquet(f"{folder}/in")
+    return jobs.stream_table(spark, f"{folder}/in", "*.parquet", turns.schema, files_per_trigger=1)
 
 
 @query("stream_phrase_flags", registry.oracles()["phrase_flags"])
 def q_stream_phrase_flags(spark, sf):
     folder = _run_folder(spark)
-    flagged = jobs.flagged_questions(_conversation_stream(spark, sf), V.PHRASES).select("conv_id", "turn", "flagged", "term")
+    flagged = jobs.flagged_questions(_conversation_stream(spark, sf, folder), V.PHRASES).select("conv_id", "turn", "flagged", "term")
     jobs.write_stream(flagged, f"{folder}/out", f"{folder}/log").awaitTermination()
-    return spark.read.schema(flagged.schema).parquet(f"{folder}/out")
+    return _kept(spark, spark.read.schema(flagged.schema).parquet(f"{folder}/out"), folder)
 
 
 @query("stream_verify", I.with_sql(*V.BASE_SQL) + "SELECT * FROM bad")
@@ -200,8 +243,8 @@ def q_stream_verify(spark, sf):
     aliases, units = R.alias_dimension(I.citable_works(spark, sf)), I.citable_units(spark, sf)
     sent, sent_units = V.sent(spark, sf), V.sent_units(spark, sf)
     check = lambda turns: violations(V.answers(spark, sf, turns), sent, sent_units, aliases, units, V.KEYS, V.SCOPE)
-    jobs.write_batches(_conversation_stream(spark, sf), check, f"{folder}/out", f"{folder}/log").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    jobs.write_batches(_conversation_stream(spark, sf, folder), check, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return _kept(spark, spark.read.parquet(f"{folder}/out").drop("batch"), folder)
 
 
 @query("stream_resolve", I.with_sql(*V.BASE_SQL, V._VERDICT_SQL) + V.ATTEMPTS_SQL)
@@ -209,23 +252,24 @@ def q_stream_resolve(spark, sf):
     """Verdicts arrive file by file; the two-attempt state machine runs per conversation."""
     folder = _run_folder(spark)
     verdicts = V.attempt_verdicts(spark, sf).select("conv_id", "turn", "verdict")
-    verdicts.repartitionByRange(4, "turn").write.parquet(f"{folder}/in")
-    stream = jobs.stream_table(spark, f"{folder}/in", "*.parquet", verdicts.schema, files_per_trigger=2)
+    verdicts.repartitionByRange(FILES, "turn").write.parquet(f"{folder}/in")
+    stream = jobs.stream_table(spark, f"{folder}/in", "*.parquet", verdicts.schema, files_per_trigger=1)
     jobs.write_stream(jobs.resolve_stream(stream), f"{folder}/out", f"{folder}/log").awaitTermination()
-    return jobs.latest_outcomes(spark.read.schema(jobs.OUTCOME_SCHEMA).parquet(f"{folder}/out"))
+    return _kept(spark, jobs.latest_outcomes(spark.read.schema(jobs.OUTCOME_SCHEMA).parquet(f"{folder}/out")), folder)
 
 
 @query("stream_index", registry.oracles()["index_maintenance"])
 def q_stream_index(spark, sf):
-    """Inserts of every turn, then revisions and deletes, as three files of changes."""
+    """Inserts of every turn, then revisions and deletes, as three files of changes; the log is compacted at the end."""
     folder = _run_folder(spark)
     turns = _turns(spark, sf)
-    system, user = "question = 'system'", "question = 'user' AND id % 1000 > 0"
+    system, user = "question = 'system'", f"question = 'user' AND id % {TURNS} > 0"
     op = lambda df, name, seq: df.select(F.lit(seq).cast("long").alias("seq"), "id", F.lit(name).alias("op"), "question", "answer")
     steps = [op(turns, "insert", 1), op(turns.where(user).withColumn("answer", F.concat(F.lit("revised "), "answer")), "update", 2),
              op(turns.where(system), "delete", 3)]
     for number, step in enumerate(steps):
-        step.write.parquet(f"{folder}/in/step={number}")
+        step.coalesce(1).write.parquet(f"{folder}/in/step={number}")
     stream = spark.readStream.schema(steps[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/step=*")
     jobs.write_batches(stream, jobs.index_changes, f"{folder}/out", f"{folder}/log").awaitTermination()
-    return jobs.current_postings(spark.read.parquet(f"{folder}/out"))
+    jobs.compact(spark, f"{folder}/out")
+    return _kept(spark, jobs.current_postings(spark.read.parquet(f"{folder}/out")), folder)

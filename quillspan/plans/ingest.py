@@ -261,13 +261,43 @@ def q_format_refs(spark, sf):
     )
 
 
-@query("index_meta")
+# Columns of the tables: (i)nteger or text, (d)ouble, (t)ime, (a)rray of fractions.
+TABLES = {
+    "region": "i:r_regionkey i:r_name", "nation": "i:n_nationkey i:n_name i:n_regionkey",
+    "customer": "i:c_custkey i:c_name i:c_nationkey d:c_acctbal i:c_mktsegment",
+    "supplier": "i:s_suppkey i:s_name i:s_nationkey d:s_acctbal",
+    "part": "i:p_partkey i:p_name i:p_brand i:p_type i:p_size d:p_retailprice",
+    "orders": "i:o_orderkey i:o_custkey i:o_orderstatus d:o_totalprice t:o_orderdate i:o_orderpriority",
+    "lineitem": "i:l_orderkey i:l_partkey i:l_suppkey i:l_linenumber d:l_quantity d:l_extendedprice d:l_discount d:l_tax "
+                "i:l_returnflag i:l_linestatus t:l_shipdate",
+    "events": "i:event_id t:ts i:user_id i:event_type d:value i:props",
+    "documents": "i:doc_id i:text i:lang i:source i:n_chars", "embeddings": "i:vec_id a:embedding i:label",
+    "pages": "i:page_id i:url i:html", "benchmark": "i:item_id i:text", "labels": "i:doc_id i:quality i:toxic",
+    "conversations": "i:conv_id i:turn i:role i:text",
+}
+_RENDER = {
+    "i": "CAST({0} AS VARCHAR)", "d": "CAST(CAST(round({0} * 100) AS BIGINT) AS VARCHAR)", "t": "CAST(epoch_us({0}) AS VARCHAR)",
+    "a": "array_to_string(list_transform({0}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',')",
+}
+
+
+def _meta_sql() -> str:
+    parts = ["SELECT 'index_version' AS key, '0.1.0' AS value", "SELECT 'schema_version', '1'"]
+    for name, columns in TABLES.items():
+        row = ", ".join("coalesce(" + _RENDER[c[0]].format(c[2:]) + ", '~')" for c in columns.split())
+        parts.append(f"SELECT 'rows_{name}', CAST(count(*) AS VARCHAR) FROM {name}")
+        parts.append(f"SELECT 'fingerprint_{name}', CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {row})), 1, 12) AS BIGINT)), 0) "
+                     f"AS VARCHAR) FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+@query("index_meta", _meta_sql())
 def q_index_meta(spark, sf):
-    """Checksums of the source files, row counts and order-independent content fingerprints."""
+    """Row counts and order-independent content fingerprints of all tables."""
     from quillspan.sources.provenance import index_metadata
 
-    tables = {name: table(spark, sf, name) for name in ("documents", "pages", "embeddings")}
-    return index_metadata(spark, sf, tables, {"index_version": "0.1.0", "schema_version": "1"})
+    tables = {name: table(spark, sf, name).select([c[2:] for c in columns.split()]) for name, columns in TABLES.items()}
+    return index_metadata(spark, tables, {"index_version": "0.1.0", "schema_version": "1"})
 
 
 @query("integrity_anti", """

@@ -6,12 +6,16 @@ assembles the ones a query needs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, WIDE
-from quillspan.functions.text import ACCENTED, STOPWORDS, UNACCENTED, question_terms, strip_edges
+from quillspan.functions.text import ACCENTED, STOPWORDS, UNACCENTED, question_terms, strip_edges, words
+from quillspan.operators.keyword import KeywordIndex, build_index, open_index, write_index
 from quillspan.operators.search import SearchIndex
+from quillspan.session import checkpoint_dir
 from quillspan.sources.tables import table
 
 
@@ -96,10 +100,13 @@ def shelf_question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shelf_question_terms(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark")
+    """Content words of every item, its first two words as a phrase, and its third word with an accent."""
+    items = table(spark, sf, "benchmark").withColumn("w", words(F.col("text")))
+    planted = F.array(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))),
+                      F.translate(F.coalesce(F.get("w", F.lit(2)), F.lit("")), "eao", "éàô"))
     return items.select(
         F.col("item_id").alias("query_id"),
-        F.posexplode(question_terms(F.col("text"))).alias("term_no", "term"),
+        F.posexplode(F.concat(question_terms(F.col("text")), planted)).alias("term_no", "term"),
     ).withColumn("term_no", F.col("term_no").cast("long"))
 
 
@@ -109,7 +116,9 @@ qvec AS (
   FROM benchmark JOIN embeddings ON vec_id = item_id)
 """
 QTERMS_SQL = f"""
-qterm_lists AS (SELECT item_id AS query_id, {sql_question_terms('text')} AS terms FROM benchmark),
+qterm_lists AS (
+  SELECT item_id AS query_id, {sql_question_terms('text')} || [concat_ws(' ', w[1], w[2]), translate(coalesce(w[3], ''), 'eao', 'éàô')] AS terms
+  FROM (SELECT *, {sql_words('text')} AS w FROM benchmark)),
 qterms AS (
   SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS term_no FROM qterm_lists)
 """
@@ -208,6 +217,19 @@ edges AS (SELECT {sql_key('f')} AS from_id, {sql_key('t')} AS to_id, anchor FROM
 """
 
 
+_KEYWORDS: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf: str) -> KeywordIndex:
+    """The stored keyword index over the shelf, written once per application and folder."""
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _KEYWORDS:
+        path = f"{checkpoint_dir(spark)}/keywords-{uuid.uuid4().hex}"
+        write_index(build_index(shelf_units(spark, sf).select("unit_id", "text")), path)
+        _KEYWORDS[name] = open_index(spark, path)
+    return _KEYWORDS[name]
+
+
 def search_index(spark: SparkSession, sf: str) -> SearchIndex:
     return SearchIndex(
         unit_vectors=unit_vectors(spark, sf).select("key", "vec"),
@@ -215,7 +237,7 @@ def search_index(spark: SparkSession, sf: str) -> SearchIndex:
         block_members=block_members(spark, sf),
         topic_vectors=topic_vectors(spark, sf),
         topic_units=topic_units(spark, sf),
-        units=shelf_units(spark, sf).select("unit_id", "text"),
+        keywords=keyword_index(spark, sf),
         edges=edges(spark, sf),
         works=shelf_works(spark, sf),
     )
@@ -260,7 +282,7 @@ def corpus_units(spark: SparkSession, sf: str) -> DataFrame:
     return (
         lines.select("work_id", "chapter", ordinal.alias("ordinal"), strip_edges(F.col("line")).alias("text"))
         .where(F.col("text") != "")
-        .withColumn("unit_id", WIDE.pack(F.col("work_id"), F.col("chapter"), F.col("ordinal")))
+        .withColumn("unit_id", WIDE.checked(F.col("work_id"), F.col("chapter"), F.col("ordinal")))
         .withColumn("block_no", F.call_function("div", F.col("ordinal") - 1, F.lit(5)))
     )
 
@@ -327,7 +349,7 @@ def citable_units(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_regionkey").cast("long") + 1).alias("work_id"),
         (F.col("n_nationkey").cast("long") + 1).alias("chapter"), "ordinal", "text",
     )
-    return located.withColumn("unit_id", CITABLE.pack(F.col("work_id"), F.col("chapter"), F.col("ordinal")))
+    return located.withColumn("unit_id", CITABLE.checked(F.col("work_id"), F.col("chapter"), F.col("ordinal")))
 
 
 CITABLE_SQL = """

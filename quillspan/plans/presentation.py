@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -178,22 +179,20 @@ def q_batch_packing(spark, sf):
     return present.batch_packing(sized, ["query_id"], ["first_unit"], BATCH_BUDGET)
 
 
-@query("assemble_answers", I.with_sql(*P.BOTH_PASSAGES_SQL, """
+ANSWERS_SQL = (*P.BOTH_PASSAGES_SQL, """
 bp AS (
   SELECT p.*, w.collection, '[P' || (c.cut_pos + 1) || ']' AS token FROM passages p JOIN works w USING (work_id)
   LEFT JOIN cut c USING (query_id, "rank")),
 txt AS (SELECT query_id, CASE WHEN query_id % 3 <> 2 THEN
     ['[P' || (query_id % 7 + 1) || ']', '[P' || (query_id % 11 + 20) || ']', '[P' || (query_id % 5 + 26) || ']'] END AS toks FROM qvec),
-mk AS (SELECT bp.*, toks, coalesce(list_contains(toks, token), FALSE) AS c FROM bp JOIN txt USING (query_id))""") + """
-SELECT query_id, any_value(toks) IS NULL AS fallback_used, coalesce(array_to_string(list_sort(list_distinct(any_value(toks))), ','), '') AS cited_tokens,
-       coalesce(array_to_string(list_sort(list_distinct(flatten(list(unit_ids) FILTER (c)))), ','), '') AS cited_unit_ids,
-       count(token) AS sent_count, bool_or(c AND collection = 'secondary') AS secondary_cited, count(*) AS n_passages,
-       bool_or(c AND collection = 'secondary') AS has_footer FROM mk GROUP BY 1""")
-def q_assemble_answers(spark, sf):
-    """Answers that cite three tokens each, every third one a fallback."""
-    located = P.passages(spark, sf, "both").join(I.shelf_works(spark, sf), "work_id")
+mk AS (SELECT bp.*, toks, coalesce(list_contains(toks, token), FALSE) AS c FROM bp JOIN txt USING (query_id))""")
+
+
+def answers(spark, sf) -> DataFrame:
+    """Nested answers that cite three tokens each, every third one a fallback."""
     from quillspan.operators.fusion import top_cut
 
+    located = P.passages(spark, sf, "both").join(I.shelf_works(spark, sf), "work_id")
     tokens = top_cut(located, ["query_id"], "both").select(
         "query_id", "rank", F.concat(F.lit("[P"), (F.col("cut_pos") + 1).cast("string"), F.lit("]")).alias("token"))
     named_ = located.withColumn("reference", reference(F.col("abbrev"), F.col("chapter"), F.col("first"), F.col("last")))
@@ -202,13 +201,47 @@ def q_assemble_answers(spark, sf):
     synopsis = F.concat(F.lit("One"), token(q % 7 + 1), token(q % 11 + 20), token(q % 5 + 26))
     texts = I.shelf_question_vectors(spark, sf).select(
         "query_id", F.when(q % 3 != 2, synopsis).alias("synopsis"), F.lit("listing").alias("fallback"))
-    answers = present.assemble_answers(texts, named_.join(tokens, ["query_id", "rank"], "left"))
-    return answers.select(
+    return present.assemble_answers(texts, named_.join(tokens, ["query_id", "rank"], "left"))
+
+
+@query("assemble_answers", I.with_sql(*ANSWERS_SQL) + """
+SELECT query_id, any_value(toks) IS NULL AS fallback_used, coalesce(array_to_string(list_sort(list_distinct(any_value(toks))), ','), '') AS cited_tokens,
+       coalesce(array_to_string(list_sort(list_distinct(flatten(list(unit_ids) FILTER (c)))), ','), '') AS cited_unit_ids,
+       count(token) AS sent_count, bool_or(c AND collection = 'secondary') AS secondary_cited, count(*) AS n_passages,
+       bool_or(c AND collection = 'secondary') AS has_footer FROM mk GROUP BY 1""")
+def q_assemble_answers(spark, sf):
+    return answers(spark, sf).select(
         "query_id", "fallback_used", F.array_join("cited_tokens", ",").alias("cited_tokens"),
         F.array_join("cited_unit_ids", ",").alias("cited_unit_ids"), "sent_count", "secondary_cited",
         F.size("passages").cast("long").alias("n_passages"), F.col("footer").isNotNull().alias("has_footer"))
 
 
+@query("history_append", I.with_sql(*ANSWERS_SQL) + """
+SELECT query_id AS id, CASE WHEN any_value(toks) IS NULL THEN 'listing'
+         ELSE 'One ' || array_to_string(any_value(toks), ' ') END AS answer,
+       count(token) AS n_passages, CAST(coalesce(sum(len(unit_ids)) FILTER (token IS NOT NULL), 0) AS BIGINT) AS n_units,
+       '[' || coalesce(array_to_string(list_sort(list_distinct(flatten(list(unit_ids) FILTER (c)))), ','), '') || ']' AS cited_ids,
+       CASE WHEN any_value(toks) IS NULL THEN 'fallback' ELSE 'ok' END AS verdict, any_value(toks) IS NULL AS fallback_used,
+       '{"search":' || CAST(CAST(query_id AS DOUBLE) * 0.25 AS VARCHAR) || '}' AS timings FROM mk GROUP BY query_id""")
+def q_history_append(spark, sf):
+    """Assembled answers become stored entries, with timings and verdict, and are read back."""
+    from quillspan.operators import history as H
+    from quillspan.session import checkpoint_dir
+
+    made = answers(spark, sf).select(
+        "*", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("asked_at"), F.lit("q").alias("question"), F.lit("both").alias("mode"),
+        F.lit("m0").alias("model_id"), F.lit("0.1.0").alias("index_version"), F.lit(False).alias("flagged"),
+        F.create_map(F.lit("search"), F.col("query_id") * F.lit(0.25)).alias("timings"),
+        F.when(F.col("fallback_used"), "fallback").otherwise("ok").alias("verdict"))
+    path = f"{checkpoint_dir(spark)}/entries-{uuid.uuid4().hex}"
+    H.append_answers(H.answer_rows(made), path)
+    entries = spark.read.parquet(path)
+    lists = H.passage_lists(F.col("passage_ids"))
+    return entries.select(
+        "id", "answer", F.size(lists).cast("long").alias("n_passages"), F.size(F.flatten(lists)).cast("long").alias("n_units"),
+        "cited_ids", "verdict", "fallback_used", "timings")
+
+
 # --- embedding preparation ----------------------------------------------------------
 
 SPLIT_BUDGET = 600
@@ -241,23 +274,38 @@ def q_split_blocks(spark, sf):
     return embedprep.split_blocks(units, I.corpus_blocks(spark, sf), keys, F.lit(SPLIT_BUDGET))
 
 
-def hashed_embedding(texts: list[str], dim: int = 16) -> np.ndarray:
-    """A repeatable stand-in for a model: counts of words by checksum."""
-    import zlib
+# Longest input of each model, in characters.
+MODEL_LIMITS = {"initials-16": 8_000}
 
+
+def initials_embedding(texts: list[str], dim: int = 16) -> np.ndarray:
+    """A repeatable stand-in for a model: counts of words by their first character."""
     out = np.zeros((len(texts), dim))
     for row, text in enumerate(texts):
-        for word in text.split():
-            out[row, zlib.crc32(word.encode()) % dim] += 1.0
+        for word in text.replace("\n", " ").split(" "):
+            if word:
+                out[row, ord(word[0]) % dim] += 1.0
     return out
 
 
-@query("embed_batch")
+@query("embed_batch", I.with_sql(I.CORPUS_WORKS_SQL, I.CORPUS_UNITS_SQL, I.CORPUS_BLOCKS_SQL, """
+t AS (
+  SELECT u.unit_id, left('doc: ' || abbrev || ' ' || u.chapter || ':' || ordinal ||
+         CASE WHEN heading IS NULL THEN '' ELSE ' — ' || heading END || chr(10) || text, 8000) AS text
+  FROM cunits u JOIN cworks USING (work_id) LEFT JOIN cblocks b
+    ON b.work_id = u.work_id AND b.chapter = u.chapter AND b.block_no = u.block_no),
+w AS (
+  SELECT unit_id, list_transform(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''),
+           lambda x: unicode(x) % 16) AS slots FROM t),
+v AS (SELECT unit_id, list_transform(range(0, 16), lambda d: CAST(len(list_filter(slots, lambda s: s = d)) AS DOUBLE)) AS n FROM w)""") + """
+SELECT 'initials-16' AS model_id, 'unit' AS kind, unit_id AS key, CAST(0 AS BIGINT) AS part, CAST(16 AS BIGINT) AS dim,
+       list_transform(n, lambda x: CAST(x / sqrt(list_sum(list_transform(n, lambda y: y * y))) AS FLOAT)) AS vec FROM v""")
 def q_embed_batch(spark, sf):
     texts = embedprep.unit_templates(I.corpus_units(spark, sf), I.corpus_works(spark, sf), I.corpus_blocks(spark, sf),
                                      ["work_id", "chapter", "block_no"])
     rows = texts.select(F.lit("unit").alias("kind"), F.col("unit_id").alias("key"), F.lit(0).cast("long").alias("part"), "text")
-    return embedprep.embed_batch(rows, hashed_embedding, "hashed-16", prefix="doc: ", max_chars=8_000)
+    model = "initials-16"
+    return embedprep.embed_batch(rows, initials_embedding, model, prefix="doc: ", max_chars=MODEL_LIMITS[model])
 
 
 @query("vector_drift", """
@@ -358,3 +406,38 @@ def q_index_invariants(spark, sf):
         "vector has 64 dims": F.size("embedding") == 64, "vector has length one": F.abs(norm(F.col("embedding")) - 1) < 1e-3})
     cover = quality.dead_references({"document has a vector": (table(spark, sf, "documents"), "doc_id", vecs, "vec_id")})
     return reduce(DataFrame.unionByName, [units, blocks, vectors, cover])
+
+
+@query("content_works", I.with_sql(I.CORPUS_WORKS_SQL) + """
+SELECT work_id, code, collection, era, collection IN ('primary', 'secondary') AND era = 'early' AS known FROM cworks
+WHERE code NOT IN ('SRC0', 'SRC13')""")
+def q_content_works(spark, sf):
+    """Two works count as front matter; only one era is on the list, so the others are reported."""
+    kept = quality.content_works(I.corpus_works(spark, sf), ["SRC0", "SRC13"], ["primary", "secondary"], ["early"])
+    return kept.select("work_id", "code", "collection", "era", "known")
+
+
+@query("part_invariants", I.with_sql(I.CORPUS_UNITS_SQL, I.CORPUS_BLOCKS_SQL, """
+parts AS (
+  SELECT work_id, chapter, block_no, (ordinal - 1) % 5 // 2 AS part, min(unit_id) AS start_id,
+         max(unit_id) + CASE WHEN chapter % 7 = 0 THEN 9 ELSE 0 END AS end_id FROM cunits GROUP BY 1, 2, 3, 4),
+kept AS (SELECT * FROM cblocks WHERE chapter % 11 <> 0)""") + """
+SELECT 'part lies in its block' AS rule, count(*) AS violations FROM parts p LEFT JOIN cblocks b
+  ON b.work_id = p.work_id AND b.chapter = p.chapter AND b.block_no = p.block_no
+WHERE NOT coalesce(p.start_id >= b.start_id AND p.end_id <= b.end_id, FALSE)
+UNION ALL SELECT 'parts count from 0', count(*) FROM (
+  SELECT min(part) AS lo, max(part) AS hi, count(DISTINCT part) AS n FROM parts GROUP BY work_id, chapter, block_no) WHERE lo <> 0 OR hi <> n - 1
+UNION ALL SELECT 'unit is in a block', count(*) FROM cunits u WHERE NOT EXISTS (
+  SELECT 1 FROM kept k WHERE k.work_id = u.work_id AND k.chapter = u.chapter AND u.unit_id BETWEEN k.start_id AND k.end_id)""")
+def q_part_invariants(spark, sf):
+    """Parts of two lines; those of every seventh chapter are stretched and every eleventh chapter's blocks are withheld."""
+    keys = ["work_id", "chapter", "block_no"]
+    units, blocks = I.corpus_units(spark, sf), I.corpus_blocks(spark, sf)
+    part = F.call_function("div", (F.col("ordinal") - 1) % 5, F.lit(2).cast("long"))
+    parts = units.groupBy(*keys, part.alias("part")).agg(F.min("unit_id").alias("start_id"), F.max("unit_id").alias("end_id"))
+    parts = parts.withColumn("end_id", F.col("end_id") + F.when(F.col("chapter") % 7 == 0, 9).otherwise(0))
+    return reduce(DataFrame.unionByName, [
+        quality.outside_parent(parts, blocks, keys, "part lies in its block"),
+        quality.not_from_zero(parts, keys, "parts count from 0"),
+        quality.outside_all(units, blocks.where("chapter % 11 <> 0"), keys[:2], "unit is in a block"),
+    ])

@@ -28,9 +28,13 @@ def _top_sql(name: str, corpus: str, keep: int) -> str:
 BM25_SQL = f"""
 toks AS (SELECT unit_id, {I.sql_words('text')} AS tokens FROM units),
 stats AS (SELECT count(*) AS n_units, sum(len(tokens)) / count(*) AS mean_len FROM toks),
-posts AS (
-  SELECT term, unit_id, unit_len, count(*) AS tf FROM (
-    SELECT unit_id, len(tokens) AS unit_len, unnest(tokens) AS term FROM toks) GROUP BY 1, 2, 3),
+qws AS (SELECT term, {I.sql_words('term')} AS ws FROM (SELECT DISTINCT term FROM qterms)),
+qword AS (SELECT term, len(ws) AS width, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM qws),
+places AS (SELECT unit_id, len(tokens) AS unit_len, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS p FROM toks),
+runs AS (
+  SELECT term, unit_id, unit_len, p - i AS start FROM places JOIN qword USING (word)
+  GROUP BY term, unit_id, unit_len, p - i, width HAVING count(*) = width),
+posts AS (SELECT term, unit_id, unit_len, count(*) AS tf FROM runs GROUP BY 1, 2, 3),
 dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
 scored AS (
   SELECT term, unit_id, tf, df,
@@ -194,7 +198,7 @@ SELECT term, unit_id, unit_len, count(*) AS tf, min(p) AS first_pos FROM (
   SELECT unit_id, len(tokens) AS unit_len, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS p FROM toks)
 GROUP BY 1, 2, 3""")
 def q_postings(spark, sf):
-    return keyword.postings(I.shelf_units(spark, sf))
+    return I.keyword_index(spark, sf).postings.select("term", "unit_id", "unit_len", "tf", "first_pos")
 
 
 @query("bm25_topk", I.with_sql(I.WORKS_SQL, I.UNITS_SQL, I.QTERMS_SQL, BM25_SQL) + """
@@ -203,7 +207,7 @@ SELECT query_id, term_no, term, unit_id, pos, round_even(score, 6) AS score FROM
          row_number() OVER (PARTITION BY term ORDER BY weight DESC, unit_id) - 1 AS pos FROM scored) USING (term)
 WHERE pos < 10""")
 def q_bm25_topk(spark, sf):
-    top = keyword.bm25_topk(I.shelf_units(spark, sf), I.shelf_question_terms(spark, sf), 10)
+    top = keyword.bm25_topk(I.keyword_index(spark, sf), I.shelf_question_terms(spark, sf), 10)
     return top.select("query_id", "term_no", "term", "unit_id", "pos", F.bround("score", 6).alias("score"))
 
 
@@ -239,17 +243,15 @@ def q_phrase_match(spark, sf):
     phrases = items.select(
         "query_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - 2)).alias("term_no")
     ).select("query_id", "term_no", F.array_join(F.slice("w", F.col("term_no").cast("int") + 1, 2), " ").alias("term"))
-    top = keyword.bm25_topk(I.shelf_units(spark, sf), phrases, 10, phrases=True)
+    top = keyword.bm25_topk(I.keyword_index(spark, sf), phrases, 10)
     return top.select("query_id", "term_no", "term", "unit_id", "pos", "tf", F.bround("score", 6).alias("score"))
 
 
-@query("term_hits", I.with_sql(I.UNITS_SQL, I.QTERMS_SQL) + f"""
-SELECT term, count(*) AS n_units, count(DISTINCT unit_id // 1000000) AS n_groups FROM (
-  SELECT DISTINCT unit_id, unnest({I.sql_words('text')}) AS term FROM units)
-WHERE term IN (SELECT term FROM qterms) GROUP BY 1""")
+@query("term_hits", I.with_sql(I.UNITS_SQL, I.QTERMS_SQL, BM25_SQL) + """
+SELECT term, count(*) AS n_units, count(DISTINCT unit_id // 1000000) AS n_groups FROM posts GROUP BY 1""")
 def q_term_hits(spark, sf):
-    units = I.shelf_units(spark, sf).withColumn("work_id", I.CLASSIC.work(F.col("unit_id")))
-    return keyword.term_hits(units, I.shelf_question_terms(spark, sf), "work_id")
+    groups = I.shelf_units(spark, sf).select("unit_id", I.CLASSIC.work(F.col("unit_id")).alias("group"))
+    return keyword.term_hits(I.keyword_index(spark, sf), I.shelf_question_terms(spark, sf), groups)
 
 
 # --- fusion and expansion --------------------------------------------------------
@@ -333,13 +335,6 @@ ABLATION_SQL = (
 )
 
 
-@query("ablation", I.with_sql(*ABLATION_SQL) + "SELECT config, query_id, pos, unit_id, score, origins FROM final")
-def q_ablation(spark, sf):
-    return _joined(search.ablation(I.search_index(spark, sf), _hits(spark, sf), "primary"))
-
-
-# --- passages ------------------------------------------------------------------
-
 def islands_sql(source: str = "final", scope: str = "query_id", out: str = "passages", gap: int = 1) -> str:
     """Gaps and islands over (work, chapter) as ``out``."""
     return f"""
@@ -359,6 +354,67 @@ def islands_sql(source: str = "final", scope: str = "query_id", out: str = "pass
 """
 
 
+def rerank_sql(source: str, scope: str, out: str) -> str:
+    """The first 60 passages of ``source`` in the order of stand-in scores, as ``out``."""
+    return f"""
+{out}_t AS (
+  SELECT {scope}, "rank", 'Vol' || any_value(work_id) || ' ' || any_value(chapter) || ':' || any_value("first")
+           || CASE WHEN any_value("first") = any_value("last") THEN '' ELSE '-' || any_value("last") END
+           || ' ' || string_agg(text, ' ' ORDER BY u) AS t
+  FROM (SELECT *, unnest(unit_ids) AS u FROM {source} WHERE "rank" < 60) p JOIN units ON unit_id = u GROUP BY {scope}, "rank"),
+{out} AS (
+  SELECT s.*, row_number() OVER (PARTITION BY {scope} ORDER BY CASE WHEN "rank" < 60 THEN 0 ELSE 1 END,
+           CASE WHEN "rank" < 60 THEN -coalesce(new_score, score) END NULLS FIRST, "rank") - 1 AS new_rank,
+         CASE WHEN "rank" < 60 THEN coalesce(new_score, score) ELSE score END AS moved
+  FROM {source} s LEFT JOIN (
+    SELECT {scope}, "rank", round_even(1.0::DOUBLE / length(left(t, 2000)), 9) AS new_score FROM {out}_t) USING ({scope}, "rank"))
+"""
+
+
+ABLATION_PASSAGES_SQL = (
+    *ABLATION_SQL, islands_sql("final", "config, query_id", "plain"), "best AS (SELECT * FROM plain WHERE config = 'F')",
+    rerank_sql("best", "query_id", "again"), """
+apassages AS (
+  SELECT config, query_id, "rank", first_unit, score, origins, unit_ids FROM plain
+  UNION ALL SELECT 'G', query_id, new_rank, first_unit, moved, origins, unit_ids FROM again)""",
+)
+
+
+def head_scores(spark, sf, passages: DataFrame, scope: list[str]) -> DataFrame:
+    """Stand-in scores: shorter documents first (document = reference and texts, 2000 characters)."""
+    from quillspan.functions.refs import reference
+
+    units = I.shelf_units(spark, sf).select("unit_id", "text")
+    texts = (
+        passages.select(*scope, "rank", "work_id", "chapter", "first", "last", F.explode("unit_ids").alias("unit_id"))
+        .join(units, "unit_id")
+        .groupBy(*scope, "rank", "work_id", "chapter", "first", "last")
+        .agg(F.array_sort(F.collect_list(F.struct("unit_id", "text"))).alias("parts"))
+    )
+    name = F.concat(F.lit("Vol"), F.col("work_id").cast("string"))
+    document = F.concat(
+        reference(name, F.col("chapter"), F.col("first"), F.col("last")), F.lit(" "),
+        F.array_join(F.transform("parts", lambda p: p["text"]), " "),
+    )
+    return texts.select(*scope, "rank", F.bround(F.lit(1.0) / F.length(F.substring(document, 1, 2000)), 9).alias("new_score"))
+
+
+def ablation_passages(spark, sf) -> DataFrame:
+    scope = ["config", "query_id"]
+    return search.ablation_passages(I.search_index(spark, sf), _hits(spark, sf), "primary",
+                                    lambda head: head_scores(spark, sf, head, scope))
+
+
+@query("ablation", I.with_sql(*ABLATION_PASSAGES_SQL) + """
+SELECT config, query_id, "rank", first_unit, score, origins, array_to_string(unit_ids, ',') AS unit_ids FROM apassages""")
+def q_ablation(spark, sf):
+    """Passages of every configuration; G is F with its head reranked."""
+    found = ablation_passages(spark, sf).withColumn("unit_ids", F.array_join("unit_ids", ","))
+    return _joined(found.select("config", "query_id", "rank", "first_unit", "score", "origins", "unit_ids"))
+
+
+# --- passages ------------------------------------------------------------------
+
 PASSAGES_SQL = (*hybrid_ctes(), islands_sql())
 
 
@@ -395,38 +451,11 @@ def q_top_cut(spark, sf):
     return both_cut(spark, sf).select("query_id", "cut_pos", "rank", "collection", "first_unit", "score")
 
 
-@query("rerank_head", I.with_sql(*PASSAGES_SQL, """
-texts AS (
-  SELECT query_id, "rank", 'Vol' || any_value(work_id) || ' ' || any_value(chapter) || ':' || any_value("first")
-           || CASE WHEN any_value("first") = any_value("last") THEN '' ELSE '-' || any_value("last") END
-           || ' ' || string_agg(text, ' ' ORDER BY u) AS t
-  FROM (SELECT *, unnest(unit_ids) AS u FROM passages WHERE "rank" < 60) p JOIN units ON unit_id = u GROUP BY 1, 2),
-ns AS (SELECT query_id, "rank", round_even(1.0::DOUBLE / length(left(t, 2000)), 9) AS new_score FROM texts)""") + """
-SELECT query_id, "rank", row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN "rank" < 60 THEN 0 ELSE 1 END,
-         CASE WHEN "rank" < 60 THEN -coalesce(new_score, score) END NULLS FIRST, "rank") - 1 AS new_rank, first_unit,
-       CASE WHEN "rank" < 60 THEN coalesce(new_score, score) ELSE score END AS score
-FROM passages LEFT JOIN ns USING (query_id, "rank")""")
+@query("rerank_head", I.with_sql(*PASSAGES_SQL, rerank_sql("passages", "query_id", "again")) + """
+SELECT query_id, "rank", new_rank, first_unit, moved AS score FROM again""")
 def q_rerank_head(spark, sf):
-    """Stand-in scores: shorter head documents first (document = reference and texts, 2000 characters)."""
-    from quillspan.functions.refs import reference
-
     found = passages(spark, sf)
-    head = found.where(F.col("rank") < fusion.RERANK_HEAD)
-    units = I.shelf_units(spark, sf).select("unit_id", "text")
-    texts = (
-        head.select("query_id", "rank", "work_id", "chapter", "first", "last", F.explode("unit_ids").alias("unit_id"))
-        .join(units, "unit_id")
-        .groupBy("query_id", "rank", "work_id", "chapter", "first", "last")
-        .agg(F.array_sort(F.collect_list(F.struct("unit_id", "text"))).alias("parts"))
-    )
-    name = F.concat(F.lit("Vol"), F.col("work_id").cast("string"))
-    document = F.concat(
-        reference(name, F.col("chapter"), F.col("first"), F.col("last")), F.lit(" "),
-        F.array_join(F.transform("parts", lambda p: p["text"]), " "),
-    )
-    scores = texts.select(
-        "query_id", "rank", F.bround(F.lit(1.0) / F.length(F.substring(document, 1, 2000)), 9).alias("new_score")
-    )
+    scores = head_scores(spark, sf, found.where(F.col("rank") < fusion.RERANK_HEAD), ["query_id"])
     return fusion.rerank_head(found, scores, ["query_id"]).select(
         "query_id", "rank", "new_rank", "first_unit", "score"
     )

@@ -260,15 +260,15 @@ def q_question_terms(spark, sf):
 
 
 _NOISY = (
-    "CASE WHEN turn % 4 = 0 THEN concat('Sure: [\"', w1, ' ', w2, '\", \"  ', w3, ' \", \"\", 7, \"', w1, '\"] done') "
+    "CASE WHEN turn % 4 = 0 THEN concat('Sure: [\"', w1, ' ', w2, '\", \"  ', w3, ' \", \"\", 7, \"', rest, '\"] done') "
     "WHEN turn % 4 = 1 THEN concat('# head\n- ', w1, ' ', w2, '\n* \"', w3, '\"\n', text) "
-    "WHEN turn % 4 = 2 THEN concat('[broken ', w1, '\n- ', w2, ' ] ', w3) ELSE text END"
+    "WHEN turn % 4 = 2 THEN concat('[broken ', w1, '\n- ', w2, ' ] ', rest, '\n', w3) ELSE text END"
 )
 _NOISY_SQL = f"""
 tw AS (SELECT *, {I.sql_words('text')} AS w FROM conversations),
 noisy AS (
   SELECT conv_id, turn, {_NOISY.replace(chr(10), "' || chr(10) || '")} AS text
-  FROM (SELECT conv_id, turn, text, coalesce(w[1], '') AS w1, coalesce(w[2], '') AS w2, coalesce(w[3], '') AS w3 FROM tw)),
+  FROM (SELECT conv_id, turn, text, coalesce(w[1], '') AS w1, coalesce(w[2], '') AS w2, coalesce(w[3], '') AS w3, array_to_string(w, ' ') AS rest FROM tw)),
 span AS (SELECT *, regexp_extract(text, '(?s)(\\[.*\\])', 1) AS j FROM noisy),
 arr AS (
   SELECT *, CASE WHEN j <> '' AND json_valid(j) THEN
@@ -283,7 +283,7 @@ parsed AS (
 def _noisy(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("w", T.words(F.col("text")))
     word = lambda i: F.coalesce(F.get("w", F.lit(i - 1)), F.lit("")).alias(f"w{i}")
-    return turns.select(*KEYS, "text", word(1), word(2), word(3)).select(*KEYS, F.expr(_NOISY).alias("text"))
+    return turns.select(*KEYS, "text", word(1), word(2), word(3), F.array_join("w", " ").alias("rest")).select(*KEYS, F.expr(_NOISY).alias("text"))
 
 
 @query("parse_queries", I.with_sql(_NOISY_SQL)
@@ -295,14 +295,16 @@ def q_parse_queries(spark, sf):
 
 @query("query_modes", I.with_sql(_NOISY_SQL, f"""
 mixed AS (
-  SELECT p.conv_id, p.turn, {I.sql_question_terms('c.text')} AS own, q FROM parsed p JOIN conversations c USING (conv_id, turn))""") + """
-SELECT conv_id, turn, 'raw' AS mode, array_to_string(own, '|') AS terms FROM mixed
-UNION ALL SELECT conv_id, turn, 'rewrite', array_to_string(CASE WHEN len(q) > 0 THEN q ELSE own END, '|') FROM mixed
-UNION ALL SELECT conv_id, turn, 'fused', array_to_string(own || list_filter(q, lambda x: NOT list_contains(own, x)), '|') FROM mixed""")
+  SELECT p.conv_id, p.turn, {I.sql_question_terms('c.text')} AS own, q, c.text, c.text || ' ' || array_to_string(q, ' ') AS long
+  FROM parsed p JOIN conversations c USING (conv_id, turn))""") + """
+SELECT conv_id, turn, 'raw' AS mode, array_to_string(own, '|') AS terms, text AS query_text FROM mixed
+UNION ALL SELECT conv_id, turn, 'rewrite', array_to_string(CASE WHEN len(q) > 0 THEN q ELSE own END, '|'),
+  CASE WHEN len(q) > 0 THEN long ELSE text END FROM mixed
+UNION ALL SELECT conv_id, turn, 'fused', array_to_string(own || q, '|'), long FROM mixed""")
 def q_query_modes(spark, sf):
     from quillspan.operators.questions import query_modes
 
-    turns = table(spark, sf, "conversations").select(*KEYS, T.question_terms(F.col("text")).alias("own"))
+    turns = table(spark, sf, "conversations").select(*KEYS, "text", T.question_terms(F.col("text")).alias("own"))
     rewrites = _noisy(spark, sf).select(*KEYS, T.query_list(F.col("text")).alias("rewrites"))
     modes = query_modes(turns.join(rewrites, KEYS), KEYS)
     return modes.withColumn("terms", F.array_join("terms", "|"))
@@ -342,7 +344,7 @@ def q_short_labels(spark, sf):
     return docs.select("doc_id", T.short_label(F.regexp_replace("text", "\n", " ")).alias("label"))
 
 
-_LOG = "concat('# Title\n<think>', substring(text, 1, 40), CASE WHEN turn % 2 = 0 THEN '</think>' ELSE '' END, substring(text, 41, 100000))"
+_LOG = "concat('# Title\n<think>', substring(text, 1, 40), CASE WHEN turn % 2 = 0 THEN '</think>' ELSE '' END, substring(text, 41, length(text)))"
 
 
 @query("log_cleaning", f"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,26 @@ def build_session(app: str = "quillspan", cores: int = 8, memory: str = "20g") -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that kernels import it wherever a job was started."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="quillspan-package-")) / package.name
+    copied = made.parent / "tree"
+    shutil.copytree(package, copied / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(made), "zip", copied))
+    _SHIPPED.add(application)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +67,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's own in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that later stages survive lost executors."""
     spark = df.sparkSession

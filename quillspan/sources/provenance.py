@@ -17,9 +17,9 @@ def file_checksums(spark: SparkSession, folder: str, pattern: str = "*.parquet")
     return files.select(F.concat(F.lit("sha256_"), name).alias("key"), F.sha2("content", 256).alias("value"))
 
 
-def index_metadata(spark: SparkSession, folder: str, tables: dict[str, DataFrame],
-                   fixed: dict[str, str]) -> DataFrame:
-    """The key/value metadata table of an index."""
+def index_metadata(spark: SparkSession, tables: dict[str, DataFrame], fixed: dict[str, str],
+                   folder: str | None = None) -> DataFrame:
+    """The key/value metadata table of an index: fixed values, row counts and fingerprints, and checksums of ``folder``."""
     rows = [
         content_fingerprint(df).selectExpr(
             f"stack(2, 'rows_{name}', cast(n_rows AS string), 'fingerprint_{name}', fingerprint) AS (key, value)"
@@ -27,4 +27,5 @@ def index_metadata(spark: SparkSession, folder: str, tables: dict[str, DataFrame
         for name, df in tables.items()
     ]
     constants = spark.createDataFrame(list(fixed.items()), "key string, value string")
-    return reduce(DataFrame.unionByName, [constants, file_checksums(spark, folder), *rows])
+    checksums = [file_checksums(spark, folder)] if folder else []
+    return reduce(DataFrame.unionByName, [constants, *checksums, *rows])

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspan.operators.history import entry_postings
 from quillspan.operators.questions import flag_phrases
+from quillspan.session import cut_lineage, remove_folder
 
 ABANDON_MINUTES = 60
 NONE_USED = -1  # the log's value where the fallback is shown
@@ -128,7 +129,28 @@ def index_changes(changes: DataFrame) -> DataFrame:
     return tombstones.unionByName(rows)
 
 
+def compacted(log: DataFrame) -> DataFrame:
+    """The log without rows that a later change of their id has replaced; tombstones of living ids stay."""
+    last = log.where("term IS NULL").groupBy("id").agg(F.max("seq").alias("seq"))
+    return log.select("id", "seq", "term", "tf").join(last, ["id", "seq"], "left_semi")
+
+
+def compact(spark: SparkSession, target: str) -> None:
+    """Replace the batches of a change log by one; run between two runs of the stream, never beside one.
+
+    The compacted rows are complete in a folder of their own before a batch goes; a crash in between leaves rows twice
+    with the same number, which ``current_postings`` does not see.
+    """
+    batches = [r["batch"] for r in spark.read.parquet(target).select("batch").distinct().collect()]  # one number per batch
+    rows = cut_lineage(compacted(spark.read.parquet(target)))
+    newest = max(batches)
+    rows.write.mode("overwrite").parquet(f"{target}/batch={newest}")
+    for batch in batches:
+        if batch != newest:
+            remove_folder(spark, f"{target}/batch={batch}")
+
+
 def current_postings(log: DataFrame) -> DataFrame:
     """(id, term, tf) that hold now: rows written by the last change of their id."""
     last = log.where("term IS NULL").groupBy("id").agg(F.max("seq").alias("seq"))
-    return log.where("term IS NOT NULL").join(last, ["id", "seq"], "left_semi").select("id", "term", "tf")
+    return log.where("term IS NOT NULL").join(last, ["id", "seq"], "left_semi").select("id", "term", "tf").distinct()

@@ -7,7 +7,8 @@ from compare_with_sql import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 FAST = ["vector_topk", "segment_units", "alias_lookup", "cited_tokens", "topic_roots", "run_summary", "legacy_regroup",
-        "hybrid_search"]
+        "hybrid_search", "bm25_topk", "history_search", "history_append", "query_modes", "part_invariants", "content_works",
+        "index_meta", "embed_batch", "carry_forward_refs", "ablation", "stream_phrase_flags"]
 
 
 @pytest.mark.parametrize("name", FAST)
