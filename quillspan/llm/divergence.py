@@ -58,11 +58,6 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     windows = F.when(F.size("w") >= 3, F.slice(
         F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.size("w") - 2
     )).otherwise(F.array().cast("array<bigint>"))
-    rest, counts = F.col("text"), []
-    for n, kind in enumerate(CLASSES):
-        left = F.regexp_replace(rest, kind + "+", "")
-        counts.append((rest, left))
-        rest = left
     made = once(made, lines=lines, hashes=windows,
                 common=F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(every)))
     # Each class is cut from what the one before it has left, so the chain costs one pass over ever shorter texts.
@@ -139,5 +134,57 @@ def op9_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _sql() -> str:
+    """The same rows as SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    bins = "CASE lang " + " ".join(
+        f"WHEN {quoted(g)} THEN [{', '.join(map(quoted, ws))}]" for g, ws in COMMON_WORDS.items()) + " END"
+    chain, shares = [], []
+    for n, kind in enumerate(CLASSES):
+        chain.append(f"c{n + 1} AS (SELECT *, regexp_replace(l{n}, {quoted(kind + '+')}, '', 'g') AS l{n + 1} FROM c{n})")
+        shares.append(f"length(l{n}) - length(l{n + 1})")
+    shares.append(f"length(l{len(CLASSES)})")
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0.0 END"
+    distance = f"sqrt(greatest(0.0, sum({half('p', 'q')} + {half('q', 'p')}) / 2))"
+    means = lambda kind: f"""
+{kind}_rows AS (SELECT doc_id, lang, unnest({kind}) AS p, generate_subscripts({kind}, 1) AS i FROM shares WHERE {kind} IS NOT NULL),
+{kind}_means AS (
+  SELECT lang, i, avg(p) AS q FROM {kind}_rows JOIN base USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2 HAVING count(*) >= {MIN_REFERENCE}),
+{kind}_far AS (
+  SELECT r.doc_id, {distance} AS d FROM {kind}_rows r JOIN {kind}_means m ON r.i = m.i AND r.lang IS NOT DISTINCT FROM m.lang GROUP BY 1)"""
+    return rf"""
+WITH t AS (
+  SELECT doc_id, lang, coalesce(text, '') AS l0, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+grams AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i FROM (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t)),
+twice AS (SELECT doc_id, a, b, c FROM grams GROUP BY ALL HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT x) AS n FROM (
+  SELECT doc_id, unnest([i, i + 1, i + 2]) AS x FROM grams JOIN twice USING (doc_id, a, b, c)) GROUP BY 1),
+lined AS (SELECT doc_id, list_filter(string_split(l0, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM t),
+base AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(l0) - length(translate(l0, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+           CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           length(l0) AS n_chars FROM t JOIN lined USING (doc_id) LEFT JOIN repeated USING (doc_id))),
+c0 AS (SELECT * FROM t),
+{", ".join(chain)},
+hits AS (
+  SELECT *, list_transform({bins}, lambda b: len(list_filter(low, lambda x: x = b))) AS h FROM (
+    SELECT *, list_transform(w, lambda x: lower(x)) AS low FROM c{len(CLASSES)})),
+shares AS (
+  SELECT doc_id, lang, CASE WHEN length(l0) > 0 THEN list_transform([{", ".join(shares)}], lambda x: x / length(l0)) END AS chars,
+         CASE WHEN len(w) > 0 AND h IS NOT NULL THEN list_transform(h || [len(w) - list_sum(h)], lambda x: x / len(w)) END AS words FROM hits),
+{means("chars").strip()},
+{means("words").strip()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {MIN_CLASS_CHARS} AND coalesce(c.d, 0) > {MAX_CLASS_DISTANCE})
+    AND NOT (n_words >= {MIN_WORD_WORDS} AND coalesce(v.d, 0) > {MAX_WORD_DISTANCE}) AS kept
+FROM base LEFT JOIN chars_far c USING (doc_id) LEFT JOIN words_far v USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Builder] = {"op9_distribution_divergence": op9_distribution_divergence}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_distribution_divergence": _sql()}
