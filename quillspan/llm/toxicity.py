@@ -2,7 +2,7 @@
 
 The examples are a bounded sample of the labelled rows (``per_class`` of each label, least hash first), so the index
 has a fixed size and is broadcast. Terms are words and their beginnings (which catch inflected forms); those kept are
-the ``max_terms`` that lean most clearly to the toxic examples. Document frequencies of the kept terms count every
+the ``max_terms`` that lean most clearly and most strongly to the toxic examples. Document frequencies of the kept terms count every
 document. Each text is scored whole: blocks of examples are visited by descending upper bound until no block can hold
 a nearer example, so the neighbours are exact. Their distance-weighted vote is calibrated on the examples, each judged
 without itself and weighted back to the label's share of all labelled rows.
@@ -31,6 +31,8 @@ PER_CLASS = 3_000
 MAX_TERMS = 20_000
 MIN_EXAMPLES = 3
 MIN_LEANING = 3.5
+#: A kept term is at least so many times as frequent in toxic examples; significance alone grows with the sample.
+MIN_LIFT = 3.0
 NEIGHBOURS = 15
 EVIDENCE = 5
 BLOCK = 64
@@ -51,21 +53,30 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
-def known_counts(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
-    """The counts of the terms in ``vocabulary`` only."""
-    out: dict[int, int] = {}
-    get = vocabulary.get
-    for word, n in Counter(_TOKEN.findall((text or "").lower())).items():
-        at = get(word)
-        if at is not None:
-            out[at] = out.get(at, 0) + n
-        for k in BEGINNINGS:
-            if len(word) < k:
-                break
-            at = get(word[:k] + "~")
-            if at is not None:
-                out[at] = out.get(at, 0) + n
-    return out
+class Known(dict):
+    """word → numbers of the known terms it stands for, remembered for as many words as fit ``LIMIT``."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        terms = [word] + [word[:k] + "~" for k in BEGINNINGS if len(word) >= k]
+        found = tuple(n for n in map(self.vocabulary.get, terms) if n is not None)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = found
+        return found
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """The counts of the known terms of a whole text."""
+        out: dict[int, int] = {}
+        for terms in map(self.__getitem__, _TOKEN.findall((text or "").lower())):
+            for t in terms:
+                out[t] = out.get(t, 0) + 1
+        return out
 
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +91,15 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Index:
-    """Inverted lists in blocks of ``BLOCK`` examples; each term keeps its largest weight in each block."""
+    """Inverted index in blocks of ``BLOCK`` examples: each block has its terms in order and a row of weights per example;
+    ``most`` holds each term's largest weight in each block."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: list = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.empty(0))
-    lists: dict[int, tuple] = field(default_factory=dict)
+    blocks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    most: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     levels: tuple | None = None
     without: float = 0.0
 
@@ -96,41 +109,43 @@ class Index:
             e[0][0][np.argsort(-e[0][1], kind="stable")[:4]].tolist(), str(e[1])))
         self.ids = [i for _, i, _ in weighed]
         self.toxic = np.array([y for *_, y in weighed], float)
-        postings: dict[int, list] = {}
-        for n, ((terms, weights), _, _) in enumerate(weighed):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                postings.setdefault(t, []).append((n, w))
-        for t, rows in postings.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            blocks, starts = np.unique(at // BLOCK, return_index=True)
-            self.lists[t] = (at, w, blocks, np.maximum.reduceat(w, starts), np.append(starts, len(at)))
+        self.most = np.zeros((len(self.idf), -(-len(weighed) // BLOCK)))
+        for start in range(0, len(weighed), BLOCK):
+            held = [e[0] for e in weighed[start : start + BLOCK]]
+            terms = np.unique(np.concatenate([t for t, _ in held]))
+            rows = np.zeros((len(held), len(terms)))
+            for row, (t, w) in enumerate(held):
+                rows[row, np.searchsorted(terms, t)] = w
+            self.most[terms, len(self.blocks)] = rows.max(axis=0)
+            self.blocks.append((terms, rows))
 
     def nearest(self, counts: dict[int, int], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples (numbers, cosines), ties by number; exact."""
+        """The k most similar examples (numbers, cosines), ties by number; exact.
+
+        Blocks are scored by descending upper bound, until none left can hold a nearer example.
+        """
         terms, weights = weigh(counts, self.idf)
-        held = [(self.lists[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.lists]
-        none = np.empty(0, np.int64), np.empty(0)
-        if not held:
-            return none
-        bound = np.zeros(-(-len(self.ids) // BLOCK))
-        for (_, _, blocks, most, _), w in held:
-            bound[blocks] += w * most
-        best_at, best = none
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
+        best_at, best = np.empty(0, np.int64), np.empty(0)
+        if not len(terms) or not self.blocks:
+            return best_at, best
+        bound = weights @ self.most[terms]
+        for block in np.argsort(-bound, kind="stable").tolist():
+            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-9):
                 break
-            score = np.zeros(BLOCK)
-            for (at, ws, blocks, _, starts), w in held:
-                j = np.searchsorted(blocks, block)
-                if j < len(blocks) and blocks[j] == block:
-                    s, e = starts[j], starts[j + 1]
-                    score[at[s:e] - block * BLOCK] += w * ws[s:e]
+            of, rows = self.blocks[block]
+            at = np.minimum(np.searchsorted(of, terms), len(of) - 1)
+            known = of[at] == terms
+            score = rows[:, at[known]] @ weights[known]
             hit = np.nonzero(score > 0)[0]
+            if len(best) == k:
+                hit = hit[score[hit] > best[-1] - 1e-9]
             number = hit + block * BLOCK
-            hit, number = hit[number != leave_out], number[number != leave_out]
-            best_at, best = np.concatenate((best_at, number)), np.concatenate((best, score[hit]))
-            order = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
+            if leave_out >= 0:
+                hit, number = hit[number != leave_out], number[number != leave_out]
+            if len(hit):
+                best_at, best = np.concatenate((best_at, number)), np.concatenate((best, score[hit]))
+                order = np.lexsort((best_at, -np.round(best, 12)))[:k]
+                best_at, best = best_at[order], best[order]
         return best_at, best
 
     def vote(self, at: np.ndarray, near: np.ndarray) -> float:
@@ -207,18 +222,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     p = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     leaning = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     picked = (
-        seen.where(F.col("a") + F.col("b") >= MIN_EXAMPLES).select("term", leaning.alias("z"))
-        .where(F.col("z") >= MIN_LEANING).orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()
+        seen.where(F.col("a") + F.col("b") >= MIN_EXAMPLES).where(p1 >= MIN_LIFT * p0)
+        .select("term", leaning.alias("z")).where(F.col("z") >= MIN_LEANING).orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect()
     )
     vocabulary = {r["term"]: n for n, r in enumerate(picked)}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        n = np.zeros(len(words) + 1, np.int64)  # the last counts documents
+        words = Known(shared.value)
+        n = np.zeros(len(words.vocabulary) + 1, np.int64)  # the last counts documents
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n[list(known_counts(text, words))] += 1
+                if found := words.counts(text):
+                    n[list(found)] += 1
                 n[-1] += 1
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
@@ -230,9 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     index = Index(vocabulary, np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words = Known(shared.value)
         for batch in batches:
-            rows = [known_counts(t, words) for t in batch.column(1).to_pylist()]
+            rows = [words.counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([list(r) for r in rows], pa.list_(pa.int64())),
                  pa.array([list(r.values()) for r in rows], pa.list_(pa.int64()))], ["doc_id", "label", "terms", "counts"])
@@ -255,10 +271,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        words = Known(model.vocabulary)
         for batch in batches:
             scores, near = [], []
             for text in batch.column(1).to_pylist():
-                value, at, cosines = model.score(known_counts(text, model.vocabulary))
+                value, at, cosines = model.score(words.counts(text))
                 scores.append(value)
                 near.append([{"doc_id": model.ids[a], "similarity": round(float(c), 6), "toxic": int(model.toxic[a])}
                              for a, c in zip(at[:EVIDENCE], cosines[:EVIDENCE])])
@@ -278,8 +295,9 @@ def reject(docs: DataFrame, index: Index, threshold: float = REJECT) -> DataFram
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        words = Known(model.vocabulary)
         for batch in batches:
-            keep = [model.score(known_counts(t, model.vocabulary))[0] < threshold for t in batch.column(at).to_pylist()]
+            keep = [model.score(words.counts(t))[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kernel, docs.schema)
