@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,17 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each the number of a row with that label) after joining the rows i and j; for bounded groups in a task."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components: edges (a, b) to (node, component), the component being its smallest node.
 
@@ -67,12 +79,14 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that the joins have a plain shuffle on both sides and a hub's edges can be split.
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             both.join(low, "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         after = mark(now)

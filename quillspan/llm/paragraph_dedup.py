@@ -2,9 +2,10 @@
 
 Paragraphs are the non-empty lines of a text with at least ``min_words`` words. Paragraphs with equal words collapse to
 one; each distinct one has a MinHash signature over its five-word shingles, cut into bands whose number is tuned to the
-wanted recall at the similarity limit. Paragraphs that share a band are compared to one of them first and then only
-across groups that are still apart, so a group of copies leaves pairs in proportion to its size. Pairs are verified
-by the exact Jaccard similarity of their shingles; of each connected group the first paragraph stays.
+wanted recall at the similarity limit. Paragraphs that share a band are compared to one of them first. Where groups are
+still apart, the band's paragraphs meet in a bounded run and leave a spanning forest, so a group of copies leaves rows in
+proportion to its size. All comparisons are the exact Jaccard similarity of shingles; of each connected group the first
+paragraph stays.
 
 Defined cases: null and empty texts have no paragraphs; a paragraph of fewer words than a shingle is one shingle; rows
 that share id and text count as one document; ties between ids are settled by the text's hash.
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import components, load, stored, text_key
+from quillspan.llm.common import components, load, merged, stored, text_key
 from quillspan.plans.registry import Builder
 
 MIN_WORDS = 20
@@ -35,6 +36,9 @@ FILTER_ROWS = 1 << 20
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 400_000
+#: Paragraphs that are compared in one go, and shingles to a block of the comparison.
+RUN_CAP = 2048
+_COLUMNS = 2048
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -147,6 +151,78 @@ def verified(docs: DataFrame, pairs: DataFrame, groups: DataFrame, id_col: str,
     ).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
 
 
+def _connect(names: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the groups which similar members of one run connect, at most one per group.
+
+    Common shingles are counted by matrix products over blocks of shingles that at least two members have.
+    """
+    sizes = np.array([len(x) for x in sets], np.float32)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    shared = count[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + _COLUMNS))
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1.0
+        common += part @ part.T
+    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    ids, of = np.unique(group, return_inverse=True)
+    i, j = np.nonzero(np.triu(near, 1))
+    if not len(i):
+        return names[:0], names[:0]
+    pairs = np.unique(np.sort(np.stack((of[i], of[j])), axis=0), axis=1)
+    label = merged(np.arange(len(ids)), pairs[0], pairs[1])
+    member = names[np.unique(of, return_index=True)[1]]
+    rest = np.nonzero(label != np.arange(len(ids)))[0]
+    return member[label[rest]], member[rest]
+
+
+def across(docs: DataFrame, left: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int, similarity: float,
+           cap: int = RUN_CAP) -> DataFrame:
+    """Edges (a, b) between first occurrences that join groups left apart in a band. ``left``: band, h1, group.
+
+    The paragraphs of a band meet in one sorted run with their shingles and are compared there, so no pairs are written.
+    A band with more than ``cap`` paragraphs is cut into parts, and every two parts are a run.
+    """
+    wanted = stored(groups.join(left.select("h1").distinct(), "h1", "left_semi").select("h1", "first"))
+    sets = stored(_shingles(docs, wanted, id_col, text_col, width).select("h1", "set").dropDuplicates(["h1"]))
+    sizes = stored(left.groupBy("band").agg(F.ceil(F.count("*") / F.lit(cap)).cast("int").alias("parts")).where("parts > 1"))
+    cut = left.join(sizes, "band", "left").select(
+        "band", "h1", "group", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn(
+        "part", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("parts").cast("long")).cast("int"))
+    run = cut.select("h1", "group", "band", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select(
+        F.xxhash64("band", F.least("part", "with"), F.greatest("part", "with")).alias("run"), "h1", "group")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rows: list[tuple]) -> pa.RecordBatch:
+            a, b = _connect(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["h_a", "h_b"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            keys, names, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            lists = batch.column(3)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for n in range(len(keys)):
+                if rows and rows[0][0] != keys[n]:
+                    if len(rows) > 1:
+                        yield solve(rows)
+                    rows = []
+                rows.append((keys[n], names[n], group[n], flat[ends[n] : ends[n + 1]].copy()))
+        if len(rows) > 1:
+            yield solve(rows)
+
+    found = run.join(sets, "h1").select("run", "h1", "group", "set").repartition("run").sortWithinPartitions("run").mapInArrow(
+        kernel, "h_a long, h_b long").distinct()
+    a = groups.select(F.col("h1").alias("h_a"), F.col("first").alias("a"))
+    b = groups.select(F.col("h1").alias("h_b"), F.col("first").alias("b"))
+    return stored(found).join(a, "h_a").join(b, "h_b").select("a", "b")
+
+
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
              width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """(id, key, no, n, keep): every paragraph that has a copy; ``keep`` is the place of the one that stays."""
@@ -161,17 +237,13 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     star = stored(met.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct())
     edges = stored(verified(docs, star, groups, id_col, text_col, width, similarity))
     grouped = stored(components(edges))
-    # Paragraphs that a band's lead has not brought together are paired too, but only across groups.
+    # Bands whose lead has not brought all together go on.
     first = groups.select("h1", "first")
     of = met.select("band", "h1").join(first, "h1").join(grouped, F.col("first") == F.col("node"), "left").select(
-        "band", "h1", F.coalesce("component", "first").alias("group"))
+        "band", "h1", F.xxhash64(F.coalesce("component", "first")).alias("group"))
     open_ = of.groupBy("band").agg((F.min("group") != F.max("group")).alias("open")).where("open").select("band")
     left = stored(of.join(open_, "band"))
-    other = left.select("band", F.col("h1").alias("b"), F.col("group").alias("group_b"))
-    across = left.withColumnRenamed("h1", "a").join(other, "band").where(
-        (F.col("a") < F.col("b")) & (F.col("group") != F.col("group_b"))).select("a", "b").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(docs, stored(across.join(tried, ["a", "b"], "left_anti")), groups, id_col, text_col, width, similarity)
+    more = across(docs, left, groups, id_col, text_col, width, similarity)
     whole = stored(components(edges.unionByName(more)))
     kept = groups.select("h1", "h2", "first", "rows").join(whole, F.col("first") == F.col("node"), "left").where(
         "rows > 1 or component is not null").select("h1", "h2", F.coalesce("component", "first").alias("keep"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import components, load, stored, text_key
+from quillspan.llm.common import components, load, merged, stored, text_key
 from quillspan.plans.registry import Builder
 
 MAX_BITS = 3
@@ -87,27 +87,16 @@ def _forest(prints: np.ndarray, variant: int | None, max_bits: int) -> tuple[np.
             i, j = i[keep], j[keep]
         i = i + start
         if len(i) > n:  # merge at once, so that links of a dense group are not kept
-            label = _merge(label, i, j)
+            label = merged(label, i, j)
         else:
             lefts.append(i)
             rights.append(j)
     if lefts:
-        label = _merge(label, np.concatenate(lefts), np.concatenate(rights))
+        label = merged(label, np.concatenate(lefts), np.concatenate(rights))
     rest = np.nonzero(label != np.arange(n))[0]
     return prints[label[rest]], prints[rest]
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    while True:
-        a, b = label[i], label[j]
-        if (a == b).all():
-            return label
-        low = np.minimum(a, b)
-        np.minimum.at(label, np.maximum(a, b), low)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def _links(max_bits: int, cap: int | None):
     """Kernel over rows (key, fp) sorted by key: edges (0, a, b), and rows (1, key, fp) of runs over ``cap``."""
 
