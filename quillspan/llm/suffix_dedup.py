@@ -281,7 +281,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         raise ValueError(f"length must be at least {2 * GRAM}")
     found = blocks(docs, id_col, text_col, length)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("several"))
-    met = stored(found.join(anchors.where("n > 1").select("anchor", "several"), "anchor"))
+    # Stored, so that the join has a plain shuffle on both sides and the rows of a hot anchor can be split.
+    met = stored(found.join(stored(anchors.where("n > 1").select("anchor", "several")), "anchor"))
     by_digest = stored(met.groupBy("anchor", "digest").agg(
         F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("id", "key", "at", "span")).alias("one")))
     whole = by_digest.where("n > 1").select(
@@ -374,5 +375,23 @@ def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int
     return out
 
 
+OP3_SQL = f"""
+WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS h
+  FROM (SELECT doc_id, x, unnest(range(0, n - {LENGTH - 1})) AS i FROM t WHERE n >= {LENGTH})),
+s AS (SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS opens FROM s),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+r AS (SELECT doc_id, k, min(i) AS lo, max(i) + {LENGTH} AS hi FROM g GROUP BY 1, 2),
+parts AS (
+  SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS a, lo AS b FROM r
+  UNION ALL SELECT t.doc_id, coalesce(max(hi), 0), any_value(n) FROM t LEFT JOIN r USING (doc_id) GROUP BY t.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM parts JOIN t USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS runs FROM r GROUP BY 1) USING (doc_id)
+"""
+
 QUERIES: dict[str, Builder] = {"op3_suffix_array_dedup": op3_suffix_array_dedup}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_suffix_array_dedup": OP3_SQL}
