@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import load
+from quillspan.llm.common import least_hashed, load
 from quillspan.plans.registry import Builder
 
 #: Notices by family, in the wording that files carry.
@@ -195,10 +195,10 @@ def train(negatives: list[str], rounds: int = 300, l2: float = 1e-4) -> Classifi
 
 
 def fit(docs: DataFrame, text_col: str = "text", negatives: int = NEGATIVES) -> Classifier:
-    """Train with the ``negatives`` corpus paragraphs of least hash."""
+    """Train with the (at most) ``negatives`` corpus paragraphs of least hash."""
     parts = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).where(F.trim("line") != "")
-    drawn = parts.select(F.xxhash64("line").alias("h"), "line").orderBy("h", "line").limit(negatives)
-    return train([r["line"] for r in drawn.select("line").collect()])
+    drawn = least_hashed(parts, F.xxhash64("line"), negatives, parts.count())
+    return train([r["line"] for r in drawn.collect()])
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import load, stored
+from quillspan.llm.common import least_hashed, load, stored
 from quillspan.plans.registry import Builder
 
 PER_CLASS = 3_000
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
     if len(shares) < 2:
         return Index({}, np.empty(0), without=prior)
-    drawn = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    drawn = [least_hashed(known.where(F.col("label") == y), F.xxhash64("doc_id"), per_class, shares[y]) for y in (0, 1)]
     chosen = stored(drawn[0].unionByName(drawn[1]))
     texts = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # bounded by 2 * per_class rows
 
