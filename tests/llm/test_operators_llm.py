@@ -279,6 +279,32 @@ def test_line_dedup_equals_all_pairs(spark, docs, rows, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_misses_no_line_at_the_edit_limit(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(60)]
+    texts = ["one shingle atshsh erin at ntreou", "one shingle then erin at ntreou"]
+    for n in (5, 6, 7, 8, 9, 10, 13, 20, 33, 60, 130):
+        for _ in range(4):
+            base = [rng.choice(names) for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(3):
+                made = list(base)
+                for _ in range(rng.randint(1, n // 5 + 1)):
+                    at, word = rng.randrange(len(made)), rng.choice(names)
+                    made[at:at + rng.choice((0, 1, 1))] = rng.choice(([], [word], [word]))
+                texts.append(" ".join(made))
+    texts = list(dict.fromkeys(texts))
+    words = [t.split() for t in texts]
+    near = lambda x, y: x == y or min(len(x), len(y)) >= 5 and edits(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)
+    root = groups_of(len(texts), lambda i, j: near(words[i], words[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.without(docs).where(F.size("_gone") > 0).collect()}
+    want = {i for i in range(len(texts)) if root[i] != i and len(words[i]) >= 3}
+    assert got == want
+    # The pairs a limit of three bits leaves out are why the query does without.
+    assert {r.id for r in line_dedup.surplus(docs).collect()} < want
+
+
 # --- paragraph dedup -------------------------------------------------------------------------------------------------
 
 def test_paragraph_clusters_equal_exact_jaccard(docs, rows, none):
