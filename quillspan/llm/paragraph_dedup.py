@@ -1,7 +1,8 @@
 """Paragraph deduplication by MinHash banding with exact verification.
 
-Paragraphs are the non-empty lines of a text with at least ``min_words`` words. Paragraphs with equal words collapse to
-one; each distinct one has a MinHash signature over its five-word shingles, cut into bands whose number is tuned to the
+Paragraphs are the lines of a text with at least ``min_words`` words; with ``wrapped``, hard-wrapped lines are joined to
+one paragraph first, which has the number of its first line. The query takes every paragraph, from one word on; those of
+fewer words than a shingle only meet equal ones. Paragraphs with equal words collapse to one; each distinct one has a MinHash signature over its five-word shingles, cut into bands whose number is tuned to the
 wanted recall at the similarity limit. Paragraphs that share a band are compared to one of them first. Where groups are
 still apart, the band's paragraphs meet in a bounded run and leave a spanning forest, so a group of copies leaves rows in
 proportion to its size. All comparisons are the exact Jaccard similarity of shingles; of each connected group the first
@@ -14,7 +15,7 @@ that share id and text count as one document; ties between ids are settled by th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,46 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
+def pieces(text: str | None, wrapped: bool = False) -> list[str]:
+    """The paragraphs of a text by line number; those joined stand at their first line and leave empty lines.
+
+    Short lines (under ``MIN_WORDS`` words) are one paragraph if they look broken at one width: no line but the last had
+    room for the word that comes next, none repeats the one before, and some line ends inside a sentence. Three lines show the width; two are joined where the text has shown it elsewhere.
+    """
+    out = (text or "").split("\n")
+    if not wrapped or len(out) < 3:
+        return out
+    size, ahead, short = [len(x.rstrip()) for x in out], [], []
+    for x in out:
+        ws = x.split(None, 1)
+        ahead.append(len(ws[0]) + 1 if ws else 0)
+        short.append(bool(ws) and len(_WORD.findall(x)) < MIN_WORDS)
+    inside = lambda n: out[n].rstrip()[-1] not in ".!?"
+    spans, width, i = [], 0, 0
+    while i < len(out):
+        j, most, least = i, size[i], 1 << 60  # least: the room that the tightest full line would have needed
+        while short[i] and j + 1 < len(out) and short[j + 1]:
+            tight, wide = min(least, size[j] + ahead[j + 1]), max(most, size[j + 1])
+            if tight <= wide or out[j] == out[j + 1]:
+                break
+            j, most, least = j + 1, wide, tight
+        if j - i >= 2 and any(inside(n) for n in range(i, j)):
+            width = max(width, most)
+            spans.append((i, j))
+            i = j
+        i += 1
+    taken = {n for a, b in spans for n in range(a, b + 1)}
+    i = 0
+    while width and i + 1 < len(out):
+        if short[i] and short[i + 1] and not {i, i + 1} & taken and inside(i) and max(size[i], size[i + 1]) <= width < size[i] + ahead[i + 1]:
+            spans.append((i, i + 1))
+            i += 1
+        i += 1
+    for a, b in spans:
+        out[a : b + 1] = [" ".join(out[a : b + 1])] + [""] * (b - a)
+    return out
+
+
 def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
@@ -75,23 +116,26 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray
     return np.stack([np.minimum.reduceat(mixed * a + b, starts) for a, b in zip(factors, shifts)], axis=1)
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, width: int, bands: int, rows: int) -> DataFrame:
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, width: int, bands: int, rows: int,
+               wrapped: bool = False) -> DataFrame:
     """(id, key, no, n, h1, h2, bands): every paragraph with enough words, its name and its band hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def emit(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
         words = [f[2] for f in found]
-        hashes, starts = shingle_hashes(words, width)
-        sig = signatures(hashes, starts, bands * rows)
-        keys = np.zeros((len(found), bands), np.uint64)
-        for b in range(bands):
-            value = np.full(len(found), b + 1, np.uint64)
-            for r in range(rows):
-                value = (value ^ (value >> np.uint64(31))) * _MIX + sig[:, b * rows + r]
-            keys[:, b] = value
+        banded = [ws for ws in words if len(ws) >= width]  # others only equal paragraphs, which have one name
+        keys = np.zeros((len(banded), bands), np.uint64)
+        if banded:
+            hashes, starts = shingle_hashes(banded, width)
+            sig = signatures(hashes, starts, bands * rows)
+            for b in range(bands):
+                value = np.full(len(banded), b + 1, np.uint64)
+                for r in range(rows):
+                    value = (value ^ (value >> np.uint64(31))) * _MIX + sig[:, b * rows + r]
+                keys[:, b] = value
         names = np.array([np.frombuffer(xxhash.xxh3_128_digest(" ".join(ws)), np.int64) for ws in words])
         which = pa.array([f[0] for f in found])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands),
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(bands * (len(ws) >= width) for ws in words)], dtype=np.int32)),
                                          pa.array(keys.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(which), batch.column(1).take(which), pa.array([f[1] for f in found], pa.int32()),
@@ -102,7 +146,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, widt
         for batch in batches:
             found, held = [], 0
             for at, text in enumerate(batch.column(2).to_pylist()):
-                for no, line in enumerate((text or "").split("\n")):
+                for no, line in enumerate(pieces(text, wrapped)):
                     ws = words_of(line)
                     if ws and len(ws) >= min_words:
                         found.append((at, no, ws))
@@ -118,7 +162,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, widt
         kernel, f"id {kind}, key long, no int, n int, h1 long, h2 long, bands array<long>")
 
 
-def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, wrapped: bool = False) -> DataFrame:
     """(h1, first, set): the distinct shingle hashes of one occurrence of each wanted paragraph."""
     lists = wanted.groupBy("first.id", "first.key").agg(F.collect_list(F.struct("h1", "first")).alias("wanted"))
     place = lambda key: F.pmod(F.hash(key), F.lit(FILTER_ROWS))
@@ -126,6 +170,14 @@ def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
     keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     some = keyed.withColumn("place", place("key")).join(F.broadcast(hit), "place", "left_semi")  # at most FILTER_ROWS rows
     met = some.join(lists, some["id"].eqNullSafe(lists["id"]) & (some["key"] == lists["key"])).select("text", "wanted")
+
+    def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array(["\n".join(pieces(x, True)) for x in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, batch.column(1)], ["text", "wanted"])
+
+    if wrapped:
+        met = met.mapInArrow(join_lines, met.schema)
     cut = met.select(F.split("text", "\n").alias("parts"), "wanted").select("parts", F.explode("wanted").alias("x"))
     lines = cut.select("x.h1", "x.first", F.get("parts", F.col("x.first.no")).alias("line")).dropDuplicates(["h1", "first"])
 
@@ -139,10 +191,10 @@ def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
 
 
 def verified(docs: DataFrame, pairs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int,
-             similarity: float) -> DataFrame:
+             similarity: float, wrapped: bool = False) -> DataFrame:
     """Edges (a, b) between first occurrences for those pairs of h1 numbers with enough common shingles."""
     ends = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    sets = stored(_shingles(docs, stored(groups.join(ends, "h1", "left_semi").select("h1", "first")), id_col, text_col, width))
+    sets = stored(_shingles(docs, stored(groups.join(ends, "h1", "left_semi").select("h1", "first")), id_col, text_col, width, wrapped))
     a = sets.select(F.col("h1").alias("a"), F.col("first").alias("first_a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("h1").alias("b"), F.col("first").alias("first_b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -182,14 +234,14 @@ def _connect(names: np.ndarray, group: np.ndarray, sets: list[np.ndarray], simil
 
 
 def across(docs: DataFrame, left: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int, similarity: float,
-           cap: int = RUN_CAP) -> DataFrame:
+           cap: int = RUN_CAP, wrapped: bool = False) -> DataFrame:
     """Edges (a, b) between first occurrences that join groups left apart in a band. ``left``: band, h1, group.
 
     The paragraphs of a band meet in one sorted run with their shingles and are compared there, so no pairs are written.
     A band with more than ``cap`` paragraphs is cut into parts, and every two parts are a run.
     """
     wanted = stored(groups.join(left.select("h1").distinct(), "h1", "left_semi").select("h1", "first"))
-    sets = stored(_shingles(docs, wanted, id_col, text_col, width).select("h1", "set").dropDuplicates(["h1"]))
+    sets = stored(_shingles(docs, wanted, id_col, text_col, width, wrapped).select("h1", "set").dropDuplicates(["h1"]))
     sizes = stored(left.groupBy("band").agg(F.ceil(F.count("*") / F.lit(cap)).cast("int").alias("parts")).where("parts > 1"))
     cut = left.join(sizes, "band", "left").select(
         "band", "h1", "group", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn(
@@ -224,18 +276,25 @@ def across(docs: DataFrame, left: DataFrame, groups: DataFrame, id_col: str, tex
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-             width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """(id, key, no, n, keep): every paragraph that has a copy; ``keep`` is the place of the one that stays."""
+             width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS,
+             wrapped: bool = False, more_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, key, no, n, keep): every paragraph that has a copy; ``keep`` is the place of the one that stays.
+
+    ``more_pairs`` makes further candidates (a, b), h1 numbers, of the distinct paragraphs (h1, first); they are verified too.
+    """
     bands = bands_for(similarity, recall, rows)
-    found = stored(paragraphs(docs, id_col, text_col, min_words, width, bands, rows))
+    found = stored(paragraphs(docs, id_col, text_col, min_words, width, bands, rows, wrapped))
     groups = stored(found.groupBy("h1", "h2").agg(
         F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("rows"), F.first("bands").alias("bands")))
     spread = groups.select("h1", F.explode("bands").alias("band"))
     # Stored, so that the join below has a plain shuffle on both sides and a hot band can be split.
     shared = stored(spread.groupBy("band").agg(F.count("*").alias("m"), F.min("h1").alias("lead")).where("m > 1"))
     met = stored(spread.join(shared.select("band", "lead"), "band"))
-    star = stored(met.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct())
-    edges = stored(verified(docs, star, groups, id_col, text_col, width, similarity))
+    star = met.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b"))
+    if more_pairs:
+        star = star.unionByName(more_pairs(groups.select("h1", "first")))
+    star = stored(star.distinct())
+    edges = stored(verified(docs, star, groups, id_col, text_col, width, similarity, wrapped))
     grouped = stored(components(edges))
     # Bands whose lead has not brought all together go on.
     first = groups.select("h1", "first")
@@ -243,7 +302,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         "band", "h1", F.xxhash64(F.coalesce("component", "first")).alias("group"))
     open_ = of.groupBy("band").agg((F.min("group") != F.max("group")).alias("open")).where("open").select("band")
     left = stored(of.join(open_, "band"))
-    more = across(docs, left, groups, id_col, text_col, width, similarity)
+    more = across(docs, left, groups, id_col, text_col, width, similarity, wrapped=wrapped)
     whole = stored(components(edges.unionByName(more)))
     kept = groups.select("h1", "h2", "first", "rows").join(whole, F.col("first") == F.col("node"), "left").where(
         "rows > 1 or component is not null").select("h1", "h2", F.coalesce("component", "first").alias("keep"))
@@ -252,7 +311,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def op1_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph that has a copy, the paragraph that stands for it, and whether it is removed."""
-    found = clusters(load(spark, sf_dir, "documents"))
+    found = clusters(load(spark, sf_dir, "documents"), min_words=1, wrapped=True)
     return found.select(
         F.col("id").alias("doc_id"), F.col("no").alias("paragraph"), F.col("n").cast("long").alias("n_words"),
         F.col("keep.id").alias("component_doc_id"), F.col("keep.no").alias("component_paragraph"),

@@ -323,6 +323,24 @@ def test_paragraph_clusters_equal_exact_jaccard(docs, rows, none):
     assert 0.8**4 > 0 and paragraph_dedup.bands_for(0.8, 0.998, 4) == 12
 
 
+def test_short_and_wrapped_paragraphs_are_compared(spark, tmp_path):
+    import textwrap
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    passage = " ".join(rng.choice(names) for _ in range(70))
+    nine = " ".join(rng.choice(names) for _ in range(9))
+    texts = [passage, "\n".join(textwrap.wrap(passage, 50)), "head\n\n" + "\n".join(textwrap.wrap(passage, 72)) + "\n\nfoot",
+             nine, "other\n" + nine.upper() + ".", "two words\nno copy of this line", "Two words!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.paragraph, r.component_doc_id, r.component_paragraph, r.removed)
+           for r in paragraph_dedup.op1_paragraph_minhash_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0, 0, 0, False), (1, 0, 0, 0, True), (2, 2, 0, 0, True), (3, 0, 3, 0, False), (4, 1, 3, 0, True),
+                   (5, 0, 5, 0, False), (6, 0, 5, 0, True)}
+    plain = "a long first line that stands by itself\nshort one\nand here a third line of another length, by far"
+    assert paragraph_dedup.pieces(plain, True) == plain.split("\n")
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 def test_toxicity_neighbours_are_exact_and_scores_part_the_labels(spark, none):
