@@ -17,15 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import components, load, merged, stored, text_key
+from quillspan.llm import paragraph_dedup
+from quillspan.llm.common import SPACE, components, load, merged, stored, text_key
 from quillspan.plans.registry import Builder
 
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
+#: Jaccard similarity of five-word shingles from which the pipeline's stage takes documents for copies.
+SIMILAR = 0.8
 #: Rows of one variant that are compared in one go; larger variants are cut again by the other segment.
 RUN_CAP = 4096
 _BLOCK = 8192
@@ -212,5 +215,43 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def _unit() -> Column:
+    """A document as one paragraph; texts without a word are told apart by their hash and do not meet others."""
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
+    return F.when(text.rlike(r"[\p{L}\p{N}_]"), text).otherwise(F.concat(F.lit("_ "), F.hex(F.xxhash64(text))))
+
+
+def similar(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(id, key, keep) of every document that has a copy; ``keep`` is the place of the one that stays.
+
+    Documents are linked by the exact Jaccard similarity of their five-word shingles. Candidates are fingerprints within
+    three bits and, since such fingerprints miss pairs near the limit, MinHash bands (recall 0.998 at 0.8). ``key`` is
+    that of ``_unit``.
+    """
+    units = docs.select("doc_id", _unit().alias("text"))
+    prints = stored(fingerprints(units).distinct())
+
+    def within(groups: DataFrame) -> DataFrame:
+        at = stored(groups.join(prints, groups["first.id"].eqNullSafe(prints["id"]) & (groups["first.key"] == prints["key"])).select(
+            "h1", "fp"))
+        lead = stored(at.groupBy("fp").agg(F.min("h1").alias("lead")))
+        same = at.join(lead, "fp").where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b"))
+        near = links(lead.select("fp")).join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("lead_a")), "a").join(
+            lead.select(F.col("fp").alias("b"), F.col("lead").alias("lead_b")), "b")
+        return same.unionByName(near.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+
+    return paragraph_dedup.clusters(units, min_words=1, similarity=similarity, more_pairs=within).select("id", "key", "keep")
+
+
+def keep_similar_first(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: one document of each group of similar ones stays, that with the least id; columns unchanged."""
+    found = stored(similar(docs).distinct())
+    surplus = found.where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("key") == F.col("keep.key"))))
+    keyed = docs.withColumn("_unit", _unit()).withColumn("_key", text_key("_unit")).drop("_unit")
+    gone = surplus.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+
+
 QUERIES: dict[str, Builder] = {"op8_simhash_near_dedup": op8_simhash_near_dedup}
 SQL: dict[str, str] = {}

@@ -217,6 +217,28 @@ def test_decontamination_equals_plain_windows(spark, docs, rows, none, budget):
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_simhash_stage_keeps_one_of_all_similar(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abdeilnorst") for _ in range(5)) for _ in range(300)]
+    texts = [None, "", " ", "...", "one two", "One  two!"]
+    for n in (12, 40, 120, 300):
+        for _ in range(5):
+            base = [rng.choice(names) for _ in range(n)]
+            for changes in (0, 0, 1, 2, 3, 5, 8):
+                made = list(base)
+                for _ in range(changes):
+                    made[rng.randrange(n)] = rng.choice(names)
+                texts.append(" ".join(made))
+    sets = [{tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} for ws in map(paragraph_dedup.words_of, (t or "" for t in texts))]
+    linked = lambda i, j: (i < 4) == (j < 4) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    root = groups_of(len(texts), lambda i, j: linked(i, j) and not {i, j} & {3})
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, "...")], "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(root))
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------------
 
 def plain_norm(line):
