@@ -13,18 +13,25 @@ share their draw.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import SPACE, load, once, stored
 from quillspan.plans.registry import Builder
 
+_LOG = logging.getLogger(__name__)
 #: Shares are raised to this power for default targets, which lifts small sources, languages and topics.
 FLATTEN = 0.5
 #: Expected share of all tokens that is drawn.
 RATE = 0.5
 ROUNDS = 10
 LEVEL_ROUNDS = 12
+#: Rounds of raking under the cells' tokens, if it does not settle before.
+CAPPED_ROUNDS = 20
+#: A target missed by more than this part of it is logged.
+MISS = 0.01
 SEED = "mix"
 MARGINS = ("source", "lang", "topic")
 
@@ -78,6 +85,59 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     return now
 
 
+def rake_capped(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE,
+                rounds: int = CAPPED_ROUNDS) -> DataFrame:
+    """As ``rake``, for a mix of ``rate`` times all tokens in which no cell gives more than it has.
+
+    A cell counts with its cap or its weight, whichever is less. In each step the cells under their caps take what the
+    capped ones leave of a margin; all weights of the margin move, so a capped cell is free again once it should give less.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    cap = F.col("tokens") / F.lit((total or 1.0) * rate)
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(total or 1.0))
+    goals = {m: _targets(cells, m, (targets or {}).get(m), total or 1.0) for m in MARGINS}
+    full = F.col("weight") >= cap
+    for _ in range(rounds):
+        moved = []
+        for margin in MARGINS:
+            sums = now.groupBy(F.col(margin).alias("value")).agg(
+                F.sum(F.when(full, cap).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"))
+            goal = goals[margin].withColumnRenamed("value", "goal_value")
+            rest = F.col("goal") - F.col("fixed")
+            factor = F.when((F.col("free") > 0) & (rest > 0), F.least(F.lit(100.0), rest / F.col("free"))).when(
+                rest < 0, F.col("goal") / (F.col("fixed") + F.col("free"))).otherwise(F.lit(1.0))
+            step = stored(sums.join(goal, sums["value"].eqNullSafe(goal["goal_value"])).select("value", factor.alias("factor")))
+            now = now.join(step, now[margin].eqNullSafe(step["value"]), "left").select(
+                *cells.columns, (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"))
+            moved.append(step.select(F.abs(F.col("factor") - 1).alias("by")))
+        now = stored(now)
+        if (moved[0].unionByName(moved[1]).unionByName(moved[2]).agg(F.max("by")).first()[0] or 0.0) < 1e-4:
+            break
+    return now
+
+
+def shares(chances: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(margin, value, wanted, reached): target and expected token shares of cells with ``probability``."""
+    total = float(chances.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    drawn_tokens = F.col("tokens") * F.col("probability")
+    whole = float(chances.agg(F.sum(drawn_tokens)).first()[0] or 0) or 1.0
+    out = None
+    for m in MARGINS:
+        got = chances.groupBy(F.col(m).alias("got")).agg((F.sum(drawn_tokens) / F.lit(whole)).alias("reached"))
+        goal = _targets(chances, m, (targets or {}).get(m), total)
+        each = goal.join(got, goal["value"].eqNullSafe(got["got"])).select(
+            F.lit(m).alias("margin"), "value", F.col("goal").alias("wanted"), "reached")
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def _log_misses(chances: DataFrame, targets: dict[str, dict[str, float]] | None) -> None:
+    """Name the targets that the tokens at hand do not allow, the largest misses first."""
+    off = F.abs(F.col("reached") - F.col("wanted"))
+    for r in shares(chances, targets).where(off > MISS * F.col("wanted")).orderBy(off.desc()).limit(20).collect():
+        _LOG.warning("mixing: %s %s was to have %.4f of the tokens and has %.4f", r.margin, r.value, r.wanted, r.reached)
+
+
 def calibrate(raked: DataFrame, rate: float = RATE, rounds: int = LEVEL_ROUNDS) -> DataFrame:
     """Add ``probability``: min(1, level * weight / share), the level set so that expected tokens are rate * total."""
     total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
@@ -96,13 +156,19 @@ def calibrate(raked: DataFrame, rate: float = RATE, rounds: int = LEVEL_ROUNDS)
 
 
 def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE,
-          topic=default_topic) -> DataFrame:
-    """The drawn documents with ``_tokens``, ``_topic`` and ``_probability``."""
+          topic=default_topic, capped: bool = True) -> DataFrame:
+    """The drawn documents with ``_tokens``, ``_topic`` and ``_probability``.
+
+    ``capped`` rakes under the cells' tokens. Without it weights are capped after raking, as the SQL of the query states.
+    """
     made = with_topics(docs, topic)
     named = ["_source", "_lang", "_topic"]
     made = made.withColumns({"_source": F.col("source"), "_lang": F.col("lang")})
     cells = stored(made.groupBy(*[F.col(n).alias(n[1:]) for n in named]).agg(F.sum("_tokens").alias("tokens")))
-    chances = stored(calibrate(rake(cells, targets), rate).select(
+    weighed = rake_capped(cells, targets, rate) if capped else rake(cells, targets)
+    given = stored(calibrate(weighed, rate))
+    _log_misses(given, targets)
+    chances = stored(given.select(
         *[F.col(m).alias(f"c_{m}") for m in MARGINS], F.col("probability").alias("_probability")))
     same = [made[n].eqNullSafe(chances[f"c{n}"]) for n in named]
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{SEED}")))
@@ -118,7 +184,7 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn documents with their cell and probability."""
-    return drawn(load(spark, sf_dir, "documents")).select(
+    return drawn(load(spark, sf_dir, "documents"), capped=False).select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_probability", 6).alias("probability"))
 

@@ -436,6 +436,19 @@ def test_raking_meets_its_margins(spark, docs, none):
     assert mixing.sample(none).count() == 0
 
 
+def test_capped_raking_meets_its_margins(spark):
+    cells = [("a", "en", "page", 200.0), ("a", "fr", "page", 50.0), ("b", "en", "page", 20.0), ("b", "fr", "page", 50.0),
+             ("c", "en", "page", 50.0), ("c", "fr", "page", 50.0)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    goals = {"lang": {"en": 0.3, "fr": 0.7}, "source": {"a": 0.3, "b": 0.3, "c": 0.4}}
+    off = lambda df: max(abs(r.reached - r.wanted) for r in mixing.shares(df, goals).collect())
+    assert off(mixing.calibrate(mixing.rake(df, goals), 0.5)) > 0.01
+    made = mixing.calibrate(mixing.rake_capped(df, goals, 0.5), 0.5)
+    assert off(made) < 0.001
+    got = made.collect()
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(210, rel=1e-3) and max(r.probability for r in got) == 1
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 def test_archive_gives_back_every_payload(spark, tmp_path):
