@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from quillspan.llm import (
-    decontaminate, divergence, hard_negatives, licences, line_dedup, mixing, paragraph_dedup, phrases, simhash_dedup,
-    suffix_dedup, toxicity, warc,
+    decontaminate, divergence, hard_negatives, licences, line_dedup, line_quality, mixing, paragraph_dedup, phrases,
+    simhash_dedup, suffix_dedup, toxicity, warc,
 )
 from quillspan.plans.registry import Builder
 
 MODULES = (
     paragraph_dedup, toxicity, suffix_dedup, decontaminate, line_dedup, mixing, warc, simhash_dedup, divergence, licences,
-    phrases, hard_negatives,
+    line_quality, phrases, hard_negatives,
 )
 
 

@@ -56,6 +56,27 @@ def least_hashed(df: DataFrame, hashed: Column, want: int, total: int) -> DataFr
     return df.where(top < F.lit(int(cut * (1 << 40)))).orderBy(top, hashed).limit(want)
 
 
+#: Odd multiplier of the rolling hash and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def rolling_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of a byte array, all at once; for filters and features, where a collision does no harm."""
+    global _powers
+    n = len(data) + 1
+    with np.errstate(over="ignore"):
+        if len(_powers[0]) < n:
+            _powers = tuple(
+                np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (_BASE, _INVERSE))
+        up, down = _powers
+        total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: n - 1])))
+        h = (total[end] - total[start]) * down[start] + np.uint64(seed)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
 def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels (each the number of a row with that label) after joining the rows i and j; for bounded groups in a task."""
     while True:
