@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.automaton import first_phrase
 from quillspan.functions.text import collapse_spaces
 
 
@@ -29,15 +28,27 @@ def query_modes(questions: DataFrame, keys: list[str], text: str = "text") -> Da
     return questions.select(*keys, F.inline(listed))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flag_phrases(questions: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """Add ``flagged`` and ``term``, the first listed term the normalised text contains.
 
-    The list is one array literal of any length, so flagging stays a projection and works on streams unchanged.
+    An automaton over the whole list reads every text once, whatever the list's length; the term itself comes from a join
+    with the list, a static table of one row per term. So streams are flagged by the same plan as batches.
     """
     if not terms:
         raise ValueError("the phrase list holds no terms; a list that matches nothing is refused")
+    spark = questions.sparkSession
+    number = unused(questions.columns, "_term_no")
+    listed = spark.createDataFrame(list(enumerate(terms)), f"{number} int, term string")
     normal = F.trim(collapse_spaces(F.lower(text)))
-    listed = F.from_json(F.lit(json.dumps(list(terms))), "array<string>")
-    found = questions.withColumn("_normal", normal).withColumn(
-        "term", F.get(F.filter(listed, lambda t: F.col("_normal").contains(t)), F.lit(0)))
-    return found.withColumn("flagged", F.col("term").isNotNull()).drop("_normal")
+    found = questions.withColumn(number, first_phrase(spark, list(terms), normal))
+    # The list is configuration that went through the driver, so its size is known to fit.
+    return found.join(F.broadcast(listed), number, "left").withColumn("flagged", F.col(number).isNotNull()).select(
+        *questions.columns, "term", "flagged")

@@ -228,7 +228,7 @@ def _conversation_stream(spark, sf, folder: str):
 @query("stream_phrase_flags", registry.oracles()["phrase_flags"])
 def q_stream_phrase_flags(spark, sf):
     folder = _run_folder(spark)
-    flagged = jobs.flagged_questions(_conversation_stream(spark, sf, folder), V.PHRASES).select("conv_id", "turn", "flagged", "term")
+    flagged = jobs.flagged_questions(_conversation_stream(spark, sf, folder), V.phrase_list(spark, sf)).select("conv_id", "turn", "flagged", "term")
     jobs.write_stream(flagged, f"{folder}/out", f"{folder}/log").awaitTermination()
     return _kept(spark, spark.read.schema(flagged.schema).parquet(f"{folder}/out"), folder)
 

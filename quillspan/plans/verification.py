@@ -317,15 +317,34 @@ PHRASES = (
 ).split("|")
 
 
+def phrase_list(spark, sf) -> list[str]:
+    """The neutral phrases, then all runs of two and three words of the benchmark items in order; a list is configuration."""
+    normal = F.trim(T.collapse_spaces(F.lower("text")))
+    words = table(spark, sf, "benchmark").select(F.filter(F.split(normal, " "), lambda w: w != "").alias("w"))
+    runs = lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i <= F.size("w") - n + 1),
+        lambda i: F.array_join(F.slice("w", i, n), " "))
+    listed = words.select(F.explode(F.concat(runs(2), runs(3))).alias("term")).distinct().orderBy("term")
+    return [*PHRASES, *(r["term"] for r in listed.collect())]
+
+
 @query("phrase_flags", f"""
-WITH n AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM conversations),
-terms AS (SELECT unnest({PHRASES!r}) AS term, generate_subscripts({PHRASES!r}, 1) AS no)
+WITH n AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS t FROM conversations),
+w AS (SELECT list_filter(string_split(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
+      FROM benchmark),
+runs AS (
+  SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+             || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM w),
+terms AS (
+  SELECT unnest({PHRASES!r}) AS term, generate_subscripts({PHRASES!r}, 1) AS no
+  UNION ALL
+  SELECT term, {len(PHRASES)} + row_number() OVER (ORDER BY term) FROM (SELECT DISTINCT term FROM runs))
 SELECT conv_id, turn, h IS NOT NULL AS flagged, h AS term FROM n LEFT JOIN (
   SELECT conv_id, turn, arg_min(term, no) AS h FROM n JOIN terms ON contains(t, term) GROUP BY 1, 2) USING (conv_id, turn)""")
 def q_phrase_flags(spark, sf):
     from quillspan.operators.questions import flag_phrases
 
-    return flag_phrases(table(spark, sf, "conversations"), PHRASES).select(*KEYS, "flagged", "term")
+    return flag_phrases(table(spark, sf, "conversations"), phrase_list(spark, sf)).select(*KEYS, "flagged", "term")
 
 
 @query("short_labels", f"""

@@ -54,7 +54,7 @@ def write_batches(df: DataFrame, job: Callable[[DataFrame], DataFrame], target:
 
 
 def flagged_questions(questions: DataFrame, terms: list[str]) -> DataFrame:
-    """Stateless: incoming questions with their phrase-list flag."""
+    """Stateless: incoming questions meet the static phrase list."""
     return flag_phrases(questions, terms)
 
 

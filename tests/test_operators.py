@@ -3,17 +3,21 @@
 import hashlib
 import json
 import os
+import random
 import statistics
 import subprocess
 import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan.functions import automaton
 from quillspan.functions.keys import CLASSIC
 from quillspan.functions.stem import porter
+from quillspan.functions.text import plain_marked_line
 from quillspan.operators import history, ingest, keyword, ordering, references, verify
 from quillspan.operators.embedprep import keep_model
 from quillspan.operators.evaluate import bootstrap_ci
@@ -93,6 +97,26 @@ def test_segment_marked_text(spark):
     assert blocks[0] == (1, "Opening", "heading") and blocks[-1][1:] == ("Later", "heading")
 
 
+@pytest.mark.parametrize("marked, plain", [
+    (r'a \w word|strong="H1"\w* b', "a word b"),
+    (r'a \+w word|lemma="x" strong="H1"\+w* b', "a word b"),
+    (r"a \w word|default\w* b", "a word b"),
+    (r"x \f + \ft note \xt Ref\xt* more\f* y", "x y"),
+    ("x \\f + open note\nnext line", "x next line"),
+    ("x \\f + over\nlines\\f* y", "x y"),
+    ("x \\f + a \\x - in\\x* b\\f* y \\x never closed", "x y"),
+    (r"\fe end\fe*a\f foot\f*b", "ab"),
+    ("a~b // c", "a b c"),
+    (r"\nd The \nd*Lord | bar", "The Lord | bar"),
+    ("a | c / d \\", "a | c / d \\"),
+    ("", ""),
+    (None, None),
+])
+def test_words_of_marked_text(spark, marked, plain):
+    rows = spark.createDataFrame([(marked,)], "t string")
+    assert rows.select(plain_marked_line(F.col("t"))).first()[0] == plain
+
+
 WORKS = [
     (1, "HBR", "Harbor", "Harbor"), (2, "QRY", "Quarry", "Quarry"), (3, "MDW", "Meadow", "Meadow"),
     (4, "1LA", "1 Lantern", "1 Lantern"), (5, "ORC", "Orchard", "Orchard"), (6, "1GR", "1 Granary", "1 Granary"),
@@ -205,6 +229,23 @@ def test_phrase_list_of_any_length(spark):
     assert got == {1: (True, "stone wall"), 2: (True, "wall"), 3: (False, None), 4: (False, None)}
 
 
+def test_automaton_equals_plain_search():
+    rng = random.Random(5)
+    draw = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    for cells in (40, 1000, 1 << 24):
+        for _ in range(20):
+            terms = [draw("abé ", 6) for _ in range(rng.randint(1, 30))]
+            texts = [draw("abcé ", rng.choice([1, 20, 900])) for _ in range(20)]
+            found = np.full(20, automaton.NONE)
+            for machine in automaton.automata(terms, cells):
+                found = np.minimum(found, machine.find(pa.array(texts)))
+            assert found.tolist() == [next((i for i, t in enumerate(terms) if t in x), automaton.NONE) for x in texts]
+    many = ["".join(rng.choice("abcdefgh ") for _ in range(12)) for _ in range(20_000)]
+    [machine] = automaton.automata(many)
+    texts = [draw("abcdefgh ", 300) for _ in range(30)] + [many[7] + many[3], "x" * 700 + many[19_999]]
+    assert machine.find(pa.array(texts)).tolist() == [next((i for i, t in enumerate(many) if t in x), automaton.NONE) for x in texts]
+
+
 def test_keyword_search_folds_and_reads_phrases(spark, tmp_path):
     units = spark.createDataFrame([
         (1, "The café is open"), (2, "do not be anxious today, do not be"), (3, "Cafe\u0301 not open; the the door"), (4, "")],
