@@ -1,7 +1,15 @@
 """Keyword index and BM25 ranking.
 
-The index is built once and searched many times: one row per (word, unit) with its positions, one row per word with its
-document frequency, and one row of corpus statistics. A search reads the postings of its words and never a text.
+The index is built once and searched many times. It holds
+
+* ``postings``: one row per (word, unit) with its positions, in order of word and unit;
+* ``impacts``: the same postings in order of word and falling weight, packed in blocks of at most ``BLOCK_POSTINGS``; a
+  list of the best units reads the first blocks of its word and no other;
+* ``runs``: a word's postings may lie in several runs (one per write task); the directory says how many come before each;
+* ``frequencies`` (document frequency per word) and ``statistics`` (one row).
+
+Both orders are dealt by range of (word, unit) or (word, weight), so a word that every unit holds is written by many tasks.
+A search reads the postings of its words and never a text.
 
 Each search term is its own ranked list. A list depends on the term alone, so it is ranked once per distinct term and
 then joined to every query that asks for the term: the cost follows the vocabulary of the batch, not the product of
@@ -13,12 +21,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import words
 from quillspan.operators.vector import rank_within
+from quillspan.session import remove_folder, stored
 
 # The usual parameters of the ranking formula.
 K1 = 1.2
@@ -27,17 +40,27 @@ MIN_IDF = 1e-6
 TIE_DIGITS = 12
 #: Folders the stored postings are spread over by word, so that a search opens those of its words only.
 BUCKETS = 16
+BLOCK_POSTINGS = 256
+#: A filtered list first looks at so many times its length, and at four times as much whenever that was too little.
+FIRST_LOOK = 4
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``postings``: bucket, term, unit_id, tf, unit_len, first_pos, positions · ``frequencies``: term, df ·
-    ``statistics``: n_units, mean_len (one row) · ``buckets``: over how many folders the postings are spread."""
+    """A stored index.
+
+    ``postings``: bucket, term, unit_id, tf, unit_len, first_pos, positions · ``impacts``: bucket, term, run, before (in
+    the run), n, unit_ids, tfs, weights · ``runs``: bucket, term, run, run_before, run_n · ``frequencies``: term, df ·
+    ``buckets``: over how many folders the words are spread.
+    """
 
     postings: DataFrame
+    impacts: DataFrame
+    runs: DataFrame
     frequencies: DataFrame
-    statistics: DataFrame
-    buckets: int = BUCKETS
+    n_units: int
+    mean_len: float
+    buckets: int
 
 
 def tokenized(units: DataFrame, text: str = "text") -> DataFrame:
@@ -77,35 +100,71 @@ def stem_vocabulary(stem_fn: Callable[[str], str]) -> Callable[[DataFrame], Data
     return run
 
 
-def corpus_statistics(units: DataFrame) -> DataFrame:
-    """One row: number of units and their mean length."""
-    sized = tokenized(units).agg(
-        F.count(F.lit(1)).alias("n_units"), F.sum("unit_len").alias("n_tokens")
-    )
-    return sized.select("n_units", (F.col("n_tokens") / F.col("n_units")).alias("mean_len"))
-
-
-def build_index(units: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> KeywordIndex:
-    """The index of ``units`` (unit_id, text) as plans; ``write_index`` keeps it."""
-    rows = postings(units, stem).withColumn("bucket", _bucket("term", buckets))
-    return KeywordIndex(rows, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_statistics(units), buckets)
-
-
-def write_index(index: KeywordIndex, path: str) -> None:
-    """Store the index: postings by bucket, ordered by word inside a file, so that readers skip row groups."""
-    (index.postings.repartition("bucket", "term").sortWithinPartitions("bucket", "term")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    spark = index.postings.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    index.statistics.withColumn("buckets", F.lit(index.buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one task as blocks; ``before`` counts the postings of the word that the task has packed already."""
+    run, now, packed = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        term = batch.column("term").dictionary_encode()
+        code = term.indices.to_numpy()
+        opens = np.append(True, code[1:] != code[:-1])
+        first = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+        place = np.arange(n) - first
+        names = term.dictionary.to_pylist()
+        if names[code[0]] == now:
+            place[: int(np.argmax(np.append(opens[1:], True))) + 1] += packed
+        start = np.nonzero(opens | (place % BLOCK_POSTINGS == 0))[0]
+        offsets = pa.array(np.append(start, n), pa.int32())
+        now, packed = names[code[-1]], int(place[-1]) + 1
+        at = pa.array(start)
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("unit_id", "tf", "weight")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("bucket").take(at), batch.column("term").take(at), pa.array(np.full(len(start), run, np.int64)),
+             pa.array(place[start].astype(np.int64)), pa.array(np.diff(np.append(start, n)).astype(np.int64)), *lists],
+            ["bucket", "term", "run", "before", "n", "unit_ids", "tfs", "weights"])
+
+
+_IMPACTS = ("bucket int, term string, run long, before long, n long, unit_ids array<long>, tfs array<long>, "
+            "weights array<double>")
+
+
+def write_index(units: DataFrame, path: str, stem: Callable[[DataFrame], DataFrame] | None = None,
+                buckets: int = BUCKETS) -> None:
+    """Build and store the index of ``units`` (unit_id, text) under ``path``; texts are read once."""
+    spark = units.sparkSession
+    raw_path = f"{path}/unordered"
+    postings(units, stem).withColumn("bucket", _bucket("term", buckets)).write.mode("overwrite").parquet(raw_path)
+    raw = spark.read.parquet(raw_path)
+    n_units = units.count()
+    n_tokens = raw.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    mean_len = n_tokens / n_units if n_units else 0.0
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    order = ["bucket", "term", "unit_id"]
+    write(raw.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
+    weight = F.round(term_weight(F.col("tf"), F.col("unit_len"), F.lit(mean_len)), TIE_DIGITS)
+    by_weight = raw.select("bucket", "term", "unit_id", "tf", weight.alias("weight"))
+    falling = [F.col("bucket"), F.col("term"), F.desc("weight"), F.col("unit_id")]
+    dealt = by_weight.repartitionByRange(*falling).sortWithinPartitions(*falling)
+    impacts = write(dealt.mapInArrow(_packed, _IMPACTS), "impacts")
+    runs = impacts.groupBy("bucket", "term", "run").agg(F.sum("n").alias("run_n"))
+    earlier = W.partitionBy("bucket", "term").orderBy("run").rowsBetween(W.unboundedPreceding, -1)  # a row per write task
+    runs = write(runs.withColumn("run_before", F.coalesce(F.sum("run_n").over(earlier), F.lit(0))), "runs")
+    write(runs.groupBy("bucket", "term").agg(F.sum("run_n").alias("df")), "frequencies")
+    spark.createDataFrame([(n_units, mean_len, buckets)], "n_units long, mean_len double, buckets int").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/statistics")
+    remove_folder(spark, raw_path)
 
 
 def open_index(spark: SparkSession, path: str) -> KeywordIndex:
-    statistics = spark.read.parquet(f"{path}/statistics")
-    return KeywordIndex(
-        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), statistics.drop("buckets"),
-        statistics.first()["buckets"])
+    held = spark.read.parquet(f"{path}/statistics").first()
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return KeywordIndex(read("postings"), read("impacts"), read("runs"), read("frequencies"), *held)
 
 
 def term_weight(tf, unit_len, mean_len, k1: float = K1, b: float = B):
@@ -117,50 +176,72 @@ def inverse_frequency(n_units, df):
     return F.greatest(F.log((n_units - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF))
 
 
-def _asked(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """(term, width, at, word): the words of each distinct term in order."""
+def asked_words(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, width, at, word, bucket, df): the words of each distinct term in order, stored.
+
+    The table is small beside the index and read by every part of a search.
+    """
     wanted = terms.select("term").distinct().withColumn("term_words", words(F.col("term")))
     rows = wanted.select("term", F.size("term_words").alias("width"), F.posexplode("term_words").alias("at", "word"))
-    if stem is None:
-        return rows
-    stems = stem(rows.select(F.col("word").alias("term")).distinct()).select(F.col("term").alias("word"), "stem")
-    return rows.join(stems, "word").select("term", "width", "at", F.col("stem").alias("word"))
+    if stem is not None:
+        stems = stem(rows.select(F.col("word").alias("term")).distinct()).select(F.col("term").alias("word"), "stem")
+        rows = rows.join(stems, "word").select("term", "width", "at", F.col("stem").alias("word"))
+    rows = rows.withColumn("bucket", _bucket("word", index.buckets).cast("int"))
+    known = index.frequencies.select("bucket", F.col("term").alias("word"), "df")
+    return stored(rows.join(known, ["bucket", "word"], "left").select(
+        "term", "width", "at", "word", "bucket", F.coalesce("df", F.lit(0)).alias("df")), "asked")
 
 
-def _lookup(index: KeywordIndex, asked: DataFrame, *columns: str) -> DataFrame:
-    """Postings of the asked words; the bucket takes part, so folders without them are skipped."""
-    keyed = asked.withColumnRenamed("word", "_word").withColumn("_bucket", _bucket("_word", index.buckets))
-    found = index.postings
-    return keyed.join(found, (found["bucket"] == keyed["_bucket"]) & (found["term"] == keyed["_word"])).select(
-        *[keyed[c] for c in asked.columns if c != "word"], *[found[c] for c in columns])
+def _postings(index: KeywordIndex, *columns: str) -> DataFrame:
+    return index.postings.select("bucket", F.col("term").alias("word"), *columns)
 
 
-def matches(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(term, unit_id, unit_len, tf): units that hold a term, its words in a row.
+def single_matches(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """(term, unit_id, unit_len, tf, df): all units that hold a term of one word."""
+    wanted = asked.where("width = 1").select("term", "word", "bucket", "df")
+    return wanted.join(_postings(index, "unit_id", "unit_len", "tf"), ["bucket", "word"]).select(
+        "term", "unit_id", "unit_len", "tf", "df")
+
+
+def phrase_matches(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """(term, unit_id, unit_len, tf): units that hold the words of a term of several in a row.
 
     A phrase starts from the postings of its rarest word. Its other words are looked up in the units found so, which
     keeps a common word from meeting all its units.
     """
-    asked = _asked(index, terms, stem)
-    single = _lookup(index, asked.where("width = 1").select("term", "word"), "unit_id", "unit_len", "tf")
-    phrase = asked.where("width > 1").join(
-        index.frequencies.select(F.col("term").alias("word"), "df"), "word", "left").select(
-        "term", "width", "at", "word", F.coalesce("df", F.lit(0)).alias("df"))
-    lead = phrase.groupBy("term", "width").agg(F.min_by(F.struct("at", "word"), F.struct("df", "at")).alias("l"))
-    begun = _lookup(index, lead.select("term", "width", "l.at", "l.word"), "unit_id", "unit_len", "positions")
+    phrase = asked.where("width > 1")
+    order = W.partitionBy("term").orderBy("df", "at")
+    ranked = phrase.withColumn("_turn", F.row_number().over(order))
+    found = _postings(index, "unit_id", "unit_len", "positions")
     starts = F.filter(F.transform("positions", lambda p: p - F.col("at")), lambda p: p >= 0).alias("starts")
-    begun = begun.select("term", "width", "at", "unit_id", "unit_len", starts)
-    rest = phrase.select("term", "at", "word").join(lead.select("term", F.col("l.at").alias("lead_at")), "term").where("at <> lead_at")
-    tried = begun.select("term", "width", "unit_id", "unit_len").join(rest.select("term", "at", "word"), "term")
-    keyed = tried.withColumnRenamed("word", "_word").withColumn("_bucket", _bucket("_word", index.buckets))
-    found = index.postings.select(
-        F.col("bucket").alias("_bucket"), F.col("term").alias("_word"), "unit_id", "positions")
-    others = keyed.join(found, ["_bucket", "_word", "unit_id"]).select("term", "width", "unit_id", "unit_len", starts)
-    every = begun.select("term", "width", "unit_id", "unit_len", "starts").unionByName(others)
-    placed = every.select("term", "width", "unit_id", "unit_len", F.explode("starts").alias("start"))
+    begun = ranked.where("_turn = 1").join(found, ["bucket", "word"]).select("term", "width", "unit_id", "unit_len", starts)
+    tried = begun.select("term", "width", "unit_id", "unit_len").join(
+        ranked.where("_turn > 1").select("term", "at", "word", "bucket"), "term")
+    others = tried.join(found.drop("unit_len"), ["bucket", "word", "unit_id"]).select("term", "width", "unit_id", "unit_len", starts)
+    placed = begun.unionByName(others).select("term", "width", "unit_id", "unit_len", F.explode("starts").alias("start"))
     whole = placed.groupBy("term", "width", "unit_id", "unit_len", "start").agg(F.count(F.lit(1)).alias("n")).where("n = width")
-    several = whole.groupBy("term", "unit_id", "unit_len").agg(F.count(F.lit(1)).alias("tf"))
-    return single.unionByName(several)
+    return whole.groupBy("term", "unit_id", "unit_len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def matches(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, unit_id, unit_len, tf): units that hold a term, its words in a row."""
+    asked = asked_words(index, terms, stem)
+    return single_matches(index, asked).drop("df").unionByName(phrase_matches(index, asked))
+
+
+def _scored(index: KeywordIndex, found: DataFrame) -> DataFrame:
+    """(term, unit_id, tf, df, weight, idf) of matches with their document frequency."""
+    return found.select(
+        "term", "unit_id", "tf", "df",
+        F.round(term_weight(F.col("tf"), F.col("unit_len"), F.lit(index.mean_len)), TIE_DIGITS).alias("weight"),
+        inverse_frequency(F.lit(index.n_units), F.col("df")).alias("idf"),
+    )
+
+
+def scored_phrases(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """(term, unit_id, tf, df, weight, idf) of the terms of several words; their frequencies are counted here."""
+    found = stored(phrase_matches(index, asked), "phrases")
+    return _scored(index, found.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term"))
 
 
 def score_terms(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -168,30 +249,79 @@ def score_terms(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame
 
     Document frequency and mean length run over the whole corpus.
     """
-    found = matches(index, terms, stem)
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    mean_len = index.statistics.select("mean_len").scalar()
-    n_units = index.statistics.select("n_units").scalar()
-    return found.join(frequency, "term").select(
-        "term", "unit_id", "tf", "df",
-        F.round(term_weight(F.col("tf"), F.col("unit_len"), mean_len), TIE_DIGITS).alias("weight"),
-        inverse_frequency(n_units, F.col("df")).alias("idf"),
-    )
+    asked = asked_words(index, terms, stem)
+    return _scored(index, single_matches(index, asked)).unionByName(scored_phrases(index, asked))
+
+
+def impact_blocks(index: KeywordIndex, asked: DataFrame, low: int, high: int) -> DataFrame:
+    """(term, df, n, unit_ids, tfs, weights): the blocks of one-word terms that begin at the places from ``low`` to below
+    ``high`` of the word's postings by falling weight."""
+    wanted = asked.where("width = 1").select("term", "word", "bucket", "df")
+    directory = index.runs.select("bucket", F.col("term").alias("word"), "run", "run_before", "run_n")
+    near = wanted.join(directory, ["bucket", "word"]).where((F.col("run_before") < high) & (F.col("run_before") + F.col("run_n") > low))
+    blocks = index.impacts.where(F.col("before") < high).withColumnRenamed("term", "word")
+    start = F.col("run_before") + F.col("before")
+    return near.join(blocks, ["bucket", "word", "run"]).where((start >= low) & (start < high)).select(
+        "term", "df", "n", "unit_ids", "tfs", "weights")
+
+
+def _rows(index: KeywordIndex, blocks: DataFrame) -> DataFrame:
+    listed = F.arrays_zip(F.col("unit_ids").alias("unit_id"), F.col("tfs").alias("tf"), F.col("weights").alias("weight"))
+    return blocks.select("term", "df", F.explode(listed).alias("p")).select(
+        "term", "p.unit_id", "p.tf", "df", "p.weight", inverse_frequency(F.lit(index.n_units), F.col("df")).alias("idf"))
+
+
+def _best_first() -> list[Column]:
+    return [F.desc("weight"), F.asc("unit_id")]
+
+
+def term_lists(index: KeywordIndex, terms: DataFrame, limit: int,
+               stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, unit_id, tf, df, weight, idf): the ``limit`` best units of every distinct term.
+
+    Blocks come by falling weight and ties by unit, so the blocks that begin before place ``limit`` hold the whole list.
+    """
+    asked = asked_words(index, terms, stem)
+    single = _rows(index, impact_blocks(index, asked, 0, limit))
+    return rank_within(single.unionByName(scored_phrases(index, asked)), ["term"], _best_first(), limit).drop("pos")
+
+
+def grouped_lists(index: KeywordIndex, terms: DataFrame, limit: int, grouped: Callable[[DataFrame], DataFrame],
+                  n_groups: int, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(group, term, unit_id, tf, df, weight, idf): the ``limit`` best units of every term in every group, stored.
+
+    ``grouped`` adds a column ``group`` to rows with a ``unit_id``. A word is read by falling weight, deeper and deeper,
+    until each of the ``n_groups`` has its list or the word has no more postings.
+    """
+    asked = asked_words(index, terms, stem)
+    pending, low, high = asked.where("width = 1"), 0, max(FIRST_LOOK * limit, BLOCK_POSTINGS)
+    best = lambda rows: rank_within(rows, ["group", "term"], _best_first(), limit).drop("pos")
+    found = stored(best(grouped(_rows(index, impact_blocks(index, pending, low, high)).unionByName(
+        scored_phrases(index, asked)))), "lists")
+    while True:
+        full = found.groupBy("term", "group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).groupBy("term").agg(
+            F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_groups)
+        pending = pending.where(F.col("df") > high).join(full, "term", "left_anti")
+        if pending.isEmpty():
+            return found
+        pending = stored(pending, "pending")
+        low, high = high, 4 * high
+        found = stored(best(found.unionByName(grouped(_rows(index, impact_blocks(index, pending, low, high))))), "lists")
 
 
 def bm25_lists(scored: DataFrame, limit: int, scope: list[str] | None = None) -> DataFrame:
     """(scope, term, unit_id, score, pos): the ``limit`` best units of every distinct term among ``scored`` matches."""
-    ranked = rank_within(scored, [*(scope or []), "term"], [F.desc("weight"), F.asc("unit_id")], limit)
+    ranked = rank_within(scored, [*(scope or []), "term"], _best_first(), limit)
     return ranked.withColumn("score", F.col("idf") * F.col("weight"))
 
 
 def bm25_topk(index: KeywordIndex, query_terms: DataFrame, limit: int,
               stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(query_id, term_no, term, unit_id, score, pos) for a batch of query terms.
+    """(query_id, term_no, term, unit_id, score, pos, tf) for a batch of query terms.
 
     A term that matches nothing, or holds no word at all, yields an empty list.
     """
-    lists = bm25_lists(score_terms(index, query_terms, stem), limit)
+    lists = bm25_lists(term_lists(index, query_terms, limit, stem), limit)
     return query_terms.select("query_id", "term_no", "term").join(lists, "term")
 
 

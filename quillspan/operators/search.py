@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, KeyLayout
 from quillspan.operators import fusion
-from quillspan.operators.keyword import KeywordIndex, bm25_lists, score_terms
+from quillspan.operators.keyword import KeywordIndex, bm25_lists, grouped_lists
 from quillspan.operators.vector import (
     OVERFETCH, filter_after_cap, flatten_blocks, for_modes, query_batch, vector_topk, with_collection,
 )
+from quillspan.session import stored
 
 POOL = 100
 TOPIC_HITS = 5
@@ -44,7 +45,10 @@ class SearchIndex:
 
 @dataclass(frozen=True)
 class Hits:
-    """Mode-independent hits, computed once and shared by every mode and configuration."""
+    """Mode-independent hits, stored once and shared by every mode and configuration.
+
+    ``terms`` has the best units of every term in each collection, so every mode's lists are among them.
+    """
 
     units: DataFrame
     blocks: DataFrame
@@ -56,12 +60,14 @@ class Hits:
 def find_hits(index: SearchIndex, queries: DataFrame, query_terms: DataFrame, pool: int = POOL) -> Hits:
     """``queries``: query_id, vec. ``query_terms``: query_id, term_no, term."""
     batch = query_batch(queries)
+    grouped = lambda rows: with_collection(rows, "unit_id", index.works, index.layout).withColumnRenamed("collection", "group")
+    wanted = stored(query_terms.select("query_id", "term_no", "term"), "terms")
     return Hits(
-        units=vector_topk(batch, index.unit_vectors, pool * OVERFETCH),
-        blocks=vector_topk(batch, index.block_vectors, pool * OVERFETCH),
-        topics=vector_topk(batch, index.topic_vectors, TOPIC_HITS),
-        terms=score_terms(index.keywords, query_terms),
-        query_terms=query_terms,
+        units=stored(vector_topk(batch, index.unit_vectors, pool * OVERFETCH), "units"),
+        blocks=stored(vector_topk(batch, index.block_vectors, pool * OVERFETCH), "blocks"),
+        topics=stored(vector_topk(batch, index.topic_vectors, TOPIC_HITS), "topics"),
+        terms=grouped_lists(index.keywords, wanted, pool, grouped, 2).withColumnRenamed("group", "collection"),
+        query_terms=wanted,
     )
 
 
@@ -77,7 +83,7 @@ def ranked_lists(index: SearchIndex, hits: Hits, modes: str | tuple[str, ...], p
         "mode", "query_id", F.lit("vector-block").alias("origin"), "unit_id", "pos", "listed"
     )
     # the keyword filter sits inside the ranking, before its limit
-    readable = for_modes(with_collection(hits.terms, "unit_id", index.works, index.layout), wanted)
+    readable = for_modes(hits.terms, wanted)
     term_lists = bm25_lists(readable, pool, ["mode"])
     keyword = hits.query_terms.select("query_id", "term").join(term_lists, "term").select(
         "mode", "query_id", F.lit("keyword").alias("origin"), "unit_id", "pos", F.lit(True).alias("listed")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, KeyLayout
+from quillspan.session import stored
 
 SCORE_DIGITS = 9
 OVERFETCH = 4
 FLATTEN_FACTOR = 4
-# Bounds of one pass over the corpus: cells of the broadcast query matrix (128 MB of doubles), cells of the best-so-far
+# Bounds of a batch that is broadcast: cells of the query matrix (128 MB of doubles), cells of the best-so-far
 # table (two 8-byte numbers each), and cells of a block of scores inside a task (32 MB).
 MATRIX_CELLS = 16_000_000
 BEST_CELLS = 8_000_000
 BLOCK_CELLS = 4_000_000
+# Cells of the corpus rows that a task holds while larger batches of queries stream past (64 MB of doubles), and the share
+# of the groups, one in so many, that sets the floors.
+GROUP_CELLS = 8_000_000
+FLOOR_SHARE = 16
 
 
 class TopK:
@@ -109,7 +113,7 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column], limit: in
 
 @dataclass(frozen=True)
 class QueryBatch:
-    """Query vectors, measured once; ``fetched`` is held only when one pass takes them all."""
+    """Query vectors, measured once; ``fetched`` is held only when they are few enough to be broadcast."""
 
     queries: DataFrame
     n_queries: int
@@ -123,39 +127,108 @@ def _fetch(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def query_batch(queries: DataFrame, matrix_cells: int = MATRIX_CELLS) -> QueryBatch:
-    """Measure ``queries`` (query_id, vec) and fetch them if they fit one pass."""
+    """Measure ``queries`` (query_id, vec) and fetch them if their matrix is small."""
     queries = queries.select(F.col("query_id").cast("long"), "vec")
     n_queries, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).head()
     return QueryBatch(queries, n_queries, dim, _fetch(queries) if n_queries * dim <= matrix_cells else None)
 
 
 def vector_topk(queries: DataFrame | QueryBatch, corpus: DataFrame, k: int, matrix_cells: int = MATRIX_CELLS,
-                best_cells: int = BEST_CELLS, block_cells: int = BLOCK_CELLS) -> DataFrame:
+                best_cells: int = BEST_CELLS, block_cells: int = BLOCK_CELLS, group_cells: int = GROUP_CELLS) -> DataFrame:
     """(query_id, key, score, pos): the exact ``k`` best dot products per query.
 
-    ``queries``: query_id, vec, or a batch measured before. ``corpus``: key, vec. Ties go to the lower key. The corpus
-    is scanned where it lies, without a shuffle. The queries go out in passes whose matrix and whose best-so-far table
-    are bounded, and a task scores blocks of bounded size, so no task grows with the batch.
+    ``queries``: query_id, vec, or a batch measured before. ``corpus``: key, vec. Ties go to the lower key. A batch whose
+    matrix and best-so-far table are small is broadcast and the corpus scanned where it lies, without a shuffle; a larger
+    one meets the corpus group by group (``_meet``), so that no matrix goes through the driver.
     """
     batch = queries if isinstance(queries, QueryBatch) else query_batch(queries, matrix_cells)
     corpus = corpus.select(F.col("key").cast("long").alias("key"), "vec")
-    passes = max(1, -(-batch.n_queries * batch.dim // matrix_cells), -(-batch.n_queries * k // best_cells))
-    if passes == 1 and batch.fetched is not None:
+    if batch.fetched is not None and batch.n_queries * k <= best_cells:
         found = _scan_topk(corpus, *batch.fetched, k, block_cells)
     else:
-        part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-        # Hashing spreads unevenly, so a part is cut again to what one pass takes.
-        rows = max(1, min(matrix_cells // max(1, batch.dim), best_cells // k))
-        scans = []
-        for number in range(passes):
-            ids, matrix = _fetch(batch.queries.where(part == number))
-            for at in range(0, len(ids), rows):
-                scans.append(_scan_topk(corpus, ids[at : at + rows], matrix[at : at + rows], k, block_cells))
-        found = reduce(DataFrame.unionByName, scans) if scans else _scan_topk(
-            corpus, np.empty(0, np.int64), np.empty((0, 0)), k, block_cells)
+        found = _grouped_topk(batch, corpus, k, block_cells, group_cells)
     return rank_within(found, ["query_id"], [F.desc("score"), F.asc("key")], k)
 
 
+def _grouped_topk(batch: QueryBatch, corpus: DataFrame, k: int, block_cells: int, group_cells: int) -> DataFrame:
+    """Candidates of every query from every group of the corpus; two rounds, whatever the number of queries.
+
+    The first round takes one group in ``FLOOR_SHARE``. A query's k-th score there is a floor for the rest: what lies
+    below it cannot be among the best, so the other groups hand on few rows.
+    """
+    n_groups = max(1, -(-corpus.count() * max(1, batch.dim) // group_cells))
+    dealt = corpus.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(n_groups)))
+    queries = batch.queries.withColumn("floor", F.lit(float("-inf")))
+    early = -(-n_groups // FLOOR_SHARE)
+    first = stored(rank_within(_meet(queries, dealt, 0, early, k, block_cells), ["query_id"], [F.desc("score"), F.asc("key")], k),
+                   "nearest").drop("pos")
+    if early == n_groups:
+        return first
+    floors = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(
+        F.col("n") == k).drop("n")
+    raised = batch.queries.join(floors, "query_id", "left").select(
+        "query_id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
+    return first.unionByName(_meet(raised, dealt, early, n_groups, k, block_cells))
+
+
+def _meet(queries: DataFrame, corpus: DataFrame, low: int, high: int, k: int, block_cells: int) -> DataFrame:
+    """(query_id, key, score): each group's best ``k`` per query, none below the query's ``floor``.
+
+    Every query goes to every group of ``low`` to below ``high``. In a task a group's corpus rows come first and are held
+    (a group is bounded); the queries then stream past, a batch at a time.
+    """
+    rows = corpus.where((F.col("g") >= low) & (F.col("g") < high)).select(
+        "g", F.lit(0).alias("kind"), F.col("key").alias("id"), F.lit(0.0).alias("floor"), F.col("vec").cast("array<double>"))
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("g"), F.lit(1).alias("kind"),
+        F.col("query_id").alias("id"), "floor", F.col("vec").cast("array<double>"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, keys, corpus, norms = None, [], None, None, None
+        for batch in batches:
+            marks = batch.column("g").to_numpy() * 2 + batch.column("kind").to_numpy()
+            for part in np.split(np.arange(len(marks)), np.flatnonzero(np.diff(marks)) + 1):
+                if not len(part):
+                    continue
+                piece, now = batch.slice(part[0], len(part)), int(marks[part[0]])
+                if now % 2 == 0:
+                    if now != group:
+                        group, held = now, []
+                    held.append((piece.column("id").to_numpy(), _matrix(piece.column("vec"))))
+                    keys = None
+                    continue
+                if group != now - 1:  # queries of a group without corpus rows
+                    continue
+                if keys is None:
+                    keys, corpus = (np.concatenate(x) for x in zip(*held))
+                    norms = np.sqrt((corpus * corpus).sum(axis=1))
+                    falling = np.argsort(-norms, kind="stable")
+                    keys, corpus, norms = keys[falling], corpus[falling], norms[falling]
+                    held = [(keys, corpus)]
+                yield _best_of(piece, keys, corpus, norms, k, block_cells)
+
+    both = rows.unionByName(asked).repartition(max(1, high - low), "g").sortWithinPartitions("g", "kind")
+    return both.mapInArrow(kernel, "query_id long, key long, score double")
+
+
+def _best_of(asked: pa.RecordBatch, keys: np.ndarray, corpus: np.ndarray, norms: np.ndarray, k: int,
+             block_cells: int) -> pa.RecordBatch:
+    """Best rows of one group for a batch of queries. Corpus rows come by falling norm, and a product is at most the
+    product of the norms; the scan ends when no query can gain any more."""
+    ids, floor = asked.column("id").to_numpy(), asked.column("floor").to_numpy()
+    queries = _matrix(asked.column("vec"))
+    reach = np.sqrt((queries * queries).sum(axis=1))
+    best = TopK(len(ids), k)
+    best.scores[:] = np.where(np.isneginf(floor), -np.inf, floor)[:, None]
+    wide = max(1, block_cells // max(1, len(ids)))
+    for left in range(0, len(corpus), wide):
+        if (reach * norms[left] * (1 + 1e-9) + 1e-9 < best.scores[:, -1]).all():
+            break
+        best.add(0, queries @ corpus[left : left + wide].T, keys[left : left + wide])
+    best.scores[best.keys == np.iinfo(np.int64).max] = -np.inf  # what only the floor held
+    return best.rows(ids)
+
+
 MODES = ("primary", "secondary-only", "both")
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, WIDE
 from quillspan.functions.text import ACCENTED, STOPWORDS, UNACCENTED, question_terms, strip_edges, words
-from quillspan.operators.keyword import KeywordIndex, build_index, open_index, write_index
+from quillspan.operators.keyword import KeywordIndex, open_index, write_index
 from quillspan.operators.search import SearchIndex
-from quillspan.session import checkpoint_dir
+from quillspan.session import checkpoint_dir, stored
 from quillspan.sources.tables import table
 
 
@@ -225,22 +225,30 @@ def keyword_index(spark: SparkSession, sf: str) -> KeywordIndex:
     name = (spark.sparkContext.applicationId, sf)
     if name not in _KEYWORDS:
         path = f"{checkpoint_dir(spark)}/keywords-{uuid.uuid4().hex}"
-        write_index(build_index(shelf_units(spark, sf).select("unit_id", "text")), path)
+        write_index(shelf_units(spark, sf).select("unit_id", "text"), path)
         _KEYWORDS[name] = open_index(spark, path)
     return _KEYWORDS[name]
 
 
+_SEARCH: dict[tuple[str, str], SearchIndex] = {}
+
+
 def search_index(spark: SparkSession, sf: str) -> SearchIndex:
-    return SearchIndex(
-        unit_vectors=unit_vectors(spark, sf).select("key", "vec"),
-        block_vectors=block_vectors(spark, sf),
-        block_members=block_members(spark, sf),
-        topic_vectors=topic_vectors(spark, sf),
-        topic_units=topic_units(spark, sf),
-        keywords=keyword_index(spark, sf),
-        edges=edges(spark, sf),
-        works=shelf_works(spark, sf),
-    )
+    """The stored tables a search reads, written once per application and folder."""
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _SEARCH:
+        links = edges(spark, sf)
+        _SEARCH[name] = SearchIndex(
+            unit_vectors=stored(unit_vectors(spark, sf).select("key", "vec"), "unit-vectors"),
+            block_vectors=stored(block_vectors(spark, sf), "block-vectors"),
+            block_members=stored(block_members(spark, sf), "block-members"),
+            topic_vectors=stored(topic_vectors(spark, sf), "topic-vectors"),
+            topic_units=stored(topic_units(spark, sf), "topic-units"),
+            keywords=keyword_index(spark, sf),
+            edges=stored(links.repartitionByRange("from_id", "to_id").sortWithinPartitions("from_id", "to_id"), "edges"),
+            works=stored(shelf_works(spark, sf), "works"),
+        )
+    return _SEARCH[name]
 
 
 # --- the line corpus: lines of documents as units ---------------------------------

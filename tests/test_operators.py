@@ -23,7 +23,7 @@ from quillspan.operators.embedprep import keep_model
 from quillspan.operators.evaluate import bootstrap_ci
 from quillspan.operators.history import migrate
 from quillspan.operators.questions import flag_phrases
-from quillspan.operators.vector import TopK, scan_block, vector_topk
+from quillspan.operators.vector import TopK, query_batch, scan_block, vector_topk
 from quillspan.sources import exports, provenance, runlog, termlist
 from quillspan.streaming import jobs
 
@@ -37,9 +37,27 @@ def test_vector_topk_equals_brute_force_at_any_budget(spark, n_queries):
     scores = np.round(asked.astype(np.float32).astype(float) @ corpus.astype(np.float32).astype(float).T, 9)
     want = {(i, p, int(k)) for i in range(n_queries) for p, k in enumerate(np.lexsort((np.arange(300), -scores[i]))[:7])}
     assert {(r.query_id, r.pos, r.key) for r in vector_topk(q, c, 7).collect()} == want
-    passes = max(1, n_queries // 4)
-    tiny = vector_topk(q, c, 7, matrix_cells=8 * passes, best_cells=7 * passes, block_cells=500)
-    assert {(r.query_id, r.pos, r.key) for r in tiny.collect()} == want
+    for cells in (8 * 300, 8 * 20, 8):  # one group, several, one a row
+        tiny = vector_topk(q, c, 7, matrix_cells=1, block_cells=500, group_cells=max(cells, 8 * 300 // 40))
+        assert {(r.query_id, r.pos, r.key) for r in tiny.collect()} == want
+
+
+def test_many_queries_meet_the_corpus_in_one_plan_and_not_on_the_driver(spark):
+    rng = np.random.default_rng(11)
+    corpus = np.round(rng.normal(size=(400, 4)) * rng.choice([0.1, 1, 3], size=(400, 1)), 2)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "key long, vec array<double>")
+    q = spark.range(100_000).select(
+        F.col("id").alias("query_id"), F.array(*[F.sin(F.col("id") * (j + 1)) for j in range(4)]).alias("vec"))
+    batch = query_batch(q, matrix_cells=1)
+    assert batch.fetched is None
+    found = vector_topk(batch, c, 3, group_cells=4 * 25).agg(
+        F.count("*"), F.sum("key"), F.bit_xor(F.xxhash64("query_id", "pos", "key"))).first()
+    vectors = np.sin(np.arange(100_000)[:, None] * np.arange(1, 5))
+    order = np.argsort(-np.round(vectors @ corpus.T, 9), axis=1, kind="stable")[:, :3]
+    want = spark.createDataFrame(
+        pa.table({"query_id": np.repeat(np.arange(100_000), 3), "pos": np.tile(np.arange(3), 100_000), "key": order.ravel()})
+    ).agg(F.count("*"), F.sum("key"), F.bit_xor(F.xxhash64("query_id", "pos", "key"))).first()
+    assert found == want
 
 
 def test_a_score_block_keeps_to_its_budget():
@@ -229,6 +247,47 @@ def test_phrase_list_of_any_length(spark):
     assert got == {1: (True, "stone wall"), 2: (True, "wall"), 3: (False, None), 4: (False, None)}
 
 
+@pytest.fixture(scope="module")
+def wide_index(spark, tmp_path_factory):
+    """Units that all hold one word, 20,000 of them, written by eight tasks."""
+    path = str(tmp_path_factory.mktemp("wide"))
+    units = spark.range(20_000).selectExpr(
+        "id AS unit_id", "concat('common ', repeat('common ', cast(id % 3 AS int)), 'w', id % 7, ' ', repeat('pad ', cast(id % 11 AS int))) AS text")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    keyword.write_index(units, path, buckets=3)
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    return path, keyword.open_index(spark, path)
+
+
+def test_a_word_of_every_unit_is_written_by_many_tasks(wide_index):
+    _, index = wide_index
+    task = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)
+    for table, rows in ((index.postings, F.lit(1)), (index.impacts, F.col("n"))):
+        sizes = [r.n for r in table.groupBy(task.alias("task")).agg(F.sum(rows).alias("n")).collect()]
+        assert len(sizes) > 4 and max(sizes) <= 4 * statistics.median(sizes)
+    assert index.runs.where("term = 'common'").count() > 1
+
+
+def test_top_units_read_few_blocks_and_equal_the_full_ranking(spark, wide_index):
+    _, index = wide_index
+    terms = spark.createDataFrame([("common",), ("w3",), ("pad",), ("common w5",), ("absent",)], "term string")
+    asked = keyword.asked_words(index, terms)
+    assert keyword.impact_blocks(index, asked.where("word = 'common'"), 0, 10).count() == 1
+    assert index.impacts.where("term = 'common'").count() >= 20_000 // keyword.BLOCK_POSTINGS
+    full = keyword.bm25_lists(keyword.score_terms(index, terms), 300)
+    top = keyword.bm25_lists(keyword.term_lists(index, terms, 300), 300)
+    assert sorted(full.collect()) == sorted(top.select(*full.columns).collect())
+    # a group with one unit in 2,000 makes the search look deeper; a group of 3 units never fills its list
+    group = F.when(F.col("unit_id") % 2000 == 17, "rare").when(F.col("unit_id") < 3, "tiny").otherwise("usual")
+    grouped = lambda rows: rows.withColumn("group", group)
+    want = keyword.bm25_lists(grouped(keyword.score_terms(index, terms)), 8, ["group"])
+    got = keyword.bm25_lists(keyword.grouped_lists(index, terms, 8, grouped, 3), 8, ["group"])
+    assert sorted(want.collect()) == sorted(got.select(*want.columns).collect())
+
+
 def test_automaton_equals_plain_search():
     rng = random.Random(5)
     draw = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
@@ -250,7 +309,7 @@ def test_keyword_search_folds_and_reads_phrases(spark, tmp_path):
     units = spark.createDataFrame([
         (1, "The café is open"), (2, "do not be anxious today, do not be"), (3, "Cafe\u0301 not open; the the door"), (4, "")],
         "unit_id long, text string")
-    keyword.write_index(keyword.build_index(units, buckets=3), str(tmp_path / "k"))
+    keyword.write_index(units, str(tmp_path / "k"), buckets=3)
     index = keyword.open_index(spark, str(tmp_path / "k"))
     terms = spark.createDataFrame([("CAFÉ",), ("do not be",), ("do not be anxious",), ("open",), ("the the",), ("is the",), ("--",), ("zz open",)], "term string")
     got = {(r.term, r.unit_id): r.tf for r in keyword.matches(index, terms).collect()}
