@@ -13,6 +13,7 @@ from quillspan.plans import registry
 from quillspan.plans import verification as V
 from quillspan.plans.registry import query
 from quillspan.session import checkpoint_dir, cut_lineage, remove_folder
+from quillspan.session import stored as kept_table
 from quillspan.sources.tables import table
 from quillspan.streaming import jobs
 
@@ -204,6 +205,7 @@ def q_export_passages(spark, sf):
 
 # --- streaming twins --------------------------------------------------------------------
 
+START = "2024-01-01 00:00:00"  # event time of turn 0; a turn a minute
 FILES = 4  # input files of a stream, one micro-batch each
 
 
@@ -249,11 +251,15 @@ def q_stream_verify(spark, sf):
 
 @query("stream_resolve", I.with_sql(*V.BASE_SQL, V._VERDICT_SQL) + V.ATTEMPTS_SQL)
 def q_stream_resolve(spark, sf):
-    """Verdicts arrive file by file; the two-attempt state machine runs per conversation."""
+    """Verdicts arrive file by file in event time; the two-attempt state machine runs per conversation."""
     folder = _run_folder(spark)
-    verdicts = V.attempt_verdicts(spark, sf).select("conv_id", "turn", "verdict")
-    verdicts.repartitionByRange(FILES, "turn").write.parquet(f"{folder}/in")
-    stream = jobs.stream_table(spark, f"{folder}/in", "*.parquet", verdicts.schema, files_per_trigger=1)
+    minutes = F.make_dt_interval(mins=F.col("turn").cast("int"))
+    verdicts = V.attempt_verdicts(spark, sf).select("conv_id", "turn", "verdict").withColumn("at", F.lit(START).cast("timestamp") + minutes)
+    verdicts = kept_table(verdicts, "verdicts")
+    step = F.least(F.call_function("div", F.col("turn"), F.lit(2)), F.lit(FILES - 1))
+    for number in range(FILES):  # attempts arrive in the order of their turns
+        verdicts.where(step == number).coalesce(1).write.parquet(f"{folder}/in/step={number}")
+    stream = spark.readStream.schema(verdicts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/step=*")
     jobs.write_stream(jobs.resolve_stream(stream), f"{folder}/out", f"{folder}/log").awaitTermination()
     return _kept(spark, jobs.latest_outcomes(spark.read.schema(jobs.OUTCOME_SCHEMA).parquet(f"{folder}/out")), folder)
 

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quillspan.operators.history import entry_postings
 from quillspan.operators.questions import flag_phrases
@@ -19,7 +16,6 @@ ABANDON_MINUTES = 60
 NONE_USED = -1  # the log's value where the fallback is shown
 
 OUTCOME_SCHEMA = "conv_id long, revision long, outcome string, used long, n_attempts long, abandoned boolean"
-_STATE_SCHEMA = "seen long, first_id long, first_verdict string, second_id long, second_verdict string"
 
 
 def stream_table(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -58,53 +54,67 @@ def flagged_questions(questions: DataFrame, terms: list[str]) -> DataFrame:
     return flag_phrases(questions, terms)
 
 
-def _decide(state: tuple) -> tuple[str, int | None, int]:
-    _, first_id, first, second_id, second = state
-    if first == "ok":
-        return "ok", first_id, 1
-    if second == "ok":
-        return "ok", second_id, 2
-    return "fallback", None, 1 if second is None else 2
-
-
-def _resolve(timer: bool, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the two earliest attempts of a question; report whenever the decision may have moved."""
-    held = state.get if state.exists else (0, None, None, None, None)
-    abandoned = state.hasTimedOut
-    seen = held[0]
-    attempts = [(i, v) for i, v in ((held[1], held[2]), (held[3], held[4])) if v is not None]
-    if not abandoned:
-        for frame in frames:
-            seen += len(frame)
-            attempts += list(zip((int(t) for t in frame["turn"]), frame["verdict"]))
-            attempts = sorted(attempts)[:2]
-    padded = attempts + [(None, None)] * (2 - len(attempts))
-    now = (seen, padded[0][0], padded[0][1], padded[1][0], padded[1][1])
-    outcome, used, tried = _decide(now)
-    yield pd.DataFrame({
-        "conv_id": [key[0]], "revision": [seen], "outcome": [outcome], "used": [NONE_USED if used is None else used],
-        "n_attempts": [tried], "abandoned": [abandoned],
-    })
-    if abandoned:
-        state.remove()
-    else:
-        state.update(now)
-        if timer:
-            state.setTimeoutDuration(ABANDON_MINUTES * 60_000)
-
-
-def resolve_stream(attempts: DataFrame, timer: bool = False) -> DataFrame:
-    """Outcome revisions of every question from a stream of (conv_id, turn, verdict).
-
-    State per question is two attempts, whatever arrives. With ``timer``,
-    questions that go quiet are closed after a while; such a query runs until it
-    is stopped, so it is for continuous triggers only. ``latest_outcomes`` reads
-    the log.
+class Resolver(StatefulProcessor):
+    """Two attempts decide a question: the first that is ok, else the fallback.
+
+    State of a question: its attempts so far (a list of at most one between batches) while it is open, and a mark once it
+    is decided, so that what comes later is not taken for a first attempt. An event timer, set ``quiet`` after the
+    question's newest row, takes either away; a question that is still open then is reported as abandoned.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
-    return attempts.select("conv_id", "turn", "verdict").groupBy("conv_id").applyInPandasWithState(
-        partial(_resolve, timer), OUTCOME_SCHEMA, _STATE_SCHEMA, "append", timeout
-    )
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.attempts = handle.getListState("attempts", "turn long, verdict string")
+        self.decided = handle.getValueState("decided", "n long")
+
+    def _outcome(self, key, attempts: list[tuple], abandoned: bool) -> Row:
+        used = next((turn for turn, verdict in attempts if verdict == "ok"), NONE_USED)
+        n = len(attempts) if used == NONE_USED else [turn for turn, _ in attempts].index(used) + 1
+        return Row(conv_id=key[0], revision=n, outcome="fallback" if used == NONE_USED else "ok", used=used, n_attempts=n,
+                   abandoned=abandoned)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = list(rows)
+        newest = max(int(r["at"].timestamp() * 1000) for r in came)
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max([newest + self.quiet_ms, *timers]))
+        if self.decided.exists():
+            return
+        attempts = [(r[0], r[1]) for r in self.attempts.get()] + [(r["turn"], r["verdict"]) for r in came]
+        attempts = sorted(attempts)[:2]
+        if attempts[0][1] == "ok" or len(attempts) == 2:
+            self.attempts.clear()
+            self.decided.update((len(attempts),))
+        else:
+            self.attempts.put(attempts)
+        yield self._outcome(key, attempts, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        open_attempts = [(r[0], r[1]) for r in self.attempts.get()]
+        self.attempts.clear()
+        self.decided.clear()
+        if open_attempts:
+            yield self._outcome(key, open_attempts, True)
+
+    def close(self) -> None:
+        pass
+
+
+def resolve_stream(attempts: DataFrame, quiet_minutes: int = ABANDON_MINUTES, late: str = "10 minutes") -> DataFrame:
+    """Outcome revisions of every question from a stream of (conv_id, turn, verdict, at).
+
+    ``at`` is the event time; rows later than ``late`` are dropped. The state of a question leaves ``quiet_minutes`` of
+    event time after its newest row, so the store holds the questions of that stretch only. ``latest_outcomes`` reads the
+    log.
+    """
+    rows = attempts.select("conv_id", "turn", "verdict", "at").withWatermark("at", late)
+    return rows.groupBy("conv_id").transformWithState(
+        Resolver(quiet_minutes * 60_000), OUTCOME_SCHEMA, "Append", "EventTime")
 
 
 def latest_outcomes(log: DataFrame) -> DataFrame:

@@ -305,6 +305,34 @@ def test_automaton_equals_plain_search():
     assert machine.find(pa.array(texts)).tolist() == [next((i for i, t in enumerate(many) if t in x), automaton.NONE) for x in texts]
 
 
+def test_resolution_goes_on_after_a_restart_and_forgets(spark, tmp_path):
+    schema = "conv_id long, turn long, verdict string, at timestamp"
+
+    def run(rows):
+        """One more file, and the job started anew from its checkpoint; returns the questions held at the end."""
+        at = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins="minute")).alias("at")
+        spark.createDataFrame(rows, "conv_id long, turn long, verdict string, minute int").select(
+            "conv_id", "turn", "verdict", at).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_table(spark, str(tmp_path / "in"), "*.parquet", schema, 1)
+        query = jobs.write_stream(jobs.resolve_stream(stream), str(tmp_path / "out"), str(tmp_path / "log"))
+        query.awaitTermination()
+        return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1]
+
+    outcomes = lambda: {
+        (r.conv_id, r.outcome, r.used, r.n_attempts)
+        for r in jobs.latest_outcomes(spark.read.schema(jobs.OUTCOME_SCHEMA).parquet(str(tmp_path / "out"))).collect()}
+    run([(1, 1, "ok", 1), (2, 1, "bad", 1), (3, 1, "bad", 1), *((i, 1, "ok", 1) for i in range(100, 160))])
+    assert {(1, "ok", 1, 1), (2, "fallback", None, 1), (3, "fallback", None, 1)} <= outcomes()
+    run([(1, 2, "bad", 2), (2, 2, "ok", 2)])
+    assert {(1, "ok", 1, 1), (2, "ok", 2, 2), (3, "fallback", None, 1)} <= outcomes()
+    held = run([(9, 1, "bad", 500)])  # an hour on, the others are forgotten and question 3 is given up
+    assert held < 10
+    run([(9, 2, "bad", 501)])
+    assert {(9, "fallback", None, 2), (1, "ok", 1, 1), (2, "ok", 2, 2)} <= outcomes()
+    log = spark.read.schema(jobs.OUTCOME_SCHEMA).parquet(str(tmp_path / "out"))
+    assert [r.conv_id for r in log.where("abandoned").collect()] == [3]
+
+
 def test_keyword_search_folds_and_reads_phrases(spark, tmp_path):
     units = spark.createDataFrame([
         (1, "The café is open"), (2, "do not be anxious today, do not be"), (3, "Cafe\u0301 not open; the the door"), (4, "")],
