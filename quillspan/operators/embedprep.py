@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import vectors as V
 from quillspan.functions.refs import reference
 from quillspan.operators.ordering import order_statistics
+from quillspan.operators.packing import greedy_runs
 
 BATCH = 64
 CHARS_PER_TOKEN = 4
@@ -42,49 +43,30 @@ def topic_templates(topics: DataFrame, parents: DataFrame) -> DataFrame:
     return joined.select("kind", "topic_id", text.alias("text"))
 
 
-def split_blocks(units: DataFrame, blocks: DataFrame, keys: list[str], budget: Column) -> DataFrame:
+def split_blocks(units: DataFrame, blocks: DataFrame, keys: list[str], budget: Column,
+                 size: Callable[[Column], Column] = F.length) -> DataFrame:
     """(keys, part, first_ordinal, last_ordinal, n_units, cost): blocks cut at unit boundaries.
 
-    Greedy: a unit joins the current part while label, texts and the blanks
-    between them stay within the budget; an oversize unit is a part by itself.
-    The label is that of the part as it would be, so it is counted too. A block
-    is bounded, so the running state is folded over its ordered units in place.
-    ``units``: keys, ordinal, abbrev, chapter, text. ``blocks``: keys, heading.
+    Greedy: a unit joins the current part while label, texts and the blanks between them stay within the budget; an
+    oversize unit is a part by itself. The label is that of the part as it would be, so it is counted too. A block may
+    hold any number of units. ``units``: keys, ordinal, abbrev, chapter, text. ``blocks``: keys, heading. ``size``
+    measures a text, in characters unless told otherwise; ``budget`` may use the block's columns.
     """
-    listed = units.groupBy(*keys, "abbrev", "chapter").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", F.length("text").alias("size")))).alias("members")
-    )
-    listed = listed.join(blocks.select(*keys, "heading"), keys, "left")
-    fixed = F.length("abbrev") + F.length(F.col("chapter").cast("string")) + 4 + F.when(
-        F.col("heading").isNull(), 0
-    ).otherwise(F.length("heading") + 3)
-    listed = listed.select(*keys, "members", fixed.alias("fixed"), budget.alias("budget"))
-
     digits = lambda n: F.length(n.cast("string"))
-    start = F.struct(
-        F.lit(-1).alias("part"), F.lit(0).cast("long").alias("first"), F.lit(0).alias("texts"),
-        F.array().cast("array<struct<ordinal:bigint,part:int,cost:int>>").alias("out"),
-    )
-
-    def step(state: Column, unit: Column) -> Column:
-        together = state["texts"] + unit["size"] + 1
-        cost = F.col("fixed") + digits(state["first"]) + digits(unit["ordinal"]) + together
-        fits = (state["part"] >= 0) & (cost <= F.col("budget"))
-        alone = F.col("fixed") + digits(unit["ordinal"]) * 2 + unit["size"]
-        part = F.when(fits, state["part"]).otherwise(state["part"] + 1)
-        placed = F.struct(
-            unit["ordinal"].alias("ordinal"), part.alias("part"), F.when(fits, cost).otherwise(alone).alias("cost")
-        )
-        return F.struct(
-            part.alias("part"), F.when(fits, state["first"]).otherwise(unit["ordinal"]).alias("first"),
-            F.when(fits, together).otherwise(unit["size"]).alias("texts"),
-            F.concat(state["out"], F.array(placed)).alias("out"),
-        )
-
-    folded = listed.select(*keys, F.explode(F.aggregate("members", start, step, lambda s: s["out"])).alias("u"))
-    return folded.groupBy(*keys, F.col("u.part").cast("long").alias("part")).agg(
-        F.min("u.ordinal").alias("first_ordinal"), F.max("u.ordinal").alias("last_ordinal"),
-        F.count(F.lit(1)).alias("n_units"), F.max("u.cost").cast("long").alias("cost"),
+    label = F.length("abbrev") + F.length(F.col("chapter").cast("string")) + 4 + F.when(
+        F.col("heading").isNull(), 0).otherwise(F.length("heading") + 3)
+    items = units.join(blocks.select(*keys, "heading"), keys, "left").select(
+        *keys, "ordinal", size(F.col("text")).cast("long").alias("size"), label.cast("long").alias("label"),
+        (budget - label).cast("long").alias("room"))
+    # A text costs its length and the blank before it; the part's first unit has no such blank, but names the part.
+    runs = greedy_runs(
+        items, keys, ["ordinal"], 0, F.col("size") + 1, start=F.col("room") + 1 - digits(F.col("ordinal")),
+        end=digits(F.col("ordinal")), name="part")
+    first, last = F.min("ordinal"), F.max("ordinal")
+    cost = F.max("label") + digits(first) + digits(last) + F.sum("size") + F.count(F.lit(1)) - 1
+    return runs.groupBy(*keys, "part").agg(
+        first.alias("first_ordinal"), last.alias("last_ordinal"), F.count(F.lit(1)).alias("n_units"),
+        cost.cast("long").alias("cost"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.keys import CLASSIC, KeyLayout
 from quillspan.operators.fusion import stable
 from quillspan.operators.ordering import order_statistics, sequential_ids
+from quillspan.operators.packing import greedy_runs
 from quillspan.operators.vector import rank_within
 
 CUTS = (10, 25, 50)
@@ -158,35 +159,21 @@ def gold_scores(topic_points: DataFrame, keyword_hits: DataFrame, edges: DataFra
 def gold_ranges(scores: DataFrame, units: DataFrame, layout: KeyLayout = CLASSIC) -> DataFrame:
     """(query_id, rank, work_id, chapter, first, last, unit_ids, origins, density, agreement, hits).
 
-    Units up to ``RANGE_GAP`` apart join a range of at most ``RANGE_LENGTH``;
-    the length cap makes this a fold over a chapter's ordered units. Ranges are
-    filled with the units in between that exist, and rank by score density.
+    Units up to ``RANGE_GAP`` apart join a range of at most ``RANGE_LENGTH``: stretches without a wider gap are cut
+    greedily by length. Ranges are filled with the units in between that exist, and rank by score density.
     """
     key = F.col("unit_id")
     located = scores.select(
         "query_id", layout.work(key).alias("work_id"), layout.chapter(key).alias("chapter"),
         layout.ordinal(key).alias("ordinal"), "score", "origins",
     )
-    chapters = located.groupBy("query_id", "work_id", "chapter").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "score", "origins"))).alias("hits")
-    )
-    start = F.struct(
-        F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"),
-        F.array().cast("array<bigint>").alias("starts"),
-    )
-
-    def step(state: Column, hit: Column) -> Column:
-        v = hit["ordinal"]
-        joins = (v - state["last"] <= RANGE_GAP) & (v - state["first"] + 1 <= RANGE_LENGTH)
-        first = F.when(joins, state["first"]).otherwise(v)
-        return F.struct(
-            first.alias("first"), v.alias("last"), F.concat(state["starts"], F.array(first)).alias("starts")
-        )
-
-    folded = chapters.select("query_id", "work_id", "chapter", "hits", F.aggregate("hits", start, step).getField("starts").alias("starts"))
-    rows = folded.select(
-        "query_id", "work_id", "chapter", F.explode(F.arrays_zip("hits", "starts")).alias("h")
-    ).select("query_id", "work_id", "chapter", F.col("h.starts").alias("first"), "h.hits.ordinal", "h.hits.score", "h.hits.origins")
+    chapter = ["query_id", "work_id", "chapter"]
+    inside = W.partitionBy(*chapter).orderBy("ordinal")  # a chapter's ordinals are bounded by the layout
+    wide = F.coalesce(F.col("ordinal") - F.lag("ordinal").over(inside) > RANGE_GAP, F.lit(False))
+    stretches = located.withColumn("wide", wide.cast("int")).withColumn("stretch", F.sum("wide").over(inside)).drop("wide")
+    place = F.col("ordinal")
+    cut = greedy_runs(stretches, [*chapter, "stretch"], ["ordinal"], RANGE_LENGTH, F.lit(0), start=place - 1, end=place)
+    rows = cut.withColumn("first", F.min("ordinal").over(W.partitionBy(*chapter, "stretch", "run"))).drop("stretch", "run")
     ranges = rows.groupBy("query_id", "work_id", "chapter", "first").agg(
         F.max("ordinal").alias("last"), F.sum("score").alias("total"), F.count(F.lit(1)).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("origins")))).alias("origins"),

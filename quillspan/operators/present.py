@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.keys import CLASSIC, KeyLayout
 from quillspan.functions.text import short_label
 from quillspan.operators.ordering import neighbours
+from quillspan.operators.packing import greedy_runs
 from quillspan.operators.vector import rank_within
 from quillspan.operators.verify import cited_tokens
 
@@ -179,29 +182,17 @@ def pack_passages(cut: DataFrame, units: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def batch_packing(sized: DataFrame, keys: list[str], order: list[str], budget: int) -> DataFrame:
+def batch_packing(sized: DataFrame, keys: list[str], order: list[str], budget: int,
+                  token_count: Callable[[Column], Column] | None = None) -> DataFrame:
     """(keys, order, batch_no, size): consecutive items in batches that stay within the budget.
 
-    ``sized`` carries ``size``. An oversize item is a batch by itself. The
-    running total restarts at every cut, so it is folded over a query's ordered
-    items (bounded by the retrieved set).
+    ``sized`` carries ``size``, or a ``text`` that ``token_count`` measures. An oversize item is a batch by itself. Groups
+    may be of any size.
     """
-    grouped = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "size"))).alias("items"))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(state: Column, item: Column) -> Column:
-        size = item["size"].cast("long")
-        fits = (state["batch"] >= 0) & (state["used"] + size <= budget)
-        batch = F.when(fits, state["batch"]).otherwise(state["batch"] + 1)
-        used = F.when(fits, state["used"] + size).otherwise(size)
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(state["out"], F.array(batch)).alias("out"))
-
-    folded = grouped.select(*keys, "items", F.aggregate("items", start, step).getField("out").alias("batches"))
-    rows = folded.select(*keys, F.explode(F.arrays_zip("items", "batches")).alias("r"))
-    return rows.select(
-        *keys, *[F.col(f"r.items.{o}").alias(o) for o in order], F.col("r.batches").cast("long").alias("batch_no"),
-        F.col("r.items.size").cast("long").alias("size"),
-    )
+    measured = sized if token_count is None else sized.withColumn("size", token_count(F.col("text")))
+    items = measured.select(*keys, *order, F.col("size").cast("long").alias("size"))
+    packed = greedy_runs(items, keys, order, budget, F.col("size"), name="batch_no")
+    return packed.select(*keys, *order, "batch_no", "size")
 
 
 def assemble_answers(texts: DataFrame, passages: DataFrame) -> DataFrame:

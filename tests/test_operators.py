@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quillspan.functions import automaton
 from quillspan.functions.keys import CLASSIC
 from quillspan.functions.stem import porter
-from quillspan.functions.text import plain_marked_line
-from quillspan.operators import history, ingest, keyword, ordering, references, verify
+from quillspan.functions.text import estimated_tokens, plain_marked_line
+from quillspan.operators import history, ingest, keyword, ordering, packing, present, references, verify
 from quillspan.operators.embedprep import keep_model
 from quillspan.operators.evaluate import bootstrap_ci
 from quillspan.operators.history import migrate
@@ -288,6 +288,54 @@ def test_top_units_read_few_blocks_and_equal_the_full_ranking(spark, wide_index)
     assert sorted(want.collect()) == sorted(got.select(*want.columns).collect())
 
 
+def folded_runs(sizes, starts, ends, budget):
+    out, run, limit, total = [], -1, None, 0
+    for size, start, end in zip(sizes, starts, ends):
+        total += size
+        if limit is None or total + end > limit:
+            run, limit = run + 1, total - size + start + budget
+        out.append(run)
+    return out
+
+
+def test_greedy_runs_equal_a_fold_across_pieces(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for group in [None, "b", "big", "tail"]:
+        n = 3000 if group == "big" else rng.randint(1, 90)
+        sizes = [rng.choice([0, 1, 4, 30]) for _ in range(n)]
+        ends = sorted(rng.randint(0, 3) for _ in range(n))
+        rows += [(group, i, s, e, "x") for i, (s, e) in enumerate(zip(sizes, ends))]
+        want |= {(group, i): r for i, r in enumerate(folded_runs(sizes, [1] * n, ends, 25))}
+    rng.shuffle(rows)
+    items = spark.createDataFrame(rows, "grp string, no long, s long, e long, _note string")
+    for piece in (37, 500, 100_000):
+        got = packing.greedy_runs(items, ["grp"], ["no"], 25, F.col("s"), F.lit(1), F.col("e"), piece_items=piece)
+        assert {(r.grp, r.no): r.run for r in got.collect()} == want and got.columns == [*items.columns, "run"]
+
+
+def test_one_group_of_five_million_items_is_packed_in_pieces(spark):
+    n, budget = 5_000_000, 1000
+    items = spark.range(n).select(F.lit("all").alias("grp"), F.col("id").alias("no"), (F.col("id") * 7919 % 211).alias("s"))
+    got = packing.greedy_runs(items, ["grp"], ["no"], budget, F.col("s"))
+    runs = got.groupBy("run").agg(F.sum("s").alias("total"), F.min("no").alias("first"), F.count("*").alias("n"))
+    checked = runs.agg(F.max("total"), F.sum("n"), F.count("*")).first()
+    sizes = (np.arange(n) * 7919) % 211
+    total, count, at, firsts = np.cumsum(sizes), 0, 0, []
+    while at < n:
+        firsts.append(at)
+        at = int(np.searchsorted(total, (total[at - 1] if at else 0) + budget, "right"))
+    assert checked[0] <= budget and checked[1] == n and checked[2] == len(firsts)
+    assert runs.agg(F.sum("first")).first()[0] == sum(firsts)
+
+
+def test_packing_measures_texts_by_any_function(spark):
+    rows = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate([8, 8, 9, 40, 4])], "q long, no long, text string")
+    packed = present.batch_packing(rows, ["q"], ["no"], 4, estimated_tokens)
+    assert [(r.no, r.batch_no, r.size) for r in sorted(packed.collect(), key=lambda r: r.no)] == [
+        (0, 0, 2), (1, 0, 2), (2, 1, 2), (3, 2, 10), (4, 3, 1)]
+
+
 def test_automaton_equals_plain_search():
     rng = random.Random(5)
     draw = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
