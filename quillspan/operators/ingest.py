@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import collapse_spaces, plain_marked_line, plain_text
+from quillspan.operators.intervals import points_in_intervals
 from quillspan.operators.ordering import sequential_ids
 
 # Marker names of the backslash-marked text format.
@@ -255,9 +256,9 @@ def block_bounds(units: DataFrame, blocks_by: list[str], range_width: int) -> Da
 
 
 def block_of_units(units: DataFrame, blocks: DataFrame, equi: list[str]) -> DataFrame:
-    """Units inside each block's bounds; the equality keys keep it a hash join."""
+    """Units inside each block's bounds, a hash join however many blocks share the equality keys."""
     bounded = blocks.select(*equi, "block_id", "start_id", "end_id")
-    return units.join(bounded, equi).where(F.col("unit_id").between(F.col("start_id"), F.col("end_id")))
+    return points_in_intervals(units, bounded, equi, "unit_id", "start_id", "end_id")
 
 
 def _rendered(df: DataFrame, name: str, kind: str) -> Column:

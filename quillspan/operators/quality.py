@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.intervals import points_outside_intervals
+
 
 def dead_references(rules: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
     """(rule, violations): rows whose key has no match. Each rule: rows, key, targets, target key."""
@@ -39,9 +41,7 @@ def outside_parent(parts: DataFrame, wholes: DataFrame, keys: list[str], rule: s
 
 def outside_all(units: DataFrame, wholes: DataFrame, keys: list[str], rule: str) -> DataFrame:
     """(rule, violations): units that no whole of their keys holds. ``wholes``: keys, start_id, end_id."""
-    bounds = wholes.select(*keys, "start_id", "end_id")
-    held = units.join(bounds, keys).where(F.col("unit_id").between(F.col("start_id"), F.col("end_id"))).select("unit_id").distinct()
-    return _counted(units.join(held, "unit_id", "left_anti"), rule)
+    return _counted(points_outside_intervals(units, wholes, keys, "unit_id", "start_id", "end_id"), rule)
 
 
 def not_from_zero(parts: DataFrame, keys: list[str], rule: str) -> DataFrame:

@@ -18,7 +18,7 @@ from quillspan.functions import automaton
 from quillspan.functions.keys import CLASSIC
 from quillspan.functions.stem import porter
 from quillspan.functions.text import estimated_tokens, plain_marked_line
-from quillspan.operators import history, ingest, keyword, ordering, packing, present, references, verify
+from quillspan.operators import history, ingest, intervals, keyword, ordering, packing, present, references, verify
 from quillspan.operators.embedprep import keep_model
 from quillspan.operators.evaluate import bootstrap_ci
 from quillspan.operators.history import migrate
@@ -336,6 +336,30 @@ def test_packing_measures_texts_by_any_function(spark):
         (0, 0, 2), (1, 0, 2), (2, 1, 2), (3, 2, 10), (4, 3, 1)]
 
 
+def test_points_in_intervals_equal_brute_force(spark):
+    rng = random.Random(4)
+    points = [(k, rng.randint(-40, 200), i) for i, k in enumerate(rng.choices([1, 2, 3, None], k=120))]
+    wholes = [(k, lo, lo + rng.choice([-1, 0, 1, 5, 64, 300]), i) for i, (k, lo) in enumerate(
+        (rng.choice([1, 2, 4]), rng.randint(-60, 150)) for _ in range(80))]
+    p = spark.createDataFrame(points, "grp long, at long, _cell long")
+    w = spark.createDataFrame(wholes, "grp long, lo long, hi long, _level long")
+    want = sorted((k, x, i, j) for k, x, i in points for g, lo, hi, j in wholes if k == g and lo <= x <= hi)
+    got = intervals.points_in_intervals(p, w, ["grp"], "at", "lo", "hi")
+    assert sorted((r.grp, r.at, r._cell, r._level) for r in got.collect()) == want
+    out = intervals.points_outside_intervals(p, w, ["grp"], "at", "lo", "hi").where("grp IS NOT NULL")
+    held = {(k, x) for k, x, *_ in want}
+    assert sorted((r.grp, r.at) for r in out.collect()) == sorted({(k, x) for k, x, _ in points if k} - held)
+
+
+def test_a_chapter_of_200000_blocks_costs_what_it_holds(spark):
+    units = spark.range(1_000_000).select(F.lit(1).alias("chapter"), F.col("id").alias("unit_id"))
+    blocks = spark.range(200_000).select(
+        F.lit(1).alias("chapter"), F.col("id").alias("block_id"), (F.col("id") * 5).alias("start_id"), (F.col("id") * 5 + 4).alias("end_id"))
+    found = ingest.block_of_units(units, blocks, ["chapter"]).agg(
+        F.count("*"), F.count_if(F.expr("unit_id div 5 <> block_id"))).first()
+    assert tuple(found) == (1_000_000, 0)
+
+
 def test_automaton_equals_plain_search():
     rng = random.Random(5)
     draw = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
