@@ -125,13 +125,6 @@ def size_profile(sizes: DataFrame, groups: list[str], value: str, budget: int) -
     )
 
 
-def store_report(vectors: DataFrame, dim: Column, kept_model: str) -> DataFrame:
-    """(model_id, kind, n_vectors, n_bytes, kept): what a store holds and what one model's store would keep."""
-    return vectors.groupBy("model_id", "kind").agg(
-        F.count(F.lit(1)).alias("n_vectors"), F.sum(dim * 4).cast("long").alias("n_bytes")
-    ).withColumn("kept", F.col("model_id") == kept_model)
-
-
 def keep_model(vectors: DataFrame, model_id: str) -> DataFrame:
     """Only one model's vectors; an unknown model is an error, not an empty store."""
     kept = vectors.where(F.col("model_id") == model_id)

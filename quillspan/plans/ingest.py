@@ -300,6 +300,14 @@ def q_index_meta(spark, sf):
     return index_metadata(spark, tables, {"index_version": "0.1.0", "schema_version": "1"})
 
 
+@query("source_checksums")
+def q_source_checksums(spark, sf):
+    """SHA-256 and size of every source file, streamed; SQL over the tables cannot see the files."""
+    from quillspan.sources.checksums import file_digests
+
+    return file_digests(spark, sf).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "n_bytes", "sha256")
+
+
 @query("integrity_anti", """
 WITH e AS (SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id FROM lineitem)
 SELECT 'dead source' AS rule, count(*) AS violations FROM e WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = from_id)

@@ -15,6 +15,7 @@ from quillspan.operators import embedprep, present, quality
 from quillspan.plans import inputs as I
 from quillspan.plans import retrieval as P
 from quillspan.plans.registry import query
+from quillspan.session import checkpoint_dir
 from quillspan.sources.tables import table
 
 _REF = """abbrev || ' ' || chapter || ':' || "first" || CASE WHEN "first" = "last" THEN '' ELSE '-' || "last" END"""
@@ -345,13 +346,41 @@ def q_block_size_profile(spark, sf):
 
 
 @query("vector_store_report", """
-SELECT model_id, kind, count(*) AS n_vectors, CAST(sum(len(embedding) * 4) AS BIGINT) AS n_bytes, model_id = 'model-0' AS kept
-FROM (SELECT embedding, 'model-' || (label % 3) AS model_id, CASE WHEN label < 7 THEN 'unit' ELSE 'block' END AS kind FROM embeddings) GROUP BY 1, 2""")
+SELECT *, CASE WHEN model_id = 'model-0' THEN vectors_before ELSE 0 END AS vectors_after,
+       CASE WHEN model_id = 'model-0' THEN bytes_before ELSE 0 END AS bytes_after FROM (
+  SELECT model_id, kind, count(*) AS vectors_before, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes_before FROM (
+    SELECT embedding, 'model-' || (label % 3) AS model_id, CASE WHEN label < 7 THEN 'unit' ELSE 'block' END AS kind
+    FROM embeddings) GROUP BY 1, 2)""")
 def q_vector_store_report(spark, sf):
-    store = table(spark, sf, "embeddings").select(
+    """A store of three models is written and cut down to one; the report joins what stood there with what stands now."""
+    from quillspan.sources import vectorstore
+
+    rows = table(spark, sf, "embeddings").select(
         F.concat(F.lit("model-"), (F.col("label") % 3).cast("string")).alias("model_id"),
-        F.when(F.col("label") < 7, "unit").otherwise("block").alias("kind"), "embedding")
-    return embedprep.store_report(store, F.size("embedding"), "model-0")
+        F.when(F.col("label") < 7, "unit").otherwise("block").alias("kind"), F.col("vec_id").alias("key"),
+        F.lit(0).cast("long").alias("part"), F.size("embedding").cast("long").alias("dim"), F.col("embedding").alias("vec"))
+    folder = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    vectorstore.replace_vectors(rows, f"{folder}/all")
+    return vectorstore.retain_model(spark, f"{folder}/all", f"{folder}/kept", "model-0")
+
+
+@query("embed_resume", """
+SELECT 'first run' AS run, count(*) AS written FROM documents WHERE text IS NOT NULL AND doc_id % 3 > 0
+UNION ALL SELECT 'second run', count(*) FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0
+UNION ALL SELECT 'third run', 0
+UNION ALL SELECT 'stored', count(*) FROM documents WHERE text IS NOT NULL""")
+def q_embed_resume(spark, sf):
+    """An embedding job that was stopped after two thirds of the documents, goes on, and is then started once more."""
+    from quillspan.sources import vectorstore
+
+    store = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(
+        F.lit("unit").alias("kind"), F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("part"), "text")
+    runs = {"first run": docs.where("key % 3 > 0"), "second run": docs, "third run": docs}
+    written = [(name, vectorstore.embed_missing(rows, store, initials_embedding, "initials-16")) for name, rows in runs.items()]
+    counts = spark.createDataFrame(written, "run string, written long")
+    held = vectorstore.read_store(spark, store).agg(F.count(F.lit(1)).alias("written"))
+    return counts.unionByName(held.select(F.lit("stored").alias("run"), "written"))
 
 
 # --- profiles and invariants -----------------------------------------------------------

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators.ingest import content_fingerprint
+from quillspan.sources.checksums import file_digests
 
 
 def file_checksums(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """(key, value): sha256 of every source file, computed where the file is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """(key, value): sha256 of every source file of any size, computed where the file is read."""
+    files = file_digests(spark, folder, pattern)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(F.concat(F.lit("sha256_"), name).alias("key"), F.sha2("content", 256).alias("value"))
+    return files.select(F.concat(F.lit("sha256_"), name).alias("key"), F.col("sha256").alias("value"))
 
 
 def index_metadata(spark: SparkSession, tables: dict[str, DataFrame], fixed: dict[str, str],

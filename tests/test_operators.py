@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import shutil
 import statistics
 import subprocess
 import sys
@@ -24,7 +25,7 @@ from quillspan.operators.evaluate import bootstrap_ci
 from quillspan.operators.history import migrate
 from quillspan.operators.questions import flag_phrases
 from quillspan.operators.vector import TopK, query_batch, scan_block, vector_topk
-from quillspan.sources import exports, provenance, runlog, termlist
+from quillspan.sources import checksums, exports, provenance, runlog, termlist, vectorstore
 from quillspan.streaming import jobs
 
 
@@ -360,6 +361,39 @@ def test_a_chapter_of_200000_blocks_costs_what_it_holds(spark):
     assert tuple(found) == (1_000_000, 0)
 
 
+def test_checksum_of_a_file_larger_than_an_array(spark, tmp_path):
+    size = 3 << 30
+    if shutil.disk_usage(tmp_path).free < 8 << 30:
+        pytest.skip("little disk")
+    with open(tmp_path / "huge.bin", "wb") as f:  # sparse
+        f.truncate(size)
+        f.seek(size - 5)
+        f.write(b"ended")
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    got = {r.path.rsplit("/", 1)[1]: (r.n_bytes, r.sha256) for r in checksums.file_digests(spark, str(tmp_path), "*.bin").collect()}
+    with open(tmp_path / "huge.bin", "rb") as f:
+        assert got["huge.bin"] == (size, hashlib.file_digest(f, "sha256").hexdigest())
+    assert got["small.bin"] == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_embedding_resumes_and_replaces_by_partition(spark, tmp_path):
+    store = str(tmp_path / "store")
+    texts = spark.createDataFrame([(k, i, 0, "w" * i) for k in ("unit", "block") for i in range(1, 8)], "kind string, key long, part long, text string")
+    embed = lambda rows: np.array([[len(t), 1.0] for t in rows])
+    assert vectorstore.embed_missing(texts.where("key < 4"), store, embed, "m") == 6
+    assert vectorstore.embed_missing(texts, store, embed, "m") == 8
+    files = sorted(p.name for p in (tmp_path / "store").rglob("*.parquet"))
+    assert vectorstore.embed_missing(texts, store, embed, "m") == 0
+    assert files == sorted(p.name for p in (tmp_path / "store").rglob("*.parquet"))
+    assert vectorstore.embed_missing(texts, store, embed, "other") == 14
+    vectorstore.replace_vectors(spark.createDataFrame([(1, 0, 2, [1.0, 0.0], "m", "unit")], vectorstore.SCHEMA), store)
+    counts = {(r.model_id, r.kind): r["count"] for r in vectorstore.read_store(spark, store).groupBy("model_id", "kind").count().collect()}
+    assert counts == {("m", "unit"): 1, ("m", "block"): 7, ("other", "unit"): 7, ("other", "block"): 7}
+    report = vectorstore.retain_model(spark, store, str(tmp_path / "kept"), "other").collect()
+    assert {(r.model_id, r.kind, r.vectors_before, r.vectors_after, r.bytes_after) for r in report} == {
+        ("m", "unit", 1, 0, 0), ("m", "block", 7, 0, 0), ("other", "unit", 7, 7, 56), ("other", "block", 7, 7, 56)}
+
+
 def test_automaton_equals_plain_search():
     rng = random.Random(5)
     draw = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
@@ -493,7 +527,7 @@ def test_readers_and_writers_round_trip(spark, tmp_path):
     assert sums == {f"sha256_{f.name}": hashlib.sha256(f.read_bytes()).hexdigest() for f in files}
     vectors = spark.createDataFrame([("a", "unit", 1), ("b", "unit", 2)], "model_id string, kind string, key long")
     vectors.write.partitionBy("model_id", "kind").parquet(str(tmp_path / "v"))
-    exports.retain_model(spark, str(tmp_path / "v"), str(tmp_path / "kept"), "b")
+    vectorstore.retain_model(spark, str(tmp_path / "v"), str(tmp_path / "kept"), "b")
     assert [(r.model_id, r.key) for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == [("b", 2)]
 
 
