@@ -214,13 +214,17 @@ def phrase_matches(index: KeywordIndex, asked: DataFrame) -> DataFrame:
     ranked = phrase.withColumn("_turn", F.row_number().over(order))
     found = _postings(index, "unit_id", "unit_len", "positions")
     starts = F.filter(F.transform("positions", lambda p: p - F.col("at")), lambda p: p >= 0).alias("starts")
-    begun = ranked.where("_turn = 1").join(found, ["bucket", "word"]).select("term", "width", "unit_id", "unit_len", starts)
+    begun = stored(ranked.where("_turn = 1").join(found, ["bucket", "word"]).select(
+        "term", "width", "unit_id", "unit_len", starts), "begun")
     tried = begun.select("term", "width", "unit_id", "unit_len").join(
         ranked.where("_turn > 1").select("term", "at", "word", "bucket"), "term")
     others = tried.join(found.drop("unit_len"), ["bucket", "word", "unit_id"]).select("term", "width", "unit_id", "unit_len", starts)
-    placed = begun.unionByName(others).select("term", "width", "unit_id", "unit_len", F.explode("starts").alias("start"))
-    whole = placed.groupBy("term", "width", "unit_id", "unit_len", "start").agg(F.count(F.lit(1)).alias("n")).where("n = width")
-    return whole.groupBy("term", "unit_id", "unit_len").agg(F.count(F.lit(1)).alias("tf"))
+    every = begun.unionByName(others).groupBy("term", "width", "unit_id", "unit_len").agg(F.collect_list("starts").alias("held"))
+    # a place where the phrase begins is one that each of its words allows
+    common = F.aggregate(
+        F.slice("held", 2, F.greatest(F.col("width") - 1, F.lit(1))), F.element_at("held", 1), lambda a, b: F.array_intersect(a, b))
+    return every.where(F.size("held") == F.col("width")).select(
+        "term", "unit_id", "unit_len", F.size(common).cast("long").alias("tf")).where("tf > 0")
 
 
 def matches(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
