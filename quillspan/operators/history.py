@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +59,35 @@ def _text_of(entries: DataFrame):
     return F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("answer", F.lit("")))
 
 
+def stored_stems(path: str, stem: Stemmer) -> Stemmer:
+    """A stemmer that keeps the stem of every word it has met in a table (term, stem) under ``path``.
+
+    Words that the table has are joined to it; only new ones are stemmed, and added. The table lies beside an index and is
+    shared by its building, its maintenance and its searches.
+    """
+
+    def run(vocabulary: DataFrame) -> DataFrame:
+        spark = vocabulary.sparkSession
+        words_ = cut_lineage(vocabulary.select("term").where("term IS NOT NULL").distinct())
+        known = _read_or_none(spark, path)
+        new = words_ if known is None else words_.join(known, "term", "left_anti")
+        if not new.isEmpty():
+            stem(new).select("term", "stem").write.mode("append").parquet(path)
+        held = _read_or_none(spark, path)
+        return stem(words_) if held is None else words_.join(held, "term")
+
+    return run
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("term string, stem string").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def entry_postings(entries: DataFrame, stem: Stemmer | None = None) -> DataFrame:
     """(id, term, tf) over question and answer; with ``stem`` the distinct words are stemmed once and joined back."""
     rows = entries.select("id", F.explode(words(_text_of(entries))).alias("term"))
@@ -110,10 +140,15 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.hash("id"), F.lit(buckets)))
 
 
+def _by_range(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ranges of bucket and word: a bucket is written by as many tasks as its size asks for."""
+    order = ["bucket", "term", "id"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Store the index by buckets of ids, so that a change rewrites the buckets it touches and no others."""
-    _bucketed(postings, buckets).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy(
-        "bucket").parquet(path)
+    _by_range(_bucketed(postings, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def update_postings(path: str, changed: DataFrame, deleted: DataFrame, buckets: int = BUCKETS, stem: Stemmer | None = None) -> None:
@@ -124,7 +159,7 @@ def update_postings(path: str, changed: DataFrame, deleted: DataFrame, buckets:
     numbers = [r["bucket"] for r in touched.collect()]  # at most ``buckets`` numbers
     held = stored.where(F.col("bucket").isin(numbers)).select("id", "term", "tf")
     fresh = cut_lineage(_bucketed(maintain_postings(held, changed, deleted, stem), buckets))
-    fresh.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").option(
+    _by_range(fresh).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     emptied = set(numbers) - {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
     for number in emptied:

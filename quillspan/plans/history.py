@@ -136,6 +136,43 @@ def q_history_search(spark, sf):
     return H.search(history_index(spark, sf), _turns(spark, sf), pairs.unionByName(empty))
 
 
+#: Forms that the entries get, and the stems they share with the searched forms.
+FORMS = {"forgiveness": "forgiv", "forgiving": "forgiv", "worries": "worri", "worried": "worri", "hopeful": "hope",
+         "hoping": "hope", "lantern": "lantern"}
+SEARCHED = {"forgive": "forgiv", "worry": "worri", "hopes": "hope", "lanterns": "lantern", "absent": "absent"}
+_FORM = f"list_value({', '.join(repr(f) for f in FORMS)})"
+
+
+@query("history_search_stems", f"""
+WITH stems AS (SELECT * FROM (VALUES {', '.join(f"('{w}', '{s}')" for w, s in (FORMS | SEARCHED).items())}) AS v(word, stem)),
+e AS (SELECT conv_id * {TURNS} + turn AS id, conv_id * {TURNS} + turn AS k FROM conversations),
+p AS (
+  SELECT DISTINCT id, stem FROM (
+    SELECT id, unnest([{_FORM}[k % 7 + 1], {_FORM}[(k // {TURNS}) % 7 + 1]]) AS word FROM e) JOIN stems USING (word)),
+f AS (SELECT unnest({list(SEARCHED)!r}) AS word),
+s AS (
+  SELECT a.word || ' ' || b.word AS query_id, list_distinct([x.stem, y.stem]) AS t
+  FROM f a, f b JOIN stems x ON x.word = a.word JOIN stems y ON y.word = b.word),
+q AS (SELECT query_id, len(t) AS n, unnest(t) AS stem FROM s),
+m AS (SELECT query_id, id FROM q JOIN p USING (stem) GROUP BY query_id, id, n HAVING count(*) = n)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) - 1 AS pos FROM m QUALIFY pos < 100""")
+def q_history_search_stems(spark, sf):
+    """Every entry gets two word forms; all pairs of other forms are searched. Stems are kept beside the postings."""
+    from quillspan.functions.stem import porter
+    from quillspan.operators.keyword import stem_vocabulary
+
+    forms = F.array(*[F.lit(f) for f in FORMS])
+    form = lambda n: F.get(forms, (n % len(FORMS)).cast("int"))
+    turns = _turns(spark, sf).withColumn(
+        "answer", F.concat_ws(" ", "answer", form(F.col("id")), form(F.call_function("div", F.col("id"), F.lit(TURNS)))))
+    folder = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    stems = H.stored_stems(f"{folder}/stems", stem_vocabulary(porter))
+    H.write_postings(H.entry_postings(turns, stems), f"{folder}/postings")
+    asked = spark.createDataFrame([(f"{a} {b}",) for a in SEARCHED for b in SEARCHED], "query_id string")
+    searches = asked.withColumn("text", F.col("query_id"))
+    return H.search(spark.read.parquet(f"{folder}/postings"), turns, searches, stem=stems)
+
+
 @query("index_maintenance", f"""
 WITH e AS (
   SELECT conv_id * {TURNS} + turn AS id, role || ' ' || CASE WHEN role = 'user' AND turn > 0 THEN 'revised ' || text ELSE text END AS t

@@ -394,6 +394,31 @@ def test_embedding_resumes_and_replaces_by_partition(spark, tmp_path):
         ("m", "unit", 1, 0, 0), ("m", "block", 7, 0, 0), ("other", "unit", 7, 7, 56), ("other", "block", 7, 7, 56)}
 
 
+def test_history_search_finds_other_forms(spark, tmp_path):
+    met = []
+
+    def stem(vocabulary):
+        met.append({r.term for r in vocabulary.collect()})
+        return keyword.stem_vocabulary(porter)(vocabulary)
+
+    stems = history.stored_stems(str(tmp_path / "stems"), stem)
+    entries = spark.createDataFrame([
+        (1, "What is said about anxiety?", "The text speaks of worry and care [P1]."), (2, "How should I forgive?", "Forgiveness is commanded [P1]."),
+        (3, None, "a walking pace")], "id long, question string, answer string")
+    history.write_postings(history.entry_postings(entries, stems), str(tmp_path / "p"))
+    asked = spark.createDataFrame([("forgiving",), ("worries",), ("Forgiveness commands",), ("walked",), ("nothingatall",), ("  ",), ('"unclosed',)], "text string")
+    asked = asked.withColumn("query_id", F.col("text"))
+    found = lambda: {(r.query_id, r.id) for r in history.search(spark.read.parquet(str(tmp_path / "p")), entries, asked, stem=stems).collect()}
+    assert found() == {("forgiving", 2), ("worries", 1), ("Forgiveness commands", 2), ("walked", 3), ("  ", 1), ("  ", 2), ("  ", 3)}
+    before = len(met)
+    found()
+    assert len(met) == before  # no word is stemmed twice
+    changed = spark.createDataFrame([(3, "walks", "forgave")], "id long, question string, answer string")
+    history.update_postings(str(tmp_path / "p"), changed, spark.createDataFrame([(2,)], "id long"), stem=stems)
+    assert met[-1] == {"walks", "forgave"}
+    assert found() == {("worries", 1), ("walked", 3), ("  ", 1), ("  ", 2), ("  ", 3)}
+
+
 def test_automaton_equals_plain_search():
     rng = random.Random(5)
     draw = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
