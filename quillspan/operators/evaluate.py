@@ -209,22 +209,32 @@ def gold_split(ranges: DataFrame) -> DataFrame:
     ).drop("strong")
 
 
-def gold_invariants(gold: DataFrame, chapter_sizes: DataFrame, layout: KeyLayout = CLASSIC) -> DataFrame:
-    """(rule, violations) of a gold set: query_id, kind, first_unit, unit_ids, agreement."""
+def gold_invariants(gold: DataFrame, chapter_sizes: DataFrame, works: DataFrame, scopes: DataFrame,
+                    known_origins: tuple[str, ...], layout: KeyLayout = CLASSIC) -> DataFrame:
+    """(rule, violations) of a gold set.
+
+    ``gold``: query_id, kind, first_unit, unit_ids, agreement, origins, collection (the label it carries) ·
+    ``chapter_sizes``: work_id, chapter, chapter_size · ``works``: work_id, collection · ``scopes``: query_id, both
+    (whether the question reads both collections). A unit in a must and a should passage of one question is a violation,
+    also where the passages differ. Passages of the secondary collection have one origin at hand and need no second.
+    """
     key = F.col("unit_ids")
-    span = F.array_max(key) - F.array_min(key)
-    one_chapter = F.call_function("div", F.array_max(key), F.lit(layout.ordinal_radix)) == F.call_function(
-        "div", F.array_min(key), F.lit(layout.ordinal_radix)
-    )
-    sized = gold.withColumn("work_id", layout.work(F.col("first_unit"))).withColumn(
-        "chapter", layout.chapter(F.col("first_unit"))
-    ).join(chapter_sizes, ["work_id", "chapter"], "left")
+    chapter = lambda u: F.call_function("div", u, F.lit(layout.ordinal_radix))
+    located = gold.withColumn("work_id", layout.work(F.col("first_unit"))).withColumn(
+        "chapter", layout.chapter(F.col("first_unit")))
+    sized = located.join(chapter_sizes, ["work_id", "chapter"], "left").join(
+        works.select("work_id", F.col("collection").alias("own")), "work_id", "left").join(scopes, "query_id", "left")
+    known = F.array(*[F.lit(o) for o in known_origins])
+    secondary = F.coalesce(F.col("own") == "secondary", F.lit(False))
     rows = sized.agg(
-        F.count_if(~one_chapter).alias("one_chapter"),
-        F.count_if(F.size("unit_ids") >= F.coalesce("chapter_size", F.lit(0))).alias("whole_chapter"),
+        F.count_if(chapter(F.array_max(key)) != chapter(F.array_min(key))).alias("one_chapter"),
+        F.count_if((F.size("unit_ids") >= F.coalesce("chapter_size", F.lit(0))) & (F.coalesce("chapter_size", F.lit(0)) != 1)).alias("whole_chapter"),
         F.count_if(key != F.array_sort(key)).alias("sorted"),
-        F.count_if(span >= RANGE_LENGTH).alias("length"),
-        F.count_if((F.col("kind") == "must") & (F.col("agreement") < 2)).alias("corroborated"),
+        F.count_if(F.array_max(key) - F.array_min(key) >= RANGE_LENGTH).alias("length"),
+        F.count_if((F.col("kind") == "must") & (F.col("agreement") < 2) & ~secondary).alias("corroborated"),
+        F.count_if((F.size("origins") == 0) | (F.size(F.array_except("origins", known)) > 0)).alias("unknown_origin"),
+        F.count_if(~F.col("collection").eqNullSafe(F.col("own"))).alias("collection_label"),
+        F.count_if(secondary & ~F.coalesce("both", F.lit(False))).alias("secondary_out_of_scope"),
     )
     per_query = gold.groupBy("query_id").agg(
         F.count_if(F.col("kind") == "must").alias("n_must"), F.count_if(F.col("kind") == "should").alias("n_should"),
@@ -232,12 +242,34 @@ def gold_invariants(gold: DataFrame, chapter_sizes: DataFrame, layout: KeyLayout
     ).agg(
         F.count_if(F.col("n_must") > MUST_MAX).alias("too_many_must"),
         F.count_if(F.col("n_should") > SHOULD_MAX).alias("too_many_should"),
+        F.count_if(F.col("n_should") == 0).alias("no_should"),
         F.count_if(F.col("n") != F.col("n_distinct")).alias("duplicates"),
     )
+    kinds = gold.select("query_id", "kind", F.explode("unit_ids").alias("unit_id")).groupBy("query_id", "unit_id").agg(
+        F.count_distinct("kind").alias("kinds"))
+    shared = kinds.agg(F.count_if(F.col("kinds") > 1).alias("must_in_should"))
     stacked = lambda df: df.selectExpr(
         f"stack({len(df.columns)}, " + ", ".join(f"'{c}', {c}" for c in df.columns) + ") AS (rule, violations)"
     )
-    return stacked(rows).unionByName(stacked(per_query))
+    return stacked(rows).unionByName(stacked(per_query)).unionByName(stacked(shared))
+
+
+def config_report(results: DataFrame, evidence: tuple[str, ...]) -> DataFrame:
+    """(model, config, evidence, questions, at_10, at_25, at_50, mean_seconds) of result rows.
+
+    ``results``: model, config, question_id, r10, r25, r50, seconds. Means skip missing values. ``evidence`` names the
+    configurations that use no path the gold lists were drawn from.
+    """
+    means = {f"at_{k}": F.bround(F.avg(f"r{k}"), 6) for k in CUTS} | {"mean_seconds": F.bround(F.avg("seconds"), 6)}
+    return results.groupBy("model", "config").agg(
+        F.count_distinct("question_id").alias("questions"), *[m.alias(n) for n, m in means.items()]
+    ).withColumn("evidence", F.col("config").isin(*evidence))
+
+
+def question_report(results: DataFrame, config: str, models: list[str]) -> DataFrame:
+    """(question_id, one column per model): recall at 25 under one configuration."""
+    shown = results.where(F.col("config") == config).groupBy("question_id").pivot("model", models).agg(F.bround(F.avg("r25"), 6))
+    return shown.select("question_id", *models)
 
 
 # --- runs --------------------------------------------------------------------------

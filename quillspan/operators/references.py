@@ -165,10 +165,10 @@ def resolve_ranges(refs: DataFrame, works: DataFrame, units: DataFrame, key: str
 
 #: Fixed values of the input's grammar: how a list item begins with a work's name, and the four forms of its numbers.
 _NAME = r"^\s*((?:[123]\s*)?[A-Za-z]+\.?)\s*"
-_FULL = r"^(\d+)\s*:\s*(\d+)\s*-\s*(?:(\d+)\s*:\s*)?(\d+)$"
-_POINT = r"^(\d+)\s*:\s*(\d+)$"
-_SPAN = r"^(\d+)\s*-\s*(\d+)$"
-_SINGLE = r"^(\d+)$"
+_ITEM_FULL = r"^(\d+)\s*:\s*(\d+)\s*-\s*(?:(\d+)\s*:\s*)?(\d+)$"
+_ITEM_POINT = r"^(\d+)\s*:\s*(\d+)$"
+_ITEM_SPAN = r"^(\d+)\s*-\s*(\d+)$"
+_ITEM_SINGLE = r"^(\d+)$"
 
 
 def citation_items(lists: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def citation_items(lists: DataFrame, aliases: DataFrame) -> DataFrame:
         "work_run", F.sum(F.when(F.col("opens").isNotNull(), 1).otherwise(0)).over(upto)
     ).withColumn("work_id", F.coalesce(F.last("opens", ignorenulls=True).over(upto), "ctx_work"))
     number = lambda pattern, group: F.regexp_extract("numbers", pattern, group)
-    full, point, span, single = _FULL, _POINT, _SPAN, _SINGLE
+    full, point, span, single = _ITEM_FULL, _ITEM_POINT, _ITEM_SPAN, _ITEM_SINGLE
     asked = lambda pattern, group: F.when(number(pattern, group) != "", number(pattern, group).cast("long"))
     c1 = F.coalesce(asked(full, 1), asked(point, 1))
     v1 = F.coalesce(asked(full, 2), asked(point, 2))

@@ -428,22 +428,75 @@ def q_gold_split(spark, sf):
 
 
 @query("gold_invariants", I.with_sql(*DRAFT_SQL, RANGES_SQL, """
+labelled AS (
+  SELECT s.*, s.query_id % 4 > 0 AS two, w.collection AS own,
+         CASE WHEN "rank" % 7 = 3 THEN 'primary' ELSE w.collection END AS label
+  FROM split s LEFT JOIN works w ON w.work_id = first_unit // 1000000),
 cs AS (SELECT unit_id // 1000 AS place, count(*) AS chapter_size FROM units GROUP BY 1),
 pq AS (SELECT query_id, count(*) FILTER (kind = 'must') AS m, count(*) FILTER (kind = 'should') AS s, count(*) AS n,
-              count(DISTINCT first_unit) AS d FROM split GROUP BY 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
+              count(DISTINCT first_unit) AS d FROM split GROUP BY 1),
+ku AS (SELECT query_id, unit_id, count(DISTINCT kind) AS k FROM (SELECT query_id, kind, unnest(unit_ids) AS unit_id FROM split) GROUP BY 1, 2)
+""").replace("WITH ", "WITH RECURSIVE ", 1) + """
 SELECT 'one_chapter' AS rule, count(*) FILTER (list_max(unit_ids) // 1000 <> list_min(unit_ids) // 1000) AS violations FROM split
-UNION ALL SELECT 'whole_chapter', count(*) FILTER (len(unit_ids) >= coalesce(chapter_size, 0)) FROM split LEFT JOIN cs ON place = first_unit // 1000
+UNION ALL SELECT 'whole_chapter', count(*) FILTER (len(unit_ids) >= coalesce(chapter_size, 0) AND coalesce(chapter_size, 0) <> 1) FROM split LEFT JOIN cs ON place = first_unit // 1000
 UNION ALL SELECT 'sorted', count(*) FILTER (unit_ids <> list_sort(unit_ids)) FROM split
 UNION ALL SELECT 'length', count(*) FILTER (list_max(unit_ids) - list_min(unit_ids) >= 12) FROM split
-UNION ALL SELECT 'corroborated', count(*) FILTER (kind = 'must' AND agreement < 2) FROM split
+UNION ALL SELECT 'corroborated', count(*) FILTER (kind = 'must' AND agreement < 2 AND NOT coalesce(own = 'secondary', FALSE)) FROM labelled
+UNION ALL SELECT 'unknown_origin', count(*) FILTER (len(origins) = 0 OR len(list_filter(origins, lambda o: o NOT IN ('topic', 'keyword'))) > 0) FROM split
+UNION ALL SELECT 'collection_label', count(*) FILTER (label IS DISTINCT FROM own) FROM labelled
+UNION ALL SELECT 'secondary_out_of_scope', count(*) FILTER (coalesce(own = 'secondary', FALSE) AND NOT two) FROM labelled
 UNION ALL SELECT 'too_many_must', count(*) FILTER (m > 8) FROM pq
 UNION ALL SELECT 'too_many_should', count(*) FILTER (s > 12) FROM pq
-UNION ALL SELECT 'duplicates', count(*) FILTER (n <> d) FROM pq""")
+UNION ALL SELECT 'no_should', count(*) FILTER (s = 0) FROM pq
+UNION ALL SELECT 'duplicates', count(*) FILTER (n <> d) FROM pq
+UNION ALL SELECT 'must_in_should', count(*) FILTER (k > 1) FROM ku""")
 def q_gold_invariants(spark, sf):
+    """Every seventh range is labelled primary, a fourth of the questions read one collection, and one origin is unlisted."""
     key = F.col("unit_id")
     sizes = I.shelf_units(spark, sf).groupBy(CLASSIC.work(key).alias("work_id"), CLASSIC.chapter(key).alias("chapter")).agg(
         F.count(F.lit(1)).alias("chapter_size"))
-    return E.gold_invariants(E.gold_split(draft_ranges(spark, sf)).drop("work_id", "chapter"), sizes)
+    works = I.shelf_works(spark, sf).select("work_id", "collection")
+    split = E.gold_split(draft_ranges(spark, sf)).drop("work_id", "chapter").withColumn("work_id", CLASSIC.work(F.col("first_unit")))
+    gold = split.join(works, "work_id", "left").withColumn(
+        "collection", F.when(F.col("rank") % 7 == 3, "primary").otherwise(F.col("collection"))).drop("work_id")
+    scopes = gold.select("query_id").distinct().withColumn("both", F.col("query_id") % 4 > 0)
+    return E.gold_invariants(gold, sizes, works, scopes, ("topic", "keyword"))
+
+
+# --- result tables --------------------------------------------------------------------
+
+RESULTS_SQL = """
+results AS (
+  SELECT 'm' || (user_id % 3) AS model, chr(CAST(65 + k % 7 AS INTEGER)) AS config, event_id % 40 AS question_id,
+         CASE WHEN k % 11 <> 0 THEN k / 100 END AS r10, least(1.0::DOUBLE, k / 80) AS r25, least(1.0::DOUBLE, k / 60) AS r50,
+         "value" AS seconds
+  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))
+"""
+
+
+def result_rows(spark, sf) -> DataFrame:
+    """Every event as one result of a (model, configuration, question)."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    return table(spark, sf, "events").withColumn("k", k).select(
+        F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), F.char(65 + F.col("k") % 7).alias("config"),
+        (F.col("event_id") % 40).alias("question_id"), F.when(F.col("k") % 11 != 0, F.col("k") / 100).alias("r10"),
+        F.least(F.lit(1.0), F.col("k") / 80).alias("r25"), F.least(F.lit(1.0), F.col("k") / 60).alias("r50"),
+        F.col("value").alias("seconds"))
+
+
+@query("config_report", I.with_sql(RESULTS_SQL) + """
+SELECT model, config, config IN ('A', 'B', 'C') AS evidence, count(DISTINCT question_id) AS questions,
+       round_even(avg(r10), 6) AS at_10, round_even(avg(r25), 6) AS at_25, round_even(avg(r50), 6) AS at_50,
+       round_even(avg(seconds), 6) AS mean_seconds FROM results GROUP BY 1, 2""")
+def q_config_report(spark, sf):
+    return E.config_report(result_rows(spark, sf), ("A", "B", "C"))
+
+
+@query("question_report", I.with_sql(RESULTS_SQL) + """
+SELECT question_id, round_even(avg(r25) FILTER (model = 'm0'), 6) AS m0, round_even(avg(r25) FILTER (model = 'm1'), 6) AS m1,
+       round_even(avg(r25) FILTER (model = 'm2'), 6) AS m2 FROM results WHERE config = 'C' GROUP BY 1""")
+def q_question_report(spark, sf):
+    return E.question_report(result_rows(spark, sf), "C", ["m0", "m1", "m2"])
 
 
 # --- runs ----------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from quillspan.functions.keys import CLASSIC, WIDE
 from quillspan.functions.refs import reference
 from quillspan.operators import embedprep, present, quality
 from quillspan.plans import inputs as I
+from quillspan.plans import references as R
 from quillspan.plans import retrieval as P
 from quillspan.plans.registry import query
 from quillspan.session import checkpoint_dir
@@ -385,28 +386,41 @@ def q_embed_resume(spark, sf):
 
 # --- profiles and invariants -----------------------------------------------------------
 
-@query("index_profile", I.with_sql(I.CORPUS_WORKS_SQL, I.CORPUS_UNITS_SQL, I.EDGES_SQL, I.TOPICS_SQL) + """
-SELECT 'units' AS section, coalesce(collection, 'all') || '/' || coalesce(era, 'all') AS key, count(*) AS n FROM cunits JOIN cworks USING (work_id)
+SPOTS = [("SRC1", 2, 1), ("SRC2", 3, 1), ("SRC5", 6, 2), ("SRC3", 1, 1)]  # the last names no such place
+
+
+@query("index_profile", I.with_sql(I.CORPUS_WORKS_SQL, I.CORPUS_UNITS_SQL, I.CORPUS_BLOCKS_SQL, I.EDGES_SQL, I.TOPICS_SQL,
+                                   I.CITABLE_SQL, R.PLACES_SQL, R.CITE_SQL, f"""
+bridged AS (SELECT *, CASE WHEN ordinal % 9 = 4 THEN ordinal + 1 END AS ordinal_end FROM cunits),
+per AS (SELECT work_id, chapter, count(*) AS units, count(ordinal_end) AS bridges FROM bridged GROUP BY 1, 2),
+loc AS (SELECT * FROM per JOIN cworks USING (work_id)),
+blk AS (SELECT *, CASE WHEN heading IS NULL THEN 'paragraph' ELSE 'heading' END AS source FROM cblocks),
+tmem AS (SELECT CAST(label AS BIGINT) + 1 AS topic_id, {I.sql_key('vec_id')} AS unit_id FROM embeddings),
+spots AS (SELECT * FROM (VALUES {', '.join(str(p) for p in SPOTS)}) AS v(code, chapter, ordinal))""") + """
+SELECT 'works' AS section, coalesce(collection, 'all') || '/' || coalesce(era, 'all') AS key, count(*) AS n FROM cworks
 GROUP BY GROUPING SETS ((collection, era), (collection), ())
-UNION ALL SELECT 'chapters', 'distinct', count(DISTINCT (work_id, chapter)) FROM cunits
+UNION ALL SELECT 'chapters', coalesce(collection, 'all') || '/' || coalesce(era, 'all'), count(*) FROM loc GROUP BY GROUPING SETS ((collection, era), (collection), ())
+UNION ALL SELECT 'units', coalesce(collection, 'all') || '/' || coalesce(era, 'all'), CAST(sum(units) AS BIGINT) FROM loc GROUP BY GROUPING SETS ((collection, era), (collection), ())
+UNION ALL SELECT 'bridges', coalesce(collection, 'all') || '/' || coalesce(era, 'all'), CAST(sum(bridges) AS BIGINT) FROM loc GROUP BY GROUPING SETS ((collection, era), (collection), ())
+UNION ALL SELECT 'blocks', source, count(*) FROM blk GROUP BY 2
+UNION ALL SELECT 'blocks', CASE WHEN heading IS NULL THEN 'without heading' ELSE 'with heading' END, count(*) FROM blk GROUP BY 2
+UNION ALL SELECT 'blocks', 'works with heading', count(DISTINCT work_id) FROM blk WHERE heading IS NOT NULL
 UNION ALL SELECT 'edges', 'all', count(*) FROM edges UNION ALL SELECT 'edges', 'sources', count(DISTINCT from_id) FROM edges
 UNION ALL SELECT 'edges', 'targets', count(DISTINCT to_id) FROM edges
-UNION ALL SELECT 'topics', CASE WHEN parent_id IS NULL THEN 'root' ELSE 'leaf' END, count(*) FROM topics GROUP BY 2""")
+UNION ALL SELECT 'topics', CASE WHEN parent_id IS NULL THEN 'root' ELSE 'leaf' END, count(*) FROM topics GROUP BY 2
+UNION ALL SELECT 'topics', 'members', count(*) FROM tmem UNION ALL SELECT 'topics', 'member units', count(DISTINCT unit_id) FROM tmem
+UNION ALL SELECT 'topics', 'with members', count(DISTINCT topic_id) FROM tmem
+UNION ALL SELECT 'unresolved', 'all', count(*) FROM bad UNION ALL SELECT 'unresolved', reason, count(*) FROM bad GROUP BY 2
+UNION ALL SELECT 'spots', s.code || ' ' || s.chapter || ':' || s.ordinal, count(u.unit_id) FROM spots s
+  LEFT JOIN (SELECT code, chapter, ordinal, unit_id FROM cunits JOIN cworks USING (work_id)) u
+  ON u.code = s.code AND u.chapter = s.chapter AND u.ordinal = s.ordinal GROUP BY s.code, s.chapter, s.ordinal""")
 def q_index_profile(spark, sf):
-    units = I.corpus_units(spark, sf).select("work_id", "chapter")
-    per_chapter = units.groupBy("work_id", "chapter").agg(F.count(F.lit(1)).alias("n"))
-    named_ = per_chapter.join(I.corpus_works(spark, sf).select("work_id", "collection", "era"), "work_id")
-    sets = named_.groupingSets([["collection", "era"], ["collection"], []], "collection", "era").agg(F.sum("n").alias("n"))
-    label = lambda c: F.coalesce(F.col(c), F.lit("all"))
-    edges = I.edges(spark, sf)
-    count = lambda df, section, key: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), F.lit(key).alias("key"), "n")
-    topics = I.topics(spark, sf).groupBy(F.when(F.col("parent_id").isNull(), "root").otherwise("leaf").alias("key")).agg(
-        F.count(F.lit(1)).alias("n")).select(F.lit("topics").alias("section"), "key", "n")
-    return reduce(DataFrame.unionByName, [
-        sets.select(F.lit("units").alias("section"), F.concat(label("collection"), F.lit("/"), label("era")).alias("key"), "n"),
-        count(per_chapter, "chapters", "distinct"), count(edges, "edges", "all"),
-        count(edges.select("from_id").distinct(), "edges", "sources"), count(edges.select("to_id").distinct(), "edges", "targets"), topics,
-    ])
+    """Lines 4, 13, 22 … count as bridges over the next; blocks have a heading or begin at a paragraph."""
+    units = I.corpus_units(spark, sf).withColumn("ordinal_end", F.when(F.col("ordinal") % 9 == 4, F.col("ordinal") + 1))
+    blocks = I.corpus_blocks(spark, sf).withColumn("source", F.when(F.col("heading").isNull(), "paragraph").otherwise("heading"))
+    return quality.index_profile(
+        I.corpus_works(spark, sf), units, blocks, I.edges(spark, sf), I.topics(spark, sf), I.topic_units(spark, sf),
+        R.quarantined_citations(spark, sf), SPOTS)
 
 
 @query("index_invariants", I.with_sql(I.CORPUS_WORKS_SQL, I.CORPUS_UNITS_SQL, I.CORPUS_BLOCKS_SQL) + """
