@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,43 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that carries an input row past an operator.
+ROW = "whole_row"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(*needed: str, edits: tuple[str, ...] = ()) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators from documents to documents: extra columns go past them unseen, whatever their names.
+
+    The operator gets the ``needed`` columns and the row as one struct, and hands both on. Its ``edits`` replace the
+    row's columns; a column that it adds keeps its name, with underscores appended while the input has that name.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            names = docs.columns
+            row = F.struct(*[F.col(quoted(c)) for c in names]).alias(ROW)
+            made = operator(docs.select(*[F.col(c) for c in needed if c in names], row), *args, **options)
+            out = [F.col(c) if c in edits else F.col(ROW)[c].alias(c) for c in names]
+            taken = {c.lower() for c in names}
+            for added in made.columns:
+                if added == ROW or added in needed:
+                    continue
+                free = added
+                while free.lower() in taken:
+                    free += "_"
+                out.append(F.col(added).alias(free))
+            return made.select(*out)
+
+        return run
+
+    return wrap
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row.
 

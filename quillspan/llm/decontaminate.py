@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import load, once, stored, text_key
+from quillspan.llm.common import load, once, stored, text_key, whole_rows
 from quillspan.plans.registry import Builder
 
 WINDOW = 10
@@ -121,11 +121,13 @@ def _with_spans(docs: DataFrame, items: DataFrame, size: int, how: str) -> DataF
     return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_of"]), how)
 
 
+@whole_rows("doc_id", "text")
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Documents without any hit, columns unchanged."""
     return _with_spans(docs, items, size, "left_anti").select(*docs.columns)
 
 
+@whole_rows("doc_id", "text", edits=("text",))
 def cut_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Documents with the words of every hit (and the gaps between those words) taken out of the text."""
     met = _with_spans(docs, items, size, "left")

@@ -18,7 +18,7 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import SPACE, load, once, stored
+from quillspan.llm.common import ROW, SPACE, load, once, quoted, stored, whole_rows
 from quillspan.plans.registry import Builder
 
 _LOG = logging.getLogger(__name__)
@@ -53,7 +53,8 @@ def default_topic(text: Column, tokens: Column) -> Column:
 def with_topics(docs: DataFrame, topic=default_topic) -> DataFrame:
     """Add ``_tokens`` and ``_topic``."""
     counted = once(docs, _tokens=word_count(F.col("text")))
-    return counted.withColumn("_topic", topic(F.col("text"), F.col("_tokens")))
+    held = F.col(ROW)[topic].cast("string") if isinstance(topic, str) else topic(F.col("text"), F.col("_tokens"))
+    return counted.withColumn("_topic", held)
 
 
 def _targets(cells: DataFrame, margin: str, wanted: dict[str, float] | None, total: float) -> DataFrame:
@@ -155,11 +156,12 @@ def calibrate(raked: DataFrame, rate: float = RATE, rounds: int = LEVEL_ROUNDS)
     return rows.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.col("lift") * F.lit(level)), F.lit(rate))).drop("lift")
 
 
+@whole_rows("doc_id", "text", "source", "lang")
 def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE,
           topic=default_topic, capped: bool = True) -> DataFrame:
     """The drawn documents with ``_tokens``, ``_topic`` and ``_probability``.
 
-    ``capped`` rakes under the cells' tokens. Without it weights are capped after raking, as the SQL of the query states.
+    ``topic`` names a column of the documents, or makes a topic of the text and its number of words. ``capped`` rakes under the cells' tokens. Without it weights are capped after raking, as the SQL of the query states.
     """
     made = with_topics(docs, topic)
     named = ["_source", "_lang", "_topic"]
@@ -179,7 +181,7 @@ def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the drawn documents, columns unchanged."""
-    return drawn(docs, **options).select(*docs.columns)
+    return drawn(docs, **options).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import paragraph_dedup
-from quillspan.llm.common import SPACE, components, load, merged, stored, text_key
+from quillspan.llm.common import SPACE, components, load, merged, stored, text_key, whole_rows
 from quillspan.plans.registry import Builder
 
 MAX_BITS = 3
@@ -198,6 +198,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@whole_rows("doc_id", "text")
 def keep_first(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document of each component stays, that with the smallest id; columns unchanged.
 
@@ -243,6 +244,7 @@ def similar(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     return paragraph_dedup.clusters(units, min_words=1, similarity=similarity, more_pairs=within).select("id", "key", "keep")
 
 
+@whole_rows("doc_id", "text")
 def keep_similar_first(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document of each group of similar ones stays, that with the least id; columns unchanged."""
     found = stored(similar(docs).distinct())

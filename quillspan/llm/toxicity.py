@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import least_hashed, load, stored
+from quillspan.llm.common import least_hashed, load, stored, whole_rows
 from quillspan.plans.registry import Builder
 
 PER_CLASS = 3_000
@@ -288,6 +288,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         kernel, f"doc_id {named}, score double, neighbours array<struct<doc_id:{named},similarity:double,toxic:int>>")
 
 
+@whole_rows("text")
 def reject(docs: DataFrame, index: Index, threshold: float = REJECT) -> DataFrame:
     """Pipeline stage: rows scored under ``threshold``, columns unchanged; the decision needs no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(index)

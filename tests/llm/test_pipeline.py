@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_queries_are_published():
-    assert {n.split("_")[0] for n in catalogue.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in catalogue.queries()} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
