@@ -16,6 +16,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import ROW, SPACE, load, once, quoted, stored, whole_rows
@@ -28,7 +29,7 @@ FLATTEN = 0.5
 RATE = 0.5
 ROUNDS = 10
 LEVEL_ROUNDS = 12
-#: Rounds of raking under the cells' tokens, if it does not settle before.
+#: Rounds of raking under the cells' tokens.
 CAPPED_ROUNDS = 20
 #: A target missed by more than this part of it is logged.
 MISS = 0.01
@@ -96,25 +97,23 @@ def rake_capped(cells: DataFrame, targets: dict[str, dict[str, float]] | None =
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     cap = F.col("tokens") / F.lit((total or 1.0) * rate)
     now = cells.withColumn("weight", F.col("tokens") / F.lit(total or 1.0))
-    goals = {m: _targets(cells, m, (targets or {}).get(m), total or 1.0) for m in MARGINS}
+    for m in MARGINS:
+        goal = _targets(cells, m, (targets or {}).get(m), total or 1.0).withColumnRenamed("goal", f"goal_{m}")
+        now = now.join(goal, now[m].eqNullSafe(goal["value"]), "left").drop("value")
+    now = stored(now)
     full = F.col("weight") >= cap
     for _ in range(rounds):
-        moved = []
-        for margin in MARGINS:
-            sums = now.groupBy(F.col(margin).alias("value")).agg(
-                F.sum(F.when(full, cap).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"))
-            goal = goals[margin].withColumnRenamed("value", "goal_value")
-            rest = F.col("goal") - F.col("fixed")
+        for m in MARGINS:
+            of = W.partitionBy(m)  # cells only
+            fixed = F.sum(F.when(full, cap).otherwise(0.0)).over(of)
+            free = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(of)
+            now = now.withColumns({"fixed": fixed, "free": free})
+            rest = F.col(f"goal_{m}") - F.col("fixed")
             factor = F.when((F.col("free") > 0) & (rest > 0), F.least(F.lit(100.0), rest / F.col("free"))).when(
-                rest < 0, F.col("goal") / (F.col("fixed") + F.col("free"))).otherwise(F.lit(1.0))
-            step = stored(sums.join(goal, sums["value"].eqNullSafe(goal["goal_value"])).select("value", factor.alias("factor")))
-            now = now.join(step, now[margin].eqNullSafe(step["value"]), "left").select(
-                *cells.columns, (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"))
-            moved.append(step.select(F.abs(F.col("factor") - 1).alias("by")))
+                rest < 0, F.col(f"goal_{m}") / (F.col("fixed") + F.col("free"))).otherwise(F.lit(1.0))
+            now = now.withColumn("weight", F.col("weight") * F.coalesce(factor, F.lit(1.0)))
         now = stored(now)
-        if (moved[0].unionByName(moved[1]).unionByName(moved[2]).agg(F.max("by")).first()[0] or 0.0) < 1e-4:
-            break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def shares(chances: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -158,17 +157,16 @@ def calibrate(raked: DataFrame, rate: float = RATE, rounds: int = LEVEL_ROUNDS)
 
 @whole_rows("doc_id", "text", "source", "lang")
 def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE,
-          topic=default_topic, capped: bool = True) -> DataFrame:
+          topic=default_topic) -> DataFrame:
     """The drawn documents with ``_tokens``, ``_topic`` and ``_probability``.
 
-    ``topic`` names a column of the documents, or makes a topic of the text and its number of words. ``capped`` rakes under the cells' tokens. Without it weights are capped after raking, as the SQL of the query states.
+    ``topic`` names a column of the documents, or makes a topic of the text and its number of words.
     """
     made = with_topics(docs, topic)
     named = ["_source", "_lang", "_topic"]
     made = made.withColumns({"_source": F.col("source"), "_lang": F.col("lang")})
     cells = stored(made.groupBy(*[F.col(n).alias(n[1:]) for n in named]).agg(F.sum("_tokens").alias("tokens")))
-    weighed = rake_capped(cells, targets, rate) if capped else rake(cells, targets)
-    given = stored(calibrate(weighed, rate))
+    given = stored(calibrate(rake_capped(cells, targets, rate), rate))
     _log_misses(given, targets)
     chances = stored(given.select(
         *[F.col(m).alias(f"c_{m}") for m in MARGINS], F.col("probability").alias("_probability")))
@@ -186,7 +184,7 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn documents with their cell and probability."""
-    return drawn(load(spark, sf_dir, "documents"), capped=False).select(
+    return drawn(load(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_probability", 6).alias("probability"))
 
@@ -206,11 +204,14 @@ w0 AS (SELECT cells.*, tokens / (SELECT total FROM total) AS weight FROM cells)"
         out.append(f"""g_{m} AS (SELECT {m} AS value, p / sum(p) OVER () AS goal FROM (
   SELECT {m}, pow(sum(tokens) / (SELECT total FROM total), {FLATTEN}) AS p FROM cells GROUP BY {m} HAVING sum(tokens) > 0))""")
     n = 0
-    for _ in range(ROUNDS):
+    cap = f"(tokens / ((SELECT total FROM total) * {RATE}))"
+    for _ in range(CAPPED_ROUNDS):
         for m in MARGINS:
-            out.append(f"""w{n + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens,
-  w.weight * coalesce(CASE WHEN s.now > 0 THEN g.goal / s.now ELSE 1.0 END, 1.0) AS weight
-  FROM w{n} w JOIN (SELECT {m} AS value, sum(weight) AS now FROM w{n} GROUP BY {m}) s ON w.{m} IS NOT DISTINCT FROM s.value
+            out.append(f"""w{n + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * coalesce(
+  CASE WHEN g.goal IS NULL THEN 1.0 WHEN s.free > 0 AND g.goal - s.fixed > 0 THEN least(100.0, (g.goal - s.fixed) / s.free)
+  WHEN g.goal - s.fixed < 0 THEN g.goal / (s.fixed + s.free) ELSE 1.0 END, 1.0) AS weight
+  FROM w{n} w JOIN (SELECT {m} AS value, sum(CASE WHEN weight >= {cap} THEN {cap} ELSE 0.0 END) AS fixed,
+    sum(CASE WHEN weight >= {cap} THEN 0.0 ELSE weight END) AS free FROM w{n} GROUP BY {m}) s ON w.{m} IS NOT DISTINCT FROM s.value
   LEFT JOIN g_{m} g ON g.value IS NOT DISTINCT FROM s.value)""")
             n += 1
     out.append(f"""lift AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0

@@ -35,7 +35,7 @@ def clashing(spark):
 def test_columns_with_internal_names_pass_untouched(spark, clashing, stage):
     docs, rows = clashing
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    labels = spark.createDataFrame([(0, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(0, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     made = {
         "lines": lambda: line_dedup.dedup_lines(docs), "copies": lambda: simhash_dedup.keep_similar_first(docs),
         "prints": lambda: simhash_dedup.keep_first(docs), "clean": lambda: decontaminate.clean_documents(docs, items),
