@@ -1,15 +1,18 @@
 """Paragraph deduplication by MinHash banding with exact verification.
 
-Paragraphs are the lines of a text with at least ``min_words`` words; with ``wrapped``, hard-wrapped lines are joined to
-one paragraph first, which has the number of its first line. The query takes every paragraph, from one word on; those of
-fewer words than a shingle only meet equal ones. Paragraphs with equal words collapse to one; each distinct one has a MinHash signature over its five-word shingles, cut into bands whose number is tuned to the
-wanted recall at the similarity limit. Paragraphs that share a band are compared to one of them first. Where groups are
-still apart, the band's paragraphs meet in a bounded run and leave a spanning forest, so a group of copies leaves rows in
-proportion to its size. All comparisons are the exact Jaccard similarity of shingles; of each connected group the first
+The query works on passages: the words of a whole text, cut where three words hash lowest among their neighbours, so that
+a repeated passage is cut alike wherever it stands, inside a longer line or hard-wrapped. Without ``passages`` the units are
+paragraphs: lines with at least ``min_words`` words or, with ``wrapped``, hard-wrapped lines joined to one, which has the
+number of its first line. Units of equal words collapse to one; each distinct one has a MinHash signature over its
+five-word shingles, cut into bands whose number is tuned to the wanted recall at the similarity limit. Units that share a
+band are compared to one of them first. Where groups are still apart, the band's units meet in a bounded run and leave a
+spanning forest, so a group of copies leaves rows in proportion to its size. All comparisons are the exact Jaccard
+similarity of shingles; of each connected group the first
 paragraph stays.
 
-Defined cases: null and empty texts have no paragraphs; a paragraph of fewer words than a shingle is one shingle; rows
-that share id and text count as one document; ties between ids are settled by the text's hash.
+Defined cases: null and empty texts have no paragraphs; a paragraph of fewer words than a shingle is one shingle, a passage
+of fewer takes no part; rows that share id and text count as one document; ties between ids are settled by the text's hash;
+extra columns are ignored; a text is cut whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import components, load, merged, stored, text_key
@@ -34,6 +38,12 @@ RECALL = 0.998
 ROWS = 4
 #: Rows of the table that keeps documents without candidates out of a shuffle.
 FILTER_ROWS = 1 << 20
+#: A passage begins where three words hash lowest among all within so many words: every 11 words or so.
+PASSAGE_REACH = 5
+#: Words of neighbouring passages with copies that the query takes for a repeated passage.
+PASSAGE_RUN = 16
+PASSAGE_RECALL = 0.98
+PASSAGE_ROWS = 3
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 400_000
@@ -91,9 +101,31 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
-def shingle_hashes(words: list[list[str]], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def passage_starts(flat: np.ndarray, reach: int = PASSAGE_REACH) -> np.ndarray:
+    """First words of the passages of a text, from its word hashes.
+
+    A passage begins at the text's first word and wherever three words hash lower than any other three that begin up to
+    ``reach`` words away. So the cuts follow the words at hand: a passage that stands in two texts is cut alike in both,
+    but for its ends, whatever stands around it and however lines are broken.
+    """
+    if len(flat) < 3:
+        return np.zeros(min(1, len(flat)), np.int64)
+    three = ((flat[:-2] * _MIX) ^ (flat[1:-1] >> np.uint64(7))) * _MIX + flat[2:]
+    three = (three ^ (three >> np.uint64(32))) * _MIX
+    most = np.full(reach, np.iinfo(np.uint64).max)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, three, most)), 2 * reach + 1)
+    least = (three < around[:, :reach].min(axis=1)) & (three <= around[:, reach + 1 :].min(axis=1))
+    starts = np.nonzero(least)[0]
+    return starts if len(starts) and starts[0] == 0 else np.append(0, starts)
+
+
+def shingle_hashes(words: list[list[str]], width: int = SHINGLE, flat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): the shingle hashes of all paragraphs in a row, and where each paragraph begins."""
-    flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64)
+    flat = word_hashes([w for ws in words for w in ws]) if flat is None else flat
     sizes = np.array([len(ws) for ws in words])
     begins = np.cumsum(sizes) - sizes
     counts = np.maximum(sizes - width + 1, 1)
@@ -116,9 +148,27 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray
     return np.stack([np.minimum.reduceat(mixed * a + b, starts) for a, b in zip(factors, shifts)], axis=1)
 
 
+def _lines(text: str | None, wrapped: bool) -> Iterator[tuple]:
+    """(number, words) of every paragraph."""
+    for no, line in enumerate(pieces(text, wrapped)):
+        yield no, words_of(line)
+
+
+def _passages(text: str | None) -> Iterator[tuple]:
+    """(first word, words, word hashes) of every passage."""
+    words = words_of(text or "")
+    flat = word_hashes(words)
+    starts = passage_starts(flat).tolist()
+    for a, b in zip(starts, [*starts[1:], len(words)]):
+        yield a, words[a:b], flat[a:b]
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, width: int, bands: int, rows: int,
-               wrapped: bool = False) -> DataFrame:
-    """(id, key, no, n, h1, h2, bands): every paragraph with enough words, its name and its band hashes."""
+               wrapped: bool = False, passages: bool = False) -> DataFrame:
+    """(id, key, no, n, h1, h2, bands): every paragraph with enough words, its name and its band hashes.
+
+    With ``passages`` the texts' passages take the place of paragraphs; ``no`` is then a passage's first word.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def emit(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
@@ -126,7 +176,8 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, widt
         banded = [ws for ws in words if len(ws) >= width]  # others only equal paragraphs, which have one name
         keys = np.zeros((len(banded), bands), np.uint64)
         if banded:
-            hashes, starts = shingle_hashes(banded, width)
+            flat = np.concatenate([f[3] for f in found if len(f[2]) >= width]) if passages else None
+            hashes, starts = shingle_hashes(banded, width, flat)
             sig = signatures(hashes, starts, bands * rows)
             for b in range(bands):
                 value = np.full(len(banded), b + 1, np.uint64)
@@ -146,11 +197,10 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, widt
         for batch in batches:
             found, held = [], 0
             for at, text in enumerate(batch.column(2).to_pylist()):
-                for no, line in enumerate(pieces(text, wrapped)):
-                    ws = words_of(line)
-                    if ws and len(ws) >= min_words:
-                        found.append((at, no, ws))
-                        held += len(ws)
+                for found_ in _passages(text) if passages else _lines(text, wrapped):
+                    if found_[1] and len(found_[1]) >= min_words:
+                        found.append((at, *found_))
+                        held += len(found_[1])
                     if held > _STEP:
                         yield emit(batch, found)
                         found, held = [], 0
@@ -162,7 +212,8 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, widt
         kernel, f"id {kind}, key long, no int, n int, h1 long, h2 long, bands array<long>")
 
 
-def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, wrapped: bool = False) -> DataFrame:
+def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, wrapped: bool = False,
+              passages: bool = False) -> DataFrame:
     """(h1, first, set): the distinct shingle hashes of one occurrence of each wanted paragraph."""
     lists = wanted.groupBy("first.id", "first.key").agg(F.collect_list(F.struct("h1", "first")).alias("wanted"))
     place = lambda key: F.pmod(F.hash(key), F.lit(FILTER_ROWS))
@@ -176,6 +227,21 @@ def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
             texts = pa.array(["\n".join(pieces(x, True)) for x in batch.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts, batch.column(1)], ["text", "wanted"])
 
+    first = wanted.schema["first"].dataType.simpleString()
+
+    def of_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1)
+            out = []
+            for text, some in zip(batch.column(0).to_pylist(), asked.to_pylist()):
+                cut = {no: (ws, flat) for no, ws, flat in _passages(text)}
+                out += [np.unique(shingle_hashes([cut[x["first"]["no"]][0]], width, cut[x["first"]["no"]][1])[0]).view(np.int64) for x in some]
+            flat = asked.flatten()
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("h1"), flat.field("first"), pa.array(out, pa.list_(pa.int64()))], ["h1", "first", "set"])
+
+    if passages:
+        return met.mapInArrow(of_passages, f"h1 long, first {first}, set array<long>").dropDuplicates(["h1", "first"])
     if wrapped:
         met = met.mapInArrow(join_lines, met.schema)
     cut = met.select(F.split("text", "\n").alias("parts"), "wanted").select("parts", F.explode("wanted").alias("x"))
@@ -187,14 +253,14 @@ def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["h1", "first", "set"])
 
-    return lines.mapInArrow(kernel, f"h1 long, first {wanted.schema['first'].dataType.simpleString()}, set array<long>")
+    return lines.mapInArrow(kernel, f"h1 long, first {first}, set array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int,
-             similarity: float, wrapped: bool = False) -> DataFrame:
+             similarity: float, wrapped: bool = False, passages: bool = False) -> DataFrame:
     """Edges (a, b) between first occurrences for those pairs of h1 numbers with enough common shingles."""
     ends = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    sets = stored(_shingles(docs, stored(groups.join(ends, "h1", "left_semi").select("h1", "first")), id_col, text_col, width, wrapped))
+    sets = stored(_shingles(docs, stored(groups.join(ends, "h1", "left_semi").select("h1", "first")), id_col, text_col, width, wrapped, passages))
     a = sets.select(F.col("h1").alias("a"), F.col("first").alias("first_a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("h1").alias("b"), F.col("first").alias("first_b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -234,14 +300,14 @@ def _connect(names: np.ndarray, group: np.ndarray, sets: list[np.ndarray], simil
 
 
 def across(docs: DataFrame, left: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int, similarity: float,
-           cap: int = RUN_CAP, wrapped: bool = False) -> DataFrame:
+           cap: int = RUN_CAP, wrapped: bool = False, passages: bool = False) -> DataFrame:
     """Edges (a, b) between first occurrences that join groups left apart in a band. ``left``: band, h1, group.
 
     The paragraphs of a band meet in one sorted run with their shingles and are compared there, so no pairs are written.
     A band with more than ``cap`` paragraphs is cut into parts, and every two parts are a run.
     """
     wanted = stored(groups.join(left.select("h1").distinct(), "h1", "left_semi").select("h1", "first"))
-    sets = stored(_shingles(docs, wanted, id_col, text_col, width, wrapped).select("h1", "set").dropDuplicates(["h1"]))
+    sets = stored(_shingles(docs, wanted, id_col, text_col, width, wrapped, passages).select("h1", "set").dropDuplicates(["h1"]))
     sizes = stored(left.groupBy("band").agg(F.ceil(F.count("*") / F.lit(cap)).cast("int").alias("parts")).where("parts > 1"))
     cut = left.join(sizes, "band", "left").select(
         "band", "h1", "group", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn(
@@ -277,13 +343,16 @@ def across(docs: DataFrame, left: DataFrame, groups: DataFrame, id_col: str, tex
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
              width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS,
-             wrapped: bool = False, more_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+             wrapped: bool = False, more_pairs: Callable[[DataFrame], DataFrame] | None = None,
+             passages: bool = False) -> DataFrame:
     """(id, key, no, n, keep): every paragraph that has a copy; ``keep`` is the place of the one that stays.
 
+    With ``passages`` these are passages, and ``no`` is the first word.
+
     ``more_pairs`` makes further candidates (a, b), h1 numbers, of the distinct paragraphs (h1, first); they are verified too.
     """
     bands = bands_for(similarity, recall, rows)
-    found = stored(paragraphs(docs, id_col, text_col, min_words, width, bands, rows, wrapped))
+    found = stored(paragraphs(docs, id_col, text_col, min_words, width, bands, rows, wrapped, passages))
     groups = stored(found.groupBy("h1", "h2").agg(
         F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("rows"), F.first("bands").alias("bands")))
     spread = groups.select("h1", F.explode("bands").alias("band"))
@@ -294,7 +363,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     if more_pairs:
         star = star.unionByName(more_pairs(groups.select("h1", "first")))
     star = stored(star.distinct())
-    edges = stored(verified(docs, star, groups, id_col, text_col, width, similarity, wrapped))
+    edges = stored(verified(docs, star, groups, id_col, text_col, width, similarity, wrapped, passages))
     grouped = stored(components(edges))
     # Bands whose lead has not brought all together go on.
     first = groups.select("h1", "first")
@@ -302,19 +371,31 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         "band", "h1", F.xxhash64(F.coalesce("component", "first")).alias("group"))
     open_ = of.groupBy("band").agg((F.min("group") != F.max("group")).alias("open")).where("open").select("band")
     left = stored(of.join(open_, "band"))
-    more = across(docs, left, groups, id_col, text_col, width, similarity, wrapped=wrapped)
+    more = across(docs, left, groups, id_col, text_col, width, similarity, wrapped=wrapped, passages=passages)
     whole = stored(components(edges.unionByName(more)))
     kept = groups.select("h1", "h2", "first", "rows").join(whole, F.col("first") == F.col("node"), "left").where(
         "rows > 1 or component is not null").select("h1", "h2", F.coalesce("component", "first").alias("keep"))
     return found.join(kept, ["h1", "h2"]).select("id", "key", "no", "n", "keep")
 
 
+def repeated_passages(docs: DataFrame, least: int = PASSAGE_RUN) -> DataFrame:
+    """(id, key, no, n, keep) of the passages that have a copy and stand in a run of such of ``least`` words or more.
+
+    Lines, headings and stock phrases that are shorter than that are no repeated passages.
+    """
+    found = clusters(docs, min_words=SHINGLE, passages=True, recall=PASSAGE_RECALL, rows=PASSAGE_ROWS).distinct()
+    inside = W.partitionBy("id", "key").orderBy("no")  # one document
+    apart = (F.col("no") != F.lag(F.col("no") + F.col("n")).over(inside)).cast("int")
+    runs = found.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(inside))
+    words = F.sum("n").over(W.partitionBy("id", "key", "run"))
+    return runs.withColumn("words", words).where(F.col("words") >= least).drop("run", "words")
+
+
 def op1_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph that has a copy, the paragraph that stands for it, and whether it is removed."""
-    found = clusters(load(spark, sf_dir, "documents"), min_words=1, wrapped=True)
-    return found.select(
-        F.col("id").alias("doc_id"), F.col("no").alias("paragraph"), F.col("n").cast("long").alias("n_words"),
-        F.col("keep.id").alias("component_doc_id"), F.col("keep.no").alias("component_paragraph"),
+    """Every passage of a repeated stretch (by its first word, from 0), the one that stands for it, and whether it goes."""
+    return repeated_passages(load(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("no").alias("first_word"), F.col("n").cast("long").alias("n_words"),
+        F.col("keep.id").alias("component_doc_id"), F.col("keep.no").alias("component_first_word"),
         (~F.struct("id", "key", "no").eqNullSafe(F.col("keep"))).alias("removed"))
 
 
