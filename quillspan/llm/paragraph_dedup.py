@@ -43,7 +43,7 @@ PASSAGE_REACH = 5
 #: Words of neighbouring passages with copies that the query takes for a repeated passage.
 PASSAGE_RUN = 16
 PASSAGE_RECALL = 0.98
-PASSAGE_ROWS = 3
+PASSAGE_ROWS = 2
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 400_000
@@ -354,11 +354,11 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     bands = bands_for(similarity, recall, rows)
     found = stored(paragraphs(docs, id_col, text_col, min_words, width, bands, rows, wrapped, passages))
     groups = stored(found.groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("rows"), F.first("bands").alias("bands")))
-    spread = groups.select("h1", F.explode("bands").alias("band"))
+        F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("rows")))
+    spread = found.select("h1", F.explode("bands").alias("band"))
     # Stored, so that the join below has a plain shuffle on both sides and a hot band can be split.
-    shared = stored(spread.groupBy("band").agg(F.count("*").alias("m"), F.min("h1").alias("lead")).where("m > 1"))
-    met = stored(spread.join(shared.select("band", "lead"), "band"))
+    shared = stored(spread.groupBy("band").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last"))
+    met = stored(spread.join(shared.select("band", "lead"), "band").distinct())
     star = met.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b"))
     if more_pairs:
         star = star.unionByName(more_pairs(groups.select("h1", "first")))
