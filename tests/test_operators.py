@@ -575,3 +575,14 @@ def test_a_job_started_elsewhere_finds_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_stream_with_state_runs_elsewhere_in_a_plain_session(tmp_path):
+    """Neither the job's folder nor a session made here is needed to resolve attempts."""
+    root = Path(__file__).resolve().parents[1]
+    code = (f"import sys; sys.path.insert(0, {str(root)!r})\nimport __spark_entry__ as e\nfrom pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "print('ROWS', e.queries()['stream_resolve'](s, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
