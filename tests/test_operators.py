@@ -586,3 +586,19 @@ def test_a_stream_with_state_runs_elsewhere_in_a_plain_session(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_passage_of_many_entries_is_read_once(spark):
+    """A thousand entries over the same two passages: the texts meet two lists, not two thousand."""
+    entries = spark.range(1000).select(
+        "id", F.lit("[[1001001,1001002],[1001002,1001001]]").alias("passage_ids"), F.lit("[1001002]").alias("cited_ids"),
+        F.when(F.col("id") == 7, "old").otherwise("now").alias("index_version"))
+    works = spark.createDataFrame([(1, "A", "primary")], "work_id long, abbrev string, collection string")
+    units = spark.createDataFrame([(1001001, "one"), (1001002, "two")], "unit_id long, text string")
+    lists = entries.select(F.explode(history.passage_lists(F.col("passage_ids"))).alias("unit_ids"))
+    assert history.passage_bodies(lists, units, lambda t: t).count() == 2
+    rows = history.stored_passages(entries, works, units, "now").collect()
+    assert len(rows) == 2000 and {r.body for r in rows} == {"one two"} and sum(r.stale for r in rows) == 2
+    digests = history.stored_passages(entries, works, units, "now", body=F.md5).select("body").distinct().collect()
+    assert [r.body for r in digests] == [hashlib.md5(b"one two").hexdigest()]
+    assert "body" not in history.stored_passages(entries, works, units, "now", body=None).columns
