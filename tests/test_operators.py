@@ -602,3 +602,31 @@ def test_a_passage_of_many_entries_is_read_once(spark):
     digests = history.stored_passages(entries, works, units, "now", body=F.md5).select("body").distinct().collect()
     assert [r.body for r in digests] == [hashlib.md5(b"one two").hexdigest()]
     assert "body" not in history.stored_passages(entries, works, units, "now", body=None).columns
+
+
+def test_counts_of_ranges_equal_their_units_and_join_no_unit_to_a_range(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(references, "RANGE_WIDTH", 7)  # chapters of several stretches
+    rows = [(w, c, o, w * 10_000 + c * 1000 + o) for w in (1, 2) for c in (1, 3, 4, 9) for o in range(0, 60) if rng.random() < 0.5]
+    units = spark.createDataFrame(rows, "work_id long, chapter long, ordinal long, unit_id long")
+    maybe = lambda: rng.choice([None, rng.randint(-2, 70)])
+    asked = [(i % 150, rng.choice([1, 2, 5, None]), rng.randint(0, 6), maybe(), rng.randint(0, 12), maybe()) for i in range(300)]
+    ranges = spark.createDataFrame(asked, "k long, work_id long, c1 long, v1 long, c2 long, v2 long")
+    want = {}
+    for k, w, c1, v1, c2, v2 in asked:
+        held = [u for work, c, o, u in rows if work == w and c1 <= c <= c2 and (c != c1 or v1 is None or o >= v1)
+                and (c != c2 or v2 is None or o <= v2)]
+        if held:
+            n, total = want.get(k, (0, 0))
+            want[k] = n + len(held), total + sum(held)
+    counts = references.range_counts(ranges, units, ["k"], F.col("unit_id"))
+    assert {r.k: (r.n_units, r.total) for r in counts.collect()} == want
+    found = references.range_units(ranges, units, ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.sum("unit_id").alias("s"))
+    assert {r.k: (r.n, r.s) for r in found.collect()} == want
+    # a chapter of 2,000,000 units under 200,000 ranges that hold nearly all of them: 4e11 pairs, none of them made
+    monkeypatch.setattr(references, "RANGE_WIDTH", 65_536)
+    wide = spark.range(2_000_000).select(F.lit(1).cast("long").alias("work_id"), F.lit(1).cast("long").alias("chapter"),
+                                         F.col("id").alias("ordinal"), F.col("id").alias("unit_id"))
+    many = spark.range(200_000).selectExpr("id AS k", "1L AS work_id", "1L AS c1", "id % 1000 AS v1", "1L AS c2", "1999999L - id % 777 AS v2")
+    n, pairs = references.range_counts(many, wide, ["k"]).agg(F.count("*"), F.sum("n_units")).first()
+    assert (n, pairs) == (200_000, sum(2_000_000 - i % 1000 - i % 777 for i in range(200_000)))
