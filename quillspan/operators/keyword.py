@@ -76,8 +76,10 @@ def postings(units: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = N
     """(term, unit_id, unit_len, tf, first_pos, positions): the inverted index.
 
     With ``stem`` the vocabulary is stemmed once and joined back, so the stemmer sees each distinct word one time.
+    Texts are dealt by unit before they are cut into words. Words of a unit then lie in one task, and grouping them moves
+    no word: a text is shorter than the row per word with its key that would be moved otherwise.
     """
-    rows = tokenized(units).select("unit_id", "unit_len", F.posexplode("tokens").alias("token_pos", "term"))
+    rows = tokenized(units.select("unit_id", "text").repartition("unit_id")).select("unit_id", "unit_len", F.posexplode("tokens").alias("token_pos", "term"))
     if stem is not None:
         rows = rows.join(stem(rows.select("term").distinct()), "term").select(
             "unit_id", "unit_len", "token_pos", F.col("stem").alias("term"))

@@ -630,3 +630,14 @@ def test_counts_of_ranges_equal_their_units_and_join_no_unit_to_a_range(spark, m
     many = spark.range(200_000).selectExpr("id AS k", "1L AS work_id", "1L AS c1", "id % 1000 AS v1", "1L AS c2", "1999999L - id % 777 AS v2")
     n, pairs = references.range_counts(many, wide, ["k"]).agg(F.count("*"), F.sum("n_units")).first()
     assert (n, pairs) == (200_000, sum(2_000_000 - i % 1000 - i % 777 for i in range(200_000)))
+
+
+def test_words_are_grouped_where_their_unit_lies(spark):
+    """Texts move once, words never: the rows of all words are not shuffled to be grouped."""
+    units = spark.range(50).select(F.col("id").alias("unit_id"), F.concat(F.lit("a b a c"), F.col("id").cast("string")).alias("text"))
+    units = units.unionByName(units.where("unit_id = 3"))  # a unit in two rows
+    made = keyword.postings(units)
+    got = {(r.term, r.unit_id): (r.unit_len, r.tf, r.first_pos, r.positions) for r in made.collect()}
+    assert got["a", 0] == (4, 2, 0, [0, 2]) and got["a", 3] == (4, 4, 0, [0, 0, 2, 2]) and len(got) == 150
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(unit_id" in plan
