@@ -2,14 +2,15 @@
 
 The index is built once and searched many times. It holds
 
-* ``postings``: one row per (word, unit) with its positions, in order of word and unit;
+* ``tokens``: one row per unit with its words in order; phrases are read from it;
+* ``postings``: one row per (word, unit), in order of word and unit;
 * ``impacts``: the same postings in order of word and falling weight, packed in blocks of at most ``BLOCK_POSTINGS``; a
   list of the best units reads the first blocks of its word and no other;
 * ``runs``: a word's postings may lie in several runs (one per write task); the directory says how many come before each;
 * ``frequencies`` (document frequency per word) and ``statistics`` (one row).
 
 Both orders are dealt by range of (word, unit) or (word, weight), so a word that every unit holds is written by many tasks.
-A search reads the postings of its words and never a text.
+A search reads the postings of its words, phrases read the words of the units, and nothing reads a text.
 
 Each search term is its own ranked list. A list depends on the term alone, so it is ranked once per distinct term and
 then joined to every query that asks for the term: the cost follows the vocabulary of the batch, not the product of
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,17 +45,22 @@ BUCKETS = 16
 BLOCK_POSTINGS = 256
 #: A filtered list first looks at so many times its length, and at four times as much whenever that was too little.
 FIRST_LOOK = 4
+#: Words under which a phrase is filed: as many of its first words as the largest of these that it has.
+FILED_WORDS = (8, 4, 2)
+#: Characters of phrases that are broadcast at once; more phrases read the units' words once per so many.
+PASS_CHARS = 32_000_000
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
     """A stored index.
 
-    ``postings``: bucket, term, unit_id, tf, unit_len, first_pos, positions · ``impacts``: bucket, term, run, before (in
+    ``tokens``: unit_id, unit_len, tokens · ``postings``: bucket, term, unit_id, tf, unit_len, first_pos · ``impacts``: bucket, term, run, before (in
     the run), n, unit_ids, tfs, weights · ``runs``: bucket, term, run, run_before, run_n · ``frequencies``: term, df ·
     ``buckets``: over how many folders the words are spread.
     """
 
+    tokens: DataFrame
     postings: DataFrame
     impacts: DataFrame
     runs: DataFrame
@@ -79,10 +86,24 @@ def postings(units: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = N
     Texts are dealt by unit before they are cut into words. Words of a unit then lie in one task, and grouping them moves
     no word: a text is shorter than the row per word with its key that would be moved otherwise.
     """
-    rows = tokenized(units.select("unit_id", "text").repartition("unit_id")).select("unit_id", "unit_len", F.posexplode("tokens").alias("token_pos", "term"))
-    if stem is not None:
-        rows = rows.join(stem(rows.select("term").distinct()), "term").select(
-            "unit_id", "unit_len", "token_pos", F.col("stem").alias("term"))
+    return _grouped(_unit_words(units.select("unit_id", "text").repartition("unit_id"), stem))
+
+
+def _unit_words(units: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(unit_id, unit_len, tokens): the words of every unit in order, or their stems."""
+    held = tokenized(units).select("unit_id", "unit_len", "tokens")
+    if stem is None:
+        return held
+    rows = held.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", "unit_id", "unit_len", F.posexplode_outer("tokens").alias("token_pos", "term"))
+    stems = stem(rows.where(F.col("term").isNotNull()).select("term").distinct())
+    stemmed = F.struct("token_pos", "stem")
+    return rows.join(stems, "term", "left").groupBy("_row", "unit_id", "unit_len").agg(F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("stem").isNotNull(), stemmed))), lambda t: t["stem"]).alias("tokens")).drop("_row")
+
+
+def _grouped(held: DataFrame) -> DataFrame:
+    rows = held.select("unit_id", "unit_len", F.posexplode("tokens").alias("token_pos", "term"))
     return rows.groupBy("term", "unit_id", "unit_len").agg(
         F.count(F.lit(1)).alias("tf"), F.min("token_pos").cast("long").alias("first_pos"),
         F.sort_array(F.collect_list("token_pos")).alias("positions"),
@@ -137,10 +158,13 @@ def write_index(units: DataFrame, path: str, stem: Callable[[DataFrame], DataFra
     """Build and store the index of ``units`` (unit_id, text) under ``path``; texts are read once."""
     spark = units.sparkSession
     raw_path = f"{path}/unordered"
-    postings(units, stem).withColumn("bucket", _bucket("term", buckets)).write.mode("overwrite").parquet(raw_path)
+    held = _unit_words(units.select("unit_id", "text").repartition("unit_id"), stem)
+    held.write.mode("overwrite").parquet(f"{path}/tokens")
+    held = spark.read.schema(held.schema).parquet(f"{path}/tokens")
+    counted = _grouped(held.repartition("unit_id")).drop("positions")
+    counted.withColumn("bucket", _bucket("term", buckets)).write.mode("overwrite").parquet(raw_path)
     raw = spark.read.parquet(raw_path)
-    n_units = units.count()
-    n_tokens = raw.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    n_units, n_tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
     mean_len = n_tokens / n_units if n_units else 0.0
 
     def write(df: DataFrame, name: str) -> DataFrame:
@@ -166,7 +190,7 @@ def write_index(units: DataFrame, path: str, stem: Callable[[DataFrame], DataFra
 def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     held = spark.read.parquet(f"{path}/statistics").first()
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return KeywordIndex(read("postings"), read("impacts"), read("runs"), read("frequencies"), *held)
+    return KeywordIndex(read("tokens"), read("postings"), read("impacts"), read("runs"), read("frequencies"), *held)
 
 
 def term_weight(tf, unit_len, mean_len, k1: float = K1, b: float = B):
@@ -205,28 +229,39 @@ def single_matches(index: KeywordIndex, asked: DataFrame) -> DataFrame:
         "term", "unit_id", "unit_len", "tf", "df")
 
 
-def phrase_matches(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+def _filed(asked: DataFrame) -> DataFrame:
+    """(term, width, filed, key, phrase): terms of several words, all of them known, under their first words."""
+    phrase = asked.where("width > 1").groupBy("term", "width").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]).alias("term_words"),
+        F.min("df").alias("least")).where("least > 0")
+    filed = F.coalesce(*[F.when(F.col("width") >= n, F.lit(n)) for n in FILED_WORDS])
+    return phrase.withColumn("filed", filed).select(
+        "term", "width", "filed", F.array_join(F.slice("term_words", F.lit(1), F.col("filed")), " ").alias("key"),
+        F.array_join("term_words", " ").alias("phrase"))
+
+
+def phrase_matches(index: KeywordIndex, asked: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:
     """(term, unit_id, unit_len, tf): units that hold the words of a term of several in a row.
 
-    A phrase starts from the postings of its rarest word. Its other words are looked up in the units found so, which
-    keeps a common word from meeting all its units.
+    The words of the units are read once. At each place the next words look up the phrases that begin with them in a
+    table that is broadcast, and longer phrases are compared to the end there. Only places where a phrase stands become
+    rows, so the work follows the units and what is found, not the product of phrases and the units of their words.
+    Phrases of more than ``pass_chars`` characters go out in passes.
     """
-    phrase = asked.where("width > 1")
-    order = W.partitionBy("term").orderBy("df", "at")
-    ranked = phrase.withColumn("_turn", F.row_number().over(order))
-    found = _postings(index, "unit_id", "unit_len", "positions")
-    starts = F.filter(F.transform("positions", lambda p: p - F.col("at")), lambda p: p >= 0).alias("starts")
-    begun = stored(ranked.where("_turn = 1").join(found, ["bucket", "word"]).select(
-        "term", "width", "unit_id", "unit_len", starts), "begun")
-    tried = begun.select("term", "width", "unit_id", "unit_len").join(
-        ranked.where("_turn > 1").select("term", "at", "word", "bucket"), "term")
-    others = tried.join(found.drop("unit_len"), ["bucket", "word", "unit_id"]).select("term", "width", "unit_id", "unit_len", starts)
-    every = begun.unionByName(others).groupBy("term", "width", "unit_id", "unit_len").agg(F.collect_list("starts").alias("held"))
-    # a place where the phrase begins is one that each of its words allows
-    common = F.aggregate(
-        F.slice("held", 2, F.greatest(F.col("width") - 1, F.lit(1))), F.element_at("held", 1), lambda a, b: F.array_intersect(a, b))
-    return every.where(F.size("held") == F.col("width")).select(
-        "term", "unit_id", "unit_len", F.size(common).cast("long").alias("tf")).where("tf > 0")
+    filed = stored(_filed(asked), "filed")
+    lengths, n_chars = filed.agg(F.collect_set("filed"), F.sum(F.length("term") + F.length("key") + F.length("phrase"))).first()
+    if not lengths:
+        return index.tokens.select(F.lit("").alias("term"), "unit_id", "unit_len", F.lit(0).cast("long").alias("tf")).limit(0)
+    passes = 1 + n_chars // pass_chars
+    places = index.tokens.select(
+        "unit_id", "unit_len", "tokens", F.posexplode("tokens").alias("place", "_word")).withColumn(
+        "n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]))).where(F.col("place") + F.col("n") <= F.col("unit_len"))
+    run = lambda n: F.array_join(F.slice("tokens", F.col("place") + 1, F.col(n)), " ")
+    opened = places.withColumn("key", run("n"))
+    whole = (F.col("width") == F.col("filed")) | (run("width") == F.col("phrase"))
+    dealt = [filed.where(F.pmod(F.hash("term"), F.lit(passes)) == number) for number in range(passes)] if passes > 1 else [filed]
+    found = [opened.join(F.broadcast(part), "key").where(whole).select("term", "unit_id", "unit_len") for part in dealt]
+    return reduce(DataFrame.unionByName, found).groupBy("term", "unit_id", "unit_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def matches(index: KeywordIndex, terms: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

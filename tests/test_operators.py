@@ -641,3 +641,31 @@ def test_words_are_grouped_where_their_unit_lies(spark):
     assert got["a", 0] == (4, 2, 0, [0, 2]) and got["a", 3] == (4, 4, 0, [0, 0, 2, 2]) and len(got) == 150
     plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(unit_id" in plan
+
+
+def test_phrases_of_common_words_move_only_what_is_found(spark, tmp_path):
+    """Every unit holds all words; only places where a phrase stands are shuffled, whatever the length of the phrases."""
+    tail = "b c d e f g h i"
+    units = spark.range(300).select(F.col("id").alias("unit_id"), F.when(F.col("id") % 100 == 7, f"a {tail} j a {tail} k").when(
+        F.col("id") == 9, f"a {tail}").otherwise("j k a c b e d g f i h").alias("text"))
+    units = units.unionByName(units.where("unit_id = 7"))  # a unit in two rows
+    keyword.write_index(units, str(tmp_path / "k"), buckets=3)
+    index = keyword.open_index(spark, str(tmp_path / "k"))
+    asked = [f"a {tail}", f"A, {tail}", f"a {tail} k", f"a {tail} zz", "b c d", "d e f g", "i j", "k j"]
+    words = keyword.asked_words(index, spark.createDataFrame([(t,) for t in asked], "term string"))
+    found = keyword.phrase_matches(index, words)
+    seven = {(t, u): n * (2 if u == 7 else 1) for u in (7, 107, 207) for t, n in (
+        (f"a {tail}", 2), (f"A, {tail}", 2), (f"a {tail} k", 1), ("b c d", 2), ("d e f g", 2), ("i j", 1))}
+    want = seven | {(t, 9): 1 for t in (f"a {tail}", f"A, {tail}", "b c d", "d e f g")}
+    assert {(r.term, r.unit_id): r.tf for r in found.collect()} == want
+    few = keyword.phrase_matches(index, words, pass_chars=40)  # several passes
+    assert sorted(few.collect()) == sorted(found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "positions" not in index.postings.columns
+    none = keyword.asked_words(index, spark.createDataFrame([("zz yy",), ("a",)], "term string"))
+    assert keyword.phrase_matches(index, none).collect() == []
+    stem = keyword.stem_vocabulary(lambda w: w[:1])
+    keyword.write_index(spark.createDataFrame([(1, "one two"), (2, "two one"), (3, "")], "unit_id long, text string"), str(tmp_path / "s"), stem)
+    stems = keyword.open_index(spark, str(tmp_path / "s"))
+    assert [(r.unit_id, r.tf) for r in keyword.matches(stems, spark.createDataFrame([("or tea",)], "term string"), stem).collect()] == [(1, 1)]
+    assert (stems.n_units, stems.tokens.count()) == (3, 3)
