@@ -3,13 +3,13 @@
 The index is built once and searched many times. It holds
 
 * ``tokens``: one row per unit with its words in order; phrases are read from it;
-* ``postings``: one row per (word, unit), in order of word and unit;
+* ``postings``: one row per (word, unit), written where the units' words were counted, each task's by word and unit;
 * ``impacts``: the same postings in order of word and falling weight, packed in blocks of at most ``BLOCK_POSTINGS``; a
   list of the best units reads the first blocks of its word and no other;
 * ``runs``: a word's postings may lie in several runs (one per write task); the directory says how many come before each;
 * ``frequencies`` (document frequency per word) and ``statistics`` (one row).
 
-Both orders are dealt by range of (word, unit) or (word, weight), so a word that every unit holds is written by many tasks.
+Postings are dealt by unit and blocks by range of (word, weight), so a word that every unit holds is written by many tasks.
 A search reads the postings of its words, phrases read the words of the units, and nothing reads a text.
 
 Each search term is its own ranked list. A list depends on the term alone, so it is ranked once per distinct term and
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import words
 from quillspan.operators.vector import rank_within
-from quillspan.session import remove_folder, stored
+from quillspan.session import stored
 
 # The usual parameters of the ranking formula.
 K1 = 1.2
@@ -157,13 +157,9 @@ def write_index(units: DataFrame, path: str, stem: Callable[[DataFrame], DataFra
                 buckets: int = BUCKETS) -> None:
     """Build and store the index of ``units`` (unit_id, text) under ``path``; texts are read once."""
     spark = units.sparkSession
-    raw_path = f"{path}/unordered"
     held = _unit_words(units.select("unit_id", "text").repartition("unit_id"), stem)
     held.write.mode("overwrite").parquet(f"{path}/tokens")
     held = spark.read.schema(held.schema).parquet(f"{path}/tokens")
-    counted = _grouped(held.repartition("unit_id")).drop("positions")
-    counted.withColumn("bucket", _bucket("term", buckets)).write.mode("overwrite").parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
     n_units, n_tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
     mean_len = n_tokens / n_units if n_units else 0.0
 
@@ -171,8 +167,8 @@ def write_index(units: DataFrame, path: str, stem: Callable[[DataFrame], DataFra
         df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    order = ["bucket", "term", "unit_id"]
-    write(raw.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
+    counted = _grouped(held.repartition("unit_id")).drop("positions").withColumn("bucket", _bucket("term", buckets))
+    raw = write(counted.sortWithinPartitions("bucket", "term", "unit_id"), "postings")
     weight = F.round(term_weight(F.col("tf"), F.col("unit_len"), F.lit(mean_len)), TIE_DIGITS)
     by_weight = raw.select("bucket", "term", "unit_id", "tf", weight.alias("weight"))
     falling = [F.col("bucket"), F.col("term"), F.desc("weight"), F.col("unit_id")]
@@ -184,7 +180,6 @@ def write_index(units: DataFrame, path: str, stem: Callable[[DataFrame], DataFra
     write(runs.groupBy("bucket", "term").agg(F.sum("run_n").alias("df")), "frequencies")
     spark.createDataFrame([(n_units, mean_len, buckets)], "n_units long, mean_len double, buckets int").coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/statistics")
-    remove_folder(spark, raw_path)
 
 
 def open_index(spark: SparkSession, path: str) -> KeywordIndex:
