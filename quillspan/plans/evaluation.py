@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.keys import CLASSIC
 from quillspan.operators import evaluate as E
 from quillspan.operators import fusion, keyword, search
+from quillspan.operators.vector import with_collection
 from quillspan.plans import inputs as I
 from quillspan.plans import retrieval as P
 from quillspan.plans.registry import query
@@ -333,14 +334,12 @@ def draft_scores(spark, sf) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array(
         F.col("query_id") % 10 + 1, F.lit(100).cast("long") + F.col("query_id") % 3)).alias("topic_id"))
     index = I.search_index(spark, sf)
-    works = index.works.where("collection = 'primary'").select("work_id")
-    primary = I.shelf_units(spark, sf).select("unit_id").withColumn("work_id", CLASSIC.work(F.col("unit_id")))
+    works = index.works.where("collection = 'primary'")
+    primary = lambda rows: with_collection(rows, "unit_id", works, CLASSIC).withColumnRenamed("collection", "group")
     readable = F.col("unit_id").isNotNull() & (CLASSIC.work(F.col("unit_id")) % 3 != 0)
     points = E.topic_evidence(asked, _topic_links(spark, sf), index.topic_units)
     terms = I.shelf_question_terms(spark, sf)
-    units = primary.join(works, "work_id", "left_semi").select("unit_id")
-    scored = keyword.score_terms(index.keywords, terms).join(units, "unit_id", "left_semi")
-    lists = keyword.bm25_lists(scored, E.KEYWORD_LIMIT)
+    lists = keyword.bm25_lists(keyword.grouped_lists(index.keywords, terms, E.KEYWORD_LIMIT, primary, 1), E.KEYWORD_LIMIT)
     hits = terms.join(lists, "term").select("query_id", "unit_id", "pos")
     return E.gold_scores(points, hits, index.edges, readable)
 
@@ -410,7 +409,7 @@ def q_gold_scores(spark, sf):
 
 
 def draft_ranges(spark, sf) -> DataFrame:
-    return E.gold_ranges(draft_scores(spark, sf), I.shelf_units(spark, sf))
+    return E.gold_ranges(stored(draft_scores(spark, sf), "draft"), I.shelf_units(spark, sf))
 
 
 @query("gold_ranges", I.with_sql(*DRAFT_SQL, RANGES_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """
