@@ -78,19 +78,28 @@ def topic_boost(topic_hits: DataFrame, topic_units: DataFrame, works: DataFrame,
     return counted.select(*scope, "unit_id", (F.least("n", F.lit(TOPIC_MAX)) * step).alias("boost"))
 
 
-def leading_edges(edges: DataFrame, per_source: int = EDGE_SCAN_CAP) -> DataFrame:
-    """Each source's first edges in (to, anchor) order.
-
-    A query reads at most ``per_source`` edges in (from, to, anchor) order, so
-    no later edge of a source can be among them. A hub is cut down before any
-    query meets it.
-    """
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """(from_id, to_id, anchor, edge_no): each source's edges in (to, anchor) order, from 0."""
     return rank_within(
         edges.select("from_id", "to_id", "anchor"), ["from_id"],
-        [F.asc("to_id"), F.asc_nulls_first("anchor")], per_source, "edge_no",
+        [F.asc("to_id"), F.asc_nulls_first("anchor")], name="edge_no",
     )
 
 
+def scanned_edges(anchors: DataFrame, edges: DataFrame, scope: list[str], cap: int = EDGE_SCAN_CAP) -> DataFrame:
+    """(scope, to_id): the first ``cap`` edges of a scope's anchors in (from, to, anchor) order.
+
+    ``anchors``: scope, from_id. ``edges`` come numbered within their source. The counts of the sources say where the cap
+    falls before any edge is met, so a scope meets the edges it reads and no others, however many its anchors have.
+    """
+    counts = edges.groupBy("from_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    earlier = W.partitionBy(*scope).orderBy("from_id").rowsBetween(W.unboundedPreceding, -1)
+    open_to = F.lit(cap) - F.coalesce(F.sum("n_edges").over(earlier), F.lit(0))
+    read = anchors.join(counts, "from_id").withColumn("open_to", open_to).where("open_to > 0").drop("n_edges")
+    near = edges.where(F.col("edge_no") < cap).select("from_id", "to_id", "edge_no")
+    return read.join(near, "from_id").where(F.col("edge_no") < F.col("open_to")).select(*scope, "to_id")
+
+
 def edge_boost(scores: DataFrame, edges: DataFrame, works: DataFrame, mode: str | None,
                scope: list[str], layout: KeyLayout = CLASSIC) -> DataFrame:
     """(scope, unit_id, boost): neighbours of the best units so far.
@@ -98,15 +107,15 @@ def edge_boost(scores: DataFrame, edges: DataFrame, works: DataFrame, mode: str
     Anchors are the best ``EDGE_ANCHORS`` by (score desc, unit asc). Their edges
     are read in (from, to, anchor) order up to a cap, filtered by collection,
     counted per target (parallel edges count), and the most frequent targets
-    kept. Only edges of anchors are ranked. Without ``mode`` the scope's ``mode`` column counts.
+    kept. ``edges`` that are not numbered yet are numbered for anchors only. Without ``mode`` the scope's ``mode`` column counts.
     """
     anchors = rank_within(scores, scope, [F.desc("score"), F.asc("unit_id")], EDGE_ANCHORS).select(
         *scope, F.col("unit_id").alias("from_id"))
-    near = edges.join(anchors.select("from_id").distinct(), "from_id", "left_semi")
-    reached = anchors.join(leading_edges(near), "from_id")
-    scanned = rank_within(reached, scope, [F.asc("from_id"), F.asc("edge_no")], EDGE_SCAN_CAP)
+    if "edge_no" not in edges.columns:
+        edges = numbered_edges(edges.join(anchors.select("from_id").distinct(), "from_id", "left_semi"))
+    scanned = scanned_edges(anchors, edges, scope)
     counted = (
-        with_collection(scanned.select(*scope, F.col("to_id").alias("unit_id")), "unit_id", works, layout)
+        with_collection(scanned.withColumnRenamed("to_id", "unit_id"), "unit_id", works, layout)
         .where(in_mode(F.col("collection"), F.col("mode") if mode is None else mode))
         .groupBy(*scope, "unit_id").agg(F.count(F.lit(1)).alias("n"))
     )

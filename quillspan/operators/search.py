@@ -29,7 +29,7 @@ class SearchIndex:
     ``unit_vectors``: key, vec · ``block_vectors``: key (the block's first unit), vec ·
     ``block_members``: block_id, unit_id · ``topic_vectors``: key (topic id), vec ·
     ``topic_units``: topic_id, unit_id · ``keywords``: the stored keyword index ·
-    ``edges``: from_id, to_id, anchor · ``works``: work_id, collection
+    ``edges``: from_id, to_id, anchor, edge_no (``fusion.numbered_edges``) · ``works``: work_id, collection
     """
 
     unit_vectors: DataFrame

@@ -669,3 +669,20 @@ def test_phrases_of_common_words_move_only_what_is_found(spark, tmp_path):
     stems = keyword.open_index(spark, str(tmp_path / "s"))
     assert [(r.unit_id, r.tf) for r in keyword.matches(stems, spark.createDataFrame([("or tea",)], "term string"), stem).collect()] == [(1, 1)]
     assert (stems.n_units, stems.tokens.count()) == (3, 3)
+
+
+def test_edge_scan_meets_only_what_the_cap_lets_it_read(spark):
+    from quillspan.operators import fusion
+
+    edges = [(f, t, a) for f in (1, 2, 3) for t in range(f * 40) for a in (None, "x")] + [(9, 1, "x")] * 3
+    frame = spark.createDataFrame(edges, "from_id long, to_id long, anchor string")
+    asked = {1: [3, 1, 2], 2: [2, 7], 3: [9]}
+    anchors = spark.createDataFrame([(q, f) for q, fs in asked.items() for f in fs], "query_id long, from_id long")
+    cap = 100
+    numbered = fusion.numbered_edges(frame)
+    got = sorted(tuple(r) for r in fusion.scanned_edges(anchors, numbered, ["query_id"], cap).collect())
+    order = sorted(edges, key=lambda e: (e[0], e[1], e[2] is not None, e[2] or ""))
+    want = sorted((q, t) for q, fs in asked.items() for _, t, _ in [e for e in order if e[0] in fs][:cap])
+    assert got == want
+    # question 1 has 480 edges at its anchors: source 1 fills 80 places, source 2 the 20 left, source 3 none
+    assert len([r for r in got if r[0] == 1]) == cap
