@@ -162,6 +162,13 @@ def passage_texts(passages: DataFrame, units: DataFrame, keys: list[str]) -> Dat
     )
 
 
+def passage_sizes(passages: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_chars): characters of ``passage_texts``, from the lengths of the units; no text meets a passage."""
+    lengths = units.select("unit_id", F.length("text").cast("long").alias("n"))
+    rows = passages.select(*keys, F.explode("unit_ids").alias("unit_id")).join(lengths, "unit_id")
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum(F.col("n") + 1) - 1, F.lit(0)).alias("n_chars"))
+
+
 def pack_passages(cut: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_sent, prompt): numbered passages as the writer is given them.
 

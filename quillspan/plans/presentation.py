@@ -176,8 +176,8 @@ fold AS (
 def q_batch_packing(spark, sf):
     found = named_passages(spark, sf)
     keys = ["query_id", "first_unit"]
-    sized = found.join(present.passage_texts(found, I.shelf_units(spark, sf), keys), keys).select(
-        *keys, (F.length("body") + F.length("reference") + present.PASSAGE_OVERHEAD).cast("long").alias("size"))
+    sized = present.passage_sizes(found, I.shelf_units(spark, sf), [*keys, "reference"]).select(
+        *keys, (F.col("n_chars") + F.length("reference") + present.PASSAGE_OVERHEAD).cast("long").alias("size"))
     return present.batch_packing(sized, ["query_id"], ["first_unit"], BATCH_BUDGET)
 
 

@@ -686,3 +686,14 @@ def test_edge_scan_meets_only_what_the_cap_lets_it_read(spark):
     assert got == want
     # question 1 has 480 edges at its anchors: source 1 fills 80 places, source 2 the 20 left, source 3 none
     assert len([r for r in got if r[0] == 1]) == cap
+
+
+def test_passage_sizes_are_those_of_the_texts(spark):
+    units = spark.createDataFrame([(1, "añb"), (2, ""), (3, None), (4, "x y"), (6, "\U0001d518!")], "unit_id long, text string")
+    held = [(1, [1, 2, 4]), (2, [3]), (3, [2]), (4, [3, 4, 6]), (5, [5]), (6, [1, 5])]
+    passages = spark.createDataFrame(held, "rank long, unit_ids array<long>")
+    texts = present.passage_texts(passages, units, ["rank"])
+    want = {(r["rank"], r["n"]) for r in texts.select("rank", F.length("body").cast("long").alias("n")).collect()}
+    sizes = present.passage_sizes(passages, units, ["rank"])
+    assert {(r["rank"], r["n_chars"]) for r in sizes.collect()} == want
+    assert "collect_list" not in sizes._jdf.queryExecution().toString()
