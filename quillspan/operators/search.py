@@ -143,10 +143,11 @@ def ablation_passages(index: SearchIndex, hits: Hits, mode: str, rerank: Callabl
                       pool: int = POOL) -> DataFrame:
     """(config, query_id, rank, passage columns): passages of every configuration, reranked ones included.
 
-    ``rerank`` scores the head of a configuration: passages to (config, query_id, rank, new_score).
+    ``rerank`` scores the head of a configuration: passages to (config, query_id, rank, new_score). The passages before it are
+    stored: every reranked configuration reads them twice, and the search is not to run again for that.
     """
     scope = ["config", "query_id"]
-    found = fusion.islands(ablation(index, hits, mode, pool), scope, layout=index.layout)
+    found = stored(fusion.islands(ablation(index, hits, mode, pool), scope, layout=index.layout), "passages")
     again = [found.where(F.col("config") == base).withColumn("config", F.lit(name)) for name, base in fusion.RERANKED.items()]
     heads = [fusion.rerank_head(p, rerank(p.where(F.col("rank") < fusion.RERANK_HEAD)), scope) for p in again]
     moved = [h.withColumn("rank", F.col("new_rank")).drop("new_rank").select(*found.columns) for h in heads]

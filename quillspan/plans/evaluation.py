@@ -126,7 +126,7 @@ SELECT config, round_even(avg(recall) FILTER (k = 10), 6) AS at_10, round_even(a
 def q_config_pivot(spark, sf):
     """Mean recall per configuration, one column per cut."""
     scope = ["config", "query_id"]
-    found = P.ablation_passages(spark, sf)
+    found = stored(P.ablation_passages(spark, sf).select(*scope, "rank", "unit_ids"), "ranked")
     names = [*fusion.CONFIGURATIONS, *fusion.RERANKED]
     every = _queries(spark, sf).select("*", F.explode(F.array(*[F.lit(c) for c in names])).alias("config"))
     recall = E.recall_at(E.gold_ranks(must_units(spark, sf), found, scope), every, scope)
@@ -148,10 +148,10 @@ cited AS (
 
 
 def _sent_and_cited(spark, sf):
-    """Tokens of the first 25 passages; each answer cites some of them, some answers an unsent one."""
-    cut = P.passages(spark, sf).where(F.col("rank") < 25).select(
+    """Tokens of the first 25 passages; each answer cites some of them, some answers an unsent one. Both read one search."""
+    cut = stored(P.passages(spark, sf).where(F.col("rank") < 25).select(
         "query_id", F.concat(F.lit("[P"), (F.col("rank") + 1).cast("string"), F.lit("]")).alias("token"), "unit_ids",
-        ((F.col("query_id") * 7 + F.col("rank") * 3) % 5 < 2).alias("cited"))
+        ((F.col("query_id") * 7 + F.col("rank") * 3) % 5 < 2).alias("cited")), "cut")
     unsent = _queries(spark, sf).where("query_id % 4 = 0").select("query_id", F.lit("[P99]").alias("token"))
     cited = cut.where("cited AND query_id % 10 <> 9").select("query_id", "token").unionByName(unsent)
     return cut.select("query_id", "token", F.explode("unit_ids").alias("unit_id")), cited

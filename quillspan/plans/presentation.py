@@ -16,7 +16,7 @@ from quillspan.plans import inputs as I
 from quillspan.plans import references as R
 from quillspan.plans import retrieval as P
 from quillspan.plans.registry import query
-from quillspan.session import checkpoint_dir
+from quillspan.session import checkpoint_dir, stored
 from quillspan.sources.tables import table
 
 _REF = """abbrev || ' ' || chapter || ':' || "first" || CASE WHEN "first" = "last" THEN '' ELSE '-' || "last" END"""
@@ -194,7 +194,7 @@ def answers(spark, sf) -> DataFrame:
     """Nested answers that cite three tokens each, every third one a fallback."""
     from quillspan.operators.fusion import top_cut
 
-    located = P.passages(spark, sf, "both").join(I.shelf_works(spark, sf), "work_id")
+    located = stored(P.passages(spark, sf, "both").join(I.shelf_works(spark, sf), "work_id"), "passages")  # read twice
     tokens = top_cut(located, ["query_id"], "both").select(
         "query_id", "rank", F.concat(F.lit("[P"), (F.col("cut_pos") + 1).cast("string"), F.lit("]")).alias("token"))
     named_ = located.withColumn("reference", reference(F.col("abbrev"), F.col("chapter"), F.col("first"), F.col("last")))

@@ -9,6 +9,7 @@ from quillspan.functions import vectors as V
 from quillspan.operators import fusion, keyword, search, vector
 from quillspan.plans import inputs as I
 from quillspan.plans.registry import query
+from quillspan.session import stored
 from quillspan.sources.tables import table
 
 SHELF = (I.WORKS_SQL, I.UNITS_SQL, I.QVEC_SQL, I.QTERMS_SQL, I.VECTORS_SQL, I.EDGES_SQL)
@@ -454,7 +455,7 @@ def q_top_cut(spark, sf):
 @query("rerank_head", I.with_sql(*PASSAGES_SQL, rerank_sql("passages", "query_id", "again")) + """
 SELECT query_id, "rank", new_rank, first_unit, moved AS score FROM again""")
 def q_rerank_head(spark, sf):
-    found = passages(spark, sf)
+    found = stored(passages(spark, sf), "passages")  # read for the head and for the order
     scores = head_scores(spark, sf, found.where(F.col("rank") < fusion.RERANK_HEAD), ["query_id"])
     return fusion.rerank_head(found, scores, ["query_id"]).select(
         "query_id", "rank", "new_rank", "first_unit", "score"

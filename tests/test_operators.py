@@ -697,3 +697,12 @@ def test_passage_sizes_are_those_of_the_texts(spark):
     sizes = present.passage_sizes(passages, units, ["rank"])
     assert {(r["rank"], r["n_chars"]) for r in sizes.collect()} == want
     assert "collect_list" not in sizes._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["citation_precision", "citation_coverage", "config_pivot"])
+def test_evaluation_reads_one_stored_search(spark, name):
+    import __spark_entry__ as entry
+
+    made = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # the search's rankings; a plan that holds them twice runs the search twice
