@@ -329,6 +329,31 @@ def test_line_dedup_misses_no_line_at_the_edit_limit(spark):
     assert {r.id for r in line_dedup.surplus(docs).collect()} < want
 
 
+def test_line_lists_are_short_and_every_near_pair_shares_one(spark):
+    rng = random.Random(31)
+    names = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts, pairs = [], []
+    for n in (14, 15, 16, 17, 19, 20, 23, 24, 25, 31, 40, 41, 55, 60, 90):
+        for kind in ("new", "lost", "other", "any", "any", "spaced"):
+            for _ in range(6):
+                base = [rng.choice(names[: rng.choice((12, 300))]) for _ in range(n)]
+                made = list(base)
+                while kind == "new" and 5 * (len(made) + 1 - n) <= len(made) + 1:
+                    made.insert(rng.randrange(len(made) + 1), rng.choice(names))
+                for i in range(n // 5 if kind != "new" else 0):
+                    at = min(4 * i + 2, n - 1) if kind == "spaced" else rng.randrange(len(made))
+                    act = {"lost": 0, "other": 1, "spaced": 1}.get(kind, rng.randrange(3))
+                    made[at:at + (act < 2)] = [rng.choice(names)] * (act > 0)
+                if edits(base, made) <= int(max(n, len(made)) * 0.2 + 1e-9):
+                    pairs.append((len(texts), len(texts) + 1))
+                    texts += [" ".join(base), " ".join(made)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = {r.id: (r.n, set(r.grams)) for r in line_dedup.filed(docs, "doc_id", "text", 3, 5, 0.8).collect()}
+    assert len(pairs) > 400 and all(made[a][1] & made[b][1] for a, b in pairs)
+    long = [(n, len(found)) for n, found in made.values() if n >= 40]
+    assert sum(m for _, m in long) < 0.6 * sum(n for n, _ in long)  # three quarters without the count of spoiling edits
+
+
 # --- paragraph dedup -------------------------------------------------------------------------------------------------
 
 def test_paragraph_clusters_equal_exact_jaccard(docs, rows, none):
