@@ -354,15 +354,15 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     bands = bands_for(similarity, recall, rows)
     found = stored(paragraphs(docs, id_col, text_col, min_words, width, bands, rows, wrapped, passages))
     groups = stored(found.groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("rows")))
+        F.min(F.struct("id", "key", "no")).alias("first"), F.count("*").alias("rows")), sweep=True)
     spread = found.select("h1", F.explode("bands").alias("band"))
     # Stored, so that the join below has a plain shuffle on both sides and a hot band can be split.
-    shared = stored(spread.groupBy("band").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last"))
-    met = stored(spread.join(shared.select("band", "lead"), "band").distinct())
+    shared = stored(spread.groupBy("band").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last"), sweep=True)
+    met = stored(spread.join(shared.select("band", "lead"), "band").distinct(), sweep=True)
     star = met.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b"))
     if more_pairs:
         star = star.unionByName(more_pairs(groups.select("h1", "first")))
-    star = stored(star.distinct())
+    star = stored(star.distinct(), sweep=True)
     edges = stored(verified(docs, star, groups, id_col, text_col, width, similarity, wrapped, passages))
     grouped = stored(components(edges))
     # Bands whose lead has not brought all together go on.
@@ -370,7 +370,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     of = met.select("band", "h1").join(first, "h1").join(grouped, F.col("first") == F.col("node"), "left").select(
         "band", "h1", F.xxhash64(F.coalesce("component", "first")).alias("group"))
     open_ = of.groupBy("band").agg((F.min("group") != F.max("group")).alias("open")).where("open").select("band")
-    left = stored(of.join(open_, "band"))
+    left = stored(of.join(open_, "band"), sweep=True)
     more = across(docs, left, groups, id_col, text_col, width, similarity, wrapped=wrapped, passages=passages)
     whole = stored(components(edges.unionByName(more)))
     kept = groups.select("h1", "h2", "first", "rows").join(whole, F.col("first") == F.col("node"), "left").where(
