@@ -329,6 +329,17 @@ def test_line_dedup_misses_no_line_at_the_edit_limit(spark):
     assert {r.id for r in line_dedup.surplus(docs).collect()} < want
 
 
+def test_line_dedup_in_passes_finds_the_same_and_leaves_no_grams_on_disk(spark, docs, tmp_path, monkeypatch):
+    named = lambda df: sorted((r.id or 0, r.key, tuple(r.gone)) for r in df.collect())
+    want = named(line_dedup.surplus(docs, max_bits=None))
+    monkeypatch.setattr(line_dedup, "GRAMS_A_PASS", 50)
+    monkeypatch.setattr(line_dedup, "MAX_PASSES", 3)
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
+    assert named(line_dedup.surplus(docs, max_bits=None)) == want
+    left = {c for f in (tmp_path / "quillspan").iterdir() if any(f.iterdir()) for c in spark.read.parquet(str(f)).columns}
+    assert "h1" in left and not left & {"grams", "bucket"}
+
+
 def test_line_lists_are_short_and_every_near_pair_shares_one(spark):
     rng = random.Random(31)
     names = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
