@@ -227,6 +227,10 @@ def test_citation_list_branches(spark):
         got.setdefault(r.ref_id, set()).add(r.unit_id)
     assert got[1] == {1002001, 1002003, 1003002} and got[2] == {2001002, 2001003, 2001003}
     assert got[3] == {2002001, 2002002, 2002003} and got[4] == {1001002, 1001003, 1002001}
+    twice = lists.unionByName(spark.createDataFrame([(6, "Ps 2:1,1,1-3; 2", 2, 1), (7, "Ps 2:1,1,1-3; 2", 2, 1)], lists.schema))
+    rows = [(r.ref_id, r.unit_id) for r in references.resolve_citations(twice, aliases, units)[0].collect()]
+    held = references.resolve_citations(twice, aliases, units, counted=True)[0].collect()
+    assert sorted((r.ref_id, r.unit_id, r.n) for r in held) == sorted((*k, rows.count(k)) for k in set(rows)) and max(r.n for r in held) > 2
     reasons = sorted((r.ref_id, r.reason) for r in bad.collect())
     assert reasons == sorted([(3, references.NO_MATCH), (3, references.UNKNOWN_NAME), (4, references.MARGINAL), (5, references.NOTHING)])
 
