@@ -235,6 +235,20 @@ def test_citation_list_branches(spark):
     assert reasons == sorted([(3, references.NO_MATCH), (3, references.UNKNOWN_NAME), (4, references.MARGINAL), (5, references.NOTHING)])
 
 
+def test_streamed_turns_come_in_files_for_many_tasks_and_meet_what_their_conversations_were_sent(spark, tmp_path):
+    from quillspan.plans import history, verification
+
+    made = {"conversations": ([(c, t, "user", f"turn {t}") for c in range(40) for t in range(3)], "conv_id long, turn long, role string, text string"),
+            "nation": ([(n, n % 5) for n in range(25)], "n_nationkey int, n_regionkey int")}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    turns = history._conversation_stream(spark, str(tmp_path), str(tmp_path / "run"))
+    assert turns.isStreaming and len(list((tmp_path / "run" / "in").glob("*.parquet"))) > history.FILES
+    every = verification.sent(spark, str(tmp_path))
+    some = verification.sent(spark, str(tmp_path), spark.createDataFrame([(3,), (7,), (99,), (None,)], "conv_id long"))
+    assert sorted(some.collect()) == sorted(every.where("conv_id in (3, 7)").collect()) and some.count() == 50
+
+
 def test_refusals(spark):
     df = spark.createDataFrame([("m", "unit")], "model_id string, kind string")
     with pytest.raises(ValueError):
