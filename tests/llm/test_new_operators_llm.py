@@ -116,6 +116,17 @@ def test_collocations_equal_brute_force(spark, monkeypatch, chunk, shard, top):
     assert sorted(tuple(r) for r in got.collect()) == ranked(texts, top)
 
 
+def test_longer_phrases_of_many_shards_take_no_scan_each(spark, monkeypatch):
+    texts, scans, joined = phrase_texts(), [], phrases.Trie.joined
+    monkeypatch.setattr(phrases, "SHARD_PHRASES", 40)
+    monkeypatch.setattr(phrases, "ROUTED_PHRASES", 20, raising=False)
+    monkeypatch.setattr(phrases.Trie, "joined", lambda pieces: scans.append(1) or joined(pieces))
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    counts = {(r.lang, tuple(r.phrase.split(" "))): r.f for r in phrases.phrase_counts(docs)[0].collect()}
+    want = {k: n for k, n in counted(texts)[0].items() if n >= phrases.LEAST}
+    assert len(want) > 60 and counts == want and len(scans) == 1
+
+
 def test_collocations_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert phrases.collocations(none).count() == 0
